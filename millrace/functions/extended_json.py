@@ -1,4 +1,4 @@
-"""Typed values out of MongoDB extended JSON held in VARIANT columns.
+"""Typed values out of MongoDB extended JSON in VARIANT columns, as SQL expressions.
 
 Each reader takes a value and its ``kind`` and returns null both for an absent
 value and for one outside its type; the kind is null for the former only. The
@@ -7,9 +7,6 @@ usual form of a value is read directly, other forms go by their text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from millrace.functions.strict_json import text_of
 
 # The number wrappers of extended JSON around, or plain, numbers
@@ -23,48 +20,50 @@ _INSTANT = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,9})?(?:Z|[+-]\d\d:?\d\d)$"
 _LAST_MILLISECOND = 9223372036854775
 
 
-def kind_of(value: Column) -> Column:
+def kind_of(value: str) -> str:
     """Type text of a value; null for a missing value and for JSON null."""
-    return F.nullif(F.schema_of_variant(value), F.lit("VOID"))
+    return f"nullif(schema_of_variant({value}), 'VOID')"
 
 
-def _read_whole(value: Column) -> Column:
-    return F.regexp_extract(text_of(value), _WHOLE, 1).try_cast("bigint")
+def _match(value: str, pattern: str, group: int, as_type: str) -> str:
+    return f"try_cast(regexp_extract({text_of(value)}, r'{pattern}', {group}) AS {as_type})"
 
 
-def read_bigint(value: Column, kind: Column) -> Column:
+def read_bigint(value: str, kind: str) -> str:
     """A whole number in any numeric form; text, fractions and overflows give null."""
-    double = F.try_variant_get(value, "$", "double")
-    return (
-        F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-        .when(kind == "DOUBLE", F.when(F.rint(double) == double, double.try_cast("bigint")))
-        .when(kind != "STRING", _read_whole(value))
-    )
+    double = f"try_variant_get({value}, '$', 'double')"
+    return f"""CASE
+        WHEN {kind} = 'BIGINT' THEN try_variant_get({value}, '$', 'bigint')
+        WHEN {kind} = 'DOUBLE' THEN CASE WHEN rint({double}) = {double} THEN try_cast({double} AS BIGINT) END
+        WHEN {kind} <> 'STRING' THEN {_match(value, _WHOLE, 1, "BIGINT")}
+    END"""
 
 
-def read_double(value: Column, kind: Column) -> Column:
+def read_double(value: str, kind: str) -> str:
     """A number in any form; text gives null."""
-    return F.when(
-        kind.startswith("OBJECT<`$number"),
-        F.regexp_extract(text_of(value), _NUMBER, 1).try_cast("double"),
-    ).when(kind.rlike("^(?:BIGINT|D)"), F.try_variant_get(value, "$", "double"))
+    return f"""CASE
+        WHEN startswith({kind}, 'OBJECT<`$number') THEN {_match(value, _NUMBER, 1, "DOUBLE")}
+        WHEN {kind} RLIKE '^(?:BIGINT|D)' THEN try_variant_get({value}, '$', 'double')
+    END"""
 
 
-def read_milliseconds(value: Column, kind: Column) -> Column:
+def read_milliseconds(value: str, kind: str) -> str:
     """Milliseconds since 1970 as a whole number, wrapped or not."""
-    return F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-        kind != "STRING", _read_whole(value)
-    )
+    return f"""CASE
+        WHEN {kind} = 'BIGINT' THEN try_variant_get({value}, '$', 'bigint')
+        WHEN {kind} <> 'STRING' THEN {_match(value, _WHOLE, 1, "BIGINT")}
+    END"""
 
 
-def read_instant(value: Column, kind: Column, milliseconds: Column) -> Column:
+def read_instant(value: str, kind: str, milliseconds: str) -> str:
     """The content of ``$date``: whole milliseconds, already read, or ISO text with a zone."""
-    return F.when(
-        milliseconds.between(-_LAST_MILLISECOND, _LAST_MILLISECOND),
-        F.timestamp_millis(milliseconds),
-    ).when(kind == "STRING", F.regexp_extract(text_of(value), _INSTANT, 0).try_cast("timestamp"))
+    return f"""CASE
+        WHEN {milliseconds} BETWEEN -{_LAST_MILLISECOND} AND {_LAST_MILLISECOND}
+            THEN timestamp_millis({milliseconds})
+        WHEN {kind} = 'STRING' THEN {_match(value, _INSTANT, 0, "TIMESTAMP")}
+    END"""
 
 
-def read_id(value: Column, kind: Column) -> Column:
+def read_id(value: str, kind: str) -> str:
     """The text form of ``$oid``, given as text or as a 64-bit whole number."""
-    return F.when(kind.isin("STRING", "BIGINT"), text_of(value))
+    return f"CASE WHEN {kind} IN ('STRING', 'BIGINT') THEN {text_of(value)} END"

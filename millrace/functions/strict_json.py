@@ -1,4 +1,4 @@
-"""Strict JSON documents as VARIANT.
+"""Strict JSON documents as VARIANT, as SQL expressions.
 
 Spark's JSON readers stop after the first value and ignore whatever follows it.
 To reject such text the document is parsed as the first element of an array
@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import secrets
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 _GUARD = "g" + secrets.token_hex(16)
 
@@ -38,31 +37,29 @@ def use_last_duplicate_key(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def parse_guarded(text: Column) -> Column:
+def parse_guarded(text: str) -> str:
     """VARIANT array ``[document, guard]``, or null for text that is no JSON."""
-    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',{{"{_GUARD}":0}}]')))
+    return f"""try_parse_json(concat('[', {text}, ',{{"{_GUARD}":0}}]'))"""
 
 
-def is_document(guarded: Column) -> Column:
+def is_document(guarded: str) -> str:
     """True when ``parse_guarded`` met one JSON value and nothing after it."""
-    return F.try_variant_get(guarded, f"$[1].{_GUARD}", "variant").isNotNull()
+    return f"(try_variant_get({guarded}, '$[1].{_GUARD}', 'variant') IS NOT NULL)"
 
 
-def document_part(guarded: Column, path: str = "", as_type: str = "variant") -> Column:
+def document_part(guarded: str, path: str = "", as_type: str = "variant") -> str:
     """The document, or what lies at ``path`` in it; null when absent."""
-    return F.try_variant_get(guarded, "$[0]" + path, as_type)
+    return f"try_variant_get({guarded}, '$[0]{path}', '{as_type}')"
 
 
-def text_of(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def text_of(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'string')"
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
+def is_object(value: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), 'OBJECT<'), false)"
 
 
-def is_falsy(value: Column) -> Column:
+def is_falsy(value: str) -> str:
     """True for null, false, 0, "", [] and {}."""
-    return F.concat(
-        F.schema_of_variant(value), F.lit(":"), F.coalesce(text_of(value), F.lit(""))
-    ).rlike(_FALSY)
+    return f"concat(schema_of_variant({value}), ':', coalesce({text_of(value)}, '')) RLIKE r'{_FALSY}'"

@@ -13,7 +13,7 @@ its condition; the metrics collected at the end of the chain keep filters out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.extended_json import (
@@ -35,46 +35,43 @@ from millrace.functions.strict_json import (
 )
 from millrace.schemas import EMPTY, ENRICHED_OUTCOME, ERROR, OUTCOMES, SKIP_REASONS, SKIPPED, TXN
 
-CREATE = "c"
-PLACE = ("topic", "partition", "offset", "value")
-
 _FIELDS = (
     "struct<_id: struct<`$oid`: variant>, user_id: variant, amount: variant,"
     " timestamp: struct<`$date`: variant>>"
 )
 
+# Why a message is no transaction, in the order of the tests; null when it is one.
+_REASON = f"""CASE
+    WHEN NOT is_create THEN CASE
+        WHEN value IS NULL THEN 'TOMBSTONE'
+        WHEN NOT is_utf8 THEN 'BAD_UTF8'
+        WHEN NOT is_envelope THEN 'BAD_JSON'
+        WHEN op IS NOT NULL THEN 'OP'
+        WHEN is_falsy THEN 'EMPTY_ENVELOPE'
+        WHEN is_object THEN 'OP'
+        ELSE 'ENVELOPE_NOT_OBJECT'
+    END
+    WHEN after IS NULL THEN 'AFTER_NOT_STRING'
+    WHEN NOT {is_document("document")} THEN 'AFTER_BAD_JSON'
+    WHEN fields._id IS NULL THEN CASE
+        WHEN is_falsy THEN '{EMPTY}'
+        WHEN is_object THEN 'ID'
+        ELSE 'AFTER_NOT_OBJECT'
+    END
+    WHEN oid_kind IS NULL THEN 'ID_NO_OID'
+    WHEN fields.timestamp IS NULL THEN 'TIMESTAMP'
+    WHEN transaction_id IS NULL
+        OR (user_id IS NULL AND user_kind IS NOT NULL)
+        OR (amount IS NULL AND money_kind IS NOT NULL)
+        OR (timestamp IS NULL AND date_kind IS NOT NULL) THEN 'TYPE'
+END"""
 
-def _reason() -> Column:
-    """Why a message is no transaction; null when it is one."""
-    not_create = (
-        F.when(F.col("value").isNull(), "TOMBSTONE")
-        .when(~F.col("is_utf8"), "BAD_UTF8")
-        .when(~F.col("is_envelope"), "BAD_JSON")
-        .when(F.col("op").isNotNull(), "OP")
-        .when(F.col("is_falsy"), "EMPTY_ENVELOPE")
-        .when(F.col("is_object"), "OP")
-        .otherwise("ENVELOPE_NOT_OBJECT")
-    )
-    no_id = (
-        F.when(F.col("is_falsy"), EMPTY)
-        .when(F.col("is_object"), "ID")
-        .otherwise("AFTER_NOT_OBJECT")
-    )
-    bad_type = (
-        F.col("transaction_id").isNull()
-        | (F.col("user_id").isNull() & F.col("user_kind").isNotNull())
-        | (F.col("amount").isNull() & F.col("money_kind").isNotNull())
-        | (F.col("timestamp").isNull() & F.col("date_kind").isNotNull())
-    )
-    return (
-        F.when(~F.col("is_create"), not_create)
-        .when(F.col("after").isNull(), "AFTER_NOT_STRING")
-        .when(~is_document(F.col("document")), "AFTER_BAD_JSON")
-        .when(F.col("fields._id").isNull(), no_id)
-        .when(F.col("oid_kind").isNull(), "ID_NO_OID")
-        .when(F.col("fields.timestamp").isNull(), "TIMESTAMP")
-        .when(bad_type, "TYPE")
-    )
+_OUTCOME = f"""CASE
+    WHEN verdict = '' THEN '{ENRICHED_OUTCOME}'
+    WHEN verdict IN {SKIP_REASONS} THEN '{SKIPPED}'
+    WHEN verdict = '{EMPTY}' THEN '{EMPTY}'
+    ELSE '{ERROR}'
+END"""
 
 
 def decode(topic: DataFrame, metrics: str | Observation = "decoded") -> DataFrame:
@@ -86,82 +83,64 @@ def decode(topic: DataFrame, metrics: str | Observation = "decoded") -> DataFram
     that name in a stream's progress, or in an ``Observation``.
     """
     use_last_duplicate_key(topic.sparkSession)
-    text = F.col("value").cast("string")
-    envelope, document, fields = F.col("envelope"), F.col("document"), F.col("fields")
-
-    creates = (
-        topic.select(*PLACE, F.is_valid_utf8(text).alias("is_utf8"))
-        .select("*", F.when(F.col("is_utf8"), parse_guarded(text)).alias("envelope"))
-        .select(
+    place = ("topic", "partition", "offset", "value")
+    text = "CAST(value AS STRING)"
+    parts = ("oid", "user", "money", "date")
+    return (
+        topic.selectExpr(*place, f"is_valid_utf8({text}) AS is_utf8")
+        .selectExpr("*", f"CASE WHEN is_utf8 THEN {parse_guarded(text)} END AS envelope")
+        .selectExpr(
             "*",
-            is_document(envelope).alias("is_envelope"),
-            document_part(envelope, ".op").alias("op"),
-            document_part(envelope, ".after").alias("after_value"),
+            f"{is_document('envelope')} AS is_envelope",
+            f"{document_part('envelope', '.op')} AS op",
+            f"{document_part('envelope', '.after')} AS after_value",
         )
-        .select(
+        .selectExpr("*", f"is_envelope AND {text_of('op')} <=> 'c' AS is_create")
+        .selectExpr(
             "*",
-            (F.col("is_envelope") & text_of(F.col("op")).eqNullSafe(CREATE)).alias("is_create"),
+            f"""CASE WHEN is_create AND schema_of_variant(after_value) = 'STRING'
+                THEN {text_of('after_value')} END AS after""",
         )
-    )
-    documents = (
-        creates.select(
+        .selectExpr("*", f"{parse_guarded('after')} AS document")
+        .selectExpr("*", f"{document_part('document', as_type=_FIELDS)} AS fields")
+        .selectExpr(
             "*",
-            F.when(
-                F.col("is_create") & (F.schema_of_variant("after_value") == "STRING"),
-                text_of(F.col("after_value")),
-            ).alias("after"),
+            # Only what is neither a usable envelope nor a usable document is looked at as a whole.
+            f"""CASE
+                WHEN NOT is_create THEN CASE WHEN op IS NULL THEN {document_part('envelope')} END
+                WHEN fields._id IS NULL THEN {document_part('document')}
+            END AS odd""",
+            "fields._id.`$oid` AS oid",
+            "fields.user_id AS user",
+            "fields.amount AS money",
+            "fields.timestamp.`$date` AS date",
         )
-        .select("*", parse_guarded(F.col("after")).alias("document"))
-        .select("*", document_part(document, as_type=_FIELDS).alias("fields"))
-    )
-    parts = documents.select(
-        "*",
-        # Only what is neither a usable envelope nor a usable document is looked at as a whole.
-        F.when(~F.col("is_create"), F.when(F.col("op").isNull(), document_part(envelope)))
-        .when(F.col("fields._id").isNull(), document_part(document))
-        .alias("odd"),
-        fields["_id"]["$oid"].alias("oid"),
-        fields["user_id"].alias("user"),
-        fields["amount"].alias("money"),
-        fields["timestamp"]["$date"].alias("date"),
-    ).select(
-        "*",
-        *[kind_of(F.col(part)).alias(part + "_kind") for part in ("oid", "user", "money", "date")],
-    )
-    typed = (
-        parts.select("*", read_milliseconds(F.col("date"), F.col("date_kind")).alias("milliseconds"))
-        .select(
+        .selectExpr("*", *[f"{kind_of(part)} AS {part}_kind" for part in parts])
+        .selectExpr("*", f"{read_milliseconds('date', 'date_kind')} AS milliseconds")
+        .selectExpr(
             "*",
-            is_falsy(F.col("odd")).alias("is_falsy"),
-            is_object(F.col("odd")).alias("is_object"),
-            read_id(F.col("oid"), F.col("oid_kind")).alias("transaction_id"),
-            read_bigint(F.col("user"), F.col("user_kind")).alias("user_id"),
-            read_double(F.col("money"), F.col("money_kind")).alias("amount"),
-            read_instant(F.col("date"), F.col("date_kind"), F.col("milliseconds")).alias("timestamp"),
+            f"{is_falsy('odd')} AS is_falsy",
+            f"{is_object('odd')} AS is_object",
+            f"{read_id('oid', 'oid_kind')} AS transaction_id",
+            f"{read_bigint('user', 'user_kind')} AS user_id",
+            f"{read_double('money', 'money_kind')} AS amount",
+            f"{read_instant('date', 'date_kind', 'milliseconds')} AS timestamp",
         )
-        .select(*PLACE, F.coalesce(_reason(), F.lit("")).alias("verdict"), *TXN.names)
-    )
-    outcome = (
-        F.when(F.col("verdict") == "", ENRICHED_OUTCOME)
-        .when(F.col("verdict").isin(*SKIP_REASONS), SKIPPED)
-        .when(F.col("verdict") == EMPTY, EMPTY)
-        .otherwise(ERROR)
-    )
-    return (
-        typed.select("*", outcome.alias("outcome"))
-        .select(
+        .selectExpr(*place, f"coalesce({_REASON}, '') AS verdict", *TXN.names)
+        .selectExpr("*", f"{_OUTCOME} AS outcome")
+        .selectExpr(
             "topic",
             "partition",
             "offset",
-            F.when(F.col("outcome") == ERROR, F.col("value")).alias("value"),
+            f"CASE WHEN outcome = '{ERROR}' THEN value END AS value",
             "outcome",
-            F.when(F.col("outcome") == EMPTY, "").otherwise(F.col("verdict")).alias("reason"),
+            f"CASE WHEN outcome = '{EMPTY}' THEN '' ELSE verdict END AS reason",
             *TXN.names,
         )
         .observe(
             metrics,
             F.count(F.lit(1)).alias("received"),
-            *[F.count_if(F.col("outcome") == name).alias(name.lower()) for name in OUTCOMES],
+            *[F.expr(f"count_if(outcome = '{name}')").alias(name.lower()) for name in OUTCOMES],
         )
     )
 

@@ -42,19 +42,20 @@ def enrich_decoded(
         spread=_PLACE,
         hot=hot,
     )
-    found = F.coalesce("found", F.lit(False))
-    judged = joined.withColumn("incomplete", found & (F.col("has_name") != F.col("has_city"))).withColumn(
-        "matched", found & F.col("has_name") & F.col("has_city")
+    judged = joined.selectExpr(
+        "*",
+        "coalesce(found AND has_name <> has_city, false) AS incomplete",
+        "coalesce(found AND has_name AND has_city, false) AS matched",
     )
-    good = (F.col("outcome") == ENRICHED_OUTCOME) & ~F.col("incomplete")
+    field = f"CASE WHEN outcome = '{ENRICHED_OUTCOME}' AND NOT incomplete THEN"
     columns = {
-        "outcome": F.when(F.col("incomplete"), ERROR).otherwise(F.col("outcome")),
-        "reason": F.when(F.col("incomplete"), "USER_INCOMPLETE").otherwise(F.col("reason")),
-        "user_name": F.when(good, F.when(F.col("matched"), F.col("name")).otherwise(UNKNOWN)),
-        "user_city": F.when(good, F.when(F.col("matched"), F.col("city")).otherwise(UNKNOWN)),
+        "outcome": f"CASE WHEN incomplete THEN '{ERROR}' ELSE outcome END",
+        "reason": "CASE WHEN incomplete THEN 'USER_INCOMPLETE' ELSE reason END",
+        "user_name": f"{field} CASE WHEN matched THEN name ELSE '{UNKNOWN}' END END",
+        "user_city": f"{field} CASE WHEN matched THEN city ELSE '{UNKNOWN}' END END",
     }
-    return judged.select(
-        *[columns.get(name, F.col(name)).alias(name) for name in CLASSIFIED.names]
+    return judged.selectExpr(
+        *[f"{columns.get(name, f'`{name}`')} AS `{name}`" for name in CLASSIFIED.names]
     )
 
 

@@ -49,19 +49,15 @@ def write_enriched(
         )
 
     lookups = Observation()
-    is_enriched = F.col("outcome") == ENRICHED_OUTCOME
-    write_batch(
-        classified.observe(
-            lookups,
-            F.count_if(is_enriched).alias("enriched"),
-            F.count_if(
-                is_enriched & (F.col("user_name") == UNKNOWN) & (F.col("user_city") == UNKNOWN)
-            ).alias("unknown"),
-            F.count_if(F.col("reason") == "USER_INCOMPLETE").alias("user_incomplete"),
-        ),
-        sink,
-        batch_id,
+    is_enriched = f"outcome = '{ENRICHED_OUTCOME}'"
+    is_unknown = f"user_name = '{UNKNOWN}' AND user_city = '{UNKNOWN}'"
+    counted = classified.observe(
+        lookups,
+        F.expr(f"count_if({is_enriched})").alias("enriched"),
+        F.expr(f"count_if({is_enriched} AND {is_unknown})").alias("unknown"),
+        F.expr("count_if(reason = 'USER_INCOMPLETE')").alias("user_incomplete"),
     )
+    write_batch(counted, sink, batch_id)
     if staged is not None:
         delete_path(spark, staged)
     return lookups.get

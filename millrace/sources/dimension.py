@@ -67,29 +67,26 @@ def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
     """
     use_last_duplicate_key(documents.sparkSession)
     fields = "struct<user_id: variant, name: variant, city: variant>"
-    guarded, user = F.col("guarded"), F.col("user")
+    others = [name for name in documents.columns if name != column]
     return (
-        documents.select("*", parse_guarded(F.col(column)).alias("guarded"))
-        .select(
+        documents.selectExpr("*", f"{parse_guarded(column)} AS guarded")
+        .selectExpr(
             "*",
-            is_document(guarded).alias("is_document"),
-            document_part(guarded, as_type=fields).alias("user"),
+            f"{is_document('guarded')} AS is_document",
+            f"{document_part('guarded', as_type=fields)} AS user",
         )
-        .select("*", kind_of(user["user_id"]).alias("kind"))
-        .select("*", read_bigint(user["user_id"], F.col("kind")).alias("user_id"))
-        .select(
-            *[name for name in documents.columns if name != column],
-            (
-                F.col("is_document")
-                & user.isNotNull()
-                & (F.col("kind").isNull() | F.col("user_id").isNotNull())
-            ).alias("is_user"),
+        .selectExpr("*", f"{kind_of('user.user_id')} AS kind")
+        .selectExpr("*", f"{read_bigint('user.user_id', 'kind')} AS user_id")
+        .selectExpr(
+            *others,
+            "is_document AND user IS NOT NULL AND (kind IS NULL OR user_id IS NOT NULL) AS is_user",
             "user_id",
-            text_of(user["name"]).alias("name"),
-            text_of(user["city"]).alias("city"),
-            user["name"].isNotNull().alias("has_name"),
-            user["city"].isNotNull().alias("has_city"),
+            f"{text_of('user.name')} AS name",
+            f"{text_of('user.city')} AS city",
+            "user.name IS NOT NULL AS has_name",
+            "user.city IS NOT NULL AS has_city",
         )
+        # Keeps the filter from copying the parse into its condition, as in ``decode``.
         .observe("documents", F.count(F.lit(1)).alias("read"))
         .where("is_user")
         .drop("is_user")

@@ -163,7 +163,7 @@ def dimension(spark, tmp_path_factory):
 
 def verdicts(classified):
     """By offset: outcome, reason and, for enriched messages, the record."""
-    rows = classified.withColumn("micros", F.unix_micros("timestamp")).collect()
+    rows = classified.withColumn("micros", F.unix_micros("timestamp")).drop("timestamp").collect()
     found = {}
     for row in rows:
         record = (row.transaction_id, row.user_id, row.amount, row.micros, row.user_name, row.user_city)
