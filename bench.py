@@ -15,12 +15,11 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode, transactions
-from millrace.operators.enrich import enrich_decoded, enriched
+from millrace.operators.enrich import enriched
 from millrace.plans import fixtures
-from millrace.plans.jobs import BROADCAST_BYTES, backfill
+from millrace.plans.jobs import backfill, classify
 from millrace.plans.queries import QUERIES
 from millrace.session import fresh_dir
 
@@ -72,14 +71,13 @@ def main() -> None:
     fixtures.topic(spark, SF_DIR).repartition(int(CPUS), "offset").write.parquet(topic_path)
     messages = spark.read.parquet(topic_path).count()
     users_path, dimension = fixtures.users_dimension(spark, SF_DIR)
-    small = dimension.lookup_bytes <= BROADCAST_BYTES
 
     def topic() -> DataFrame:
         return spark.read.parquet(topic_path)
 
     timed = {
         "q01_enrich": lambda: consume(
-            enriched(enrich_decoded(decode(topic()), dimension.lookup, small=small))
+            enriched(classify(decode(topic()), dimension, fresh_dir(spark, "decoded")))
         ),
         "q02_decode": lambda: consume(transactions(decode(topic()))),
         "backfill": lambda: backfill(topic(), users_path, fresh_dir(spark, "sink")),

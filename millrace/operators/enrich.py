@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
-from millrace.operators.lookup import hot_keys, lookup_left, reduce_dimension
+from millrace.operators.lookup import lookup_left, reduce_dimension
 from millrace.schemas import CLASSIFIED, ENRICHED, ENRICHED_OUTCOME, ERROR, QUARANTINE, UNKNOWN
 
 _PLACE = ["topic", "partition", "offset"]
@@ -59,19 +59,20 @@ def enrich_decoded(
     )
 
 
-def enrich(topic: DataFrame, users: DataFrame, *, order: str, small: bool) -> DataFrame:
+def enrich(
+    topic: DataFrame,
+    users: DataFrame,
+    *,
+    order: str,
+    small: bool,
+    hot: list[tuple[object, int]] | None = None,
+) -> DataFrame:
     """Columns ``CLASSIFIED`` of every message of a topic, against users as loaded.
 
     Of several users under one id the first by ``order`` counts.
     """
     lookup = reduce_dimension(with_presence(users), "user_id", order)
-    decoded = decode(topic)
-    hot = None if small else hot_keys(decoded, "user_id", shuffle_partitions(topic))
-    return enrich_decoded(decoded, lookup, small=small, hot=hot)
-
-
-def shuffle_partitions(frame: DataFrame) -> int:
-    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return enrich_decoded(decode(topic), lookup, small=small, hot=hot)
 
 
 def enriched(classified: DataFrame) -> DataFrame:

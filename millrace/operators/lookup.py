@@ -23,13 +23,16 @@ def reduce_dimension(rows: DataFrame, key: str, order: str) -> DataFrame:
     return first.select(key, *[F.col("first")[name].alias(name) for name in values])
 
 
-def hot_keys(events: DataFrame, on: str, partitions: int) -> list[tuple[object, int]]:
+def hot_keys(
+    events: DataFrame, on: str, partitions: int | None = None
+) -> list[tuple[object, int]]:
     """Keys worth more than two partitions of events, with the number of parts to cut them into.
 
-    One pass with a mergeable sketch of fixed size. The list only steers how
+    ``partitions`` is that of the session's shuffles unless given. One pass with a mergeable sketch of fixed size. The list only steers how
     the join is spread, never its result, and the parts sum up to
     ``partitions`` plus one per key at most.
     """
+    partitions = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top, total = events.agg(
         F.expr(f"approx_top_k({on}, {_TOP_KEYS}, {_TRACKED_KEYS})"), F.count(F.lit(1))
     ).head()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
-from millrace.operators.enrich import enrich_decoded, shuffle_partitions
+from millrace.operators.enrich import enrich_decoded
 from millrace.operators.lookup import hot_keys
 from millrace.schemas import ENRICHED_OUTCOME, ERROR, UNKNOWN
 from millrace.session import fresh_dir
@@ -18,48 +18,54 @@ from millrace.sources.dimension import Dimension, current_dimension
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def write_enriched(
+def classify(
     decoded: DataFrame,
     dimension: Dimension,
-    sink: str,
-    batch_id: int,
+    staging: str,
     broadcast_bytes: int = BROADCAST_BYTES,
-) -> dict[str, int]:
-    """Enriches one batch into the sink and returns what became of the lookups.
+) -> DataFrame:
+    """Columns ``CLASSIFIED`` of the records and errors among decoded messages.
 
     With a small dimension this is one stage without a shuffle. A large one is
-    joined by a shuffle of the transactions; they are first written to the
-    shared folder, so that counting the hot keys decodes nothing twice and a
-    lost executor costs no more than the join. Errors have nothing to look up
-    and bypass the shuffle.
+    joined by a shuffle of the transactions; they are first written to
+    ``staging``, so that counting the hot keys decodes nothing twice and a lost
+    executor costs no more than the join. Errors have nothing to look up and
+    bypass the shuffle.
     """
-    spark = decoded.sparkSession
     relevant = decoded.where(F.col("outcome").isin(ENRICHED_OUTCOME, ERROR))
-    staged = None
     if dimension.lookup_bytes <= broadcast_bytes:
-        classified = enrich_decoded(relevant, dimension.lookup, small=True)
-    else:
-        staged = fresh_dir(spark, "decoded")
-        relevant.write.partitionBy("outcome").parquet(staged)
-        rows = spark.read.schema(relevant.schema).parquet(staged)
-        good = rows.where(F.col("outcome") == ENRICHED_OUTCOME)
-        hot = hot_keys(good, "user_id", shuffle_partitions(decoded))
-        classified = enrich_decoded(good, dimension.lookup, small=False, hot=hot).unionByName(
-            rows.where(F.col("outcome") == ERROR), allowMissingColumns=True
-        )
+        return enrich_decoded(relevant, dimension.lookup, small=True)
+    relevant.write.partitionBy("outcome").parquet(staging)
+    rows = decoded.sparkSession.read.schema(relevant.schema).parquet(staging)
+    good = rows.where(F.col("outcome") == ENRICHED_OUTCOME)
+    bad = rows.where(F.col("outcome") == ERROR)
+    hot = hot_keys(good, "user_id")
+    return enrich_decoded(good, dimension.lookup, small=False, hot=hot).unionByName(
+        bad, allowMissingColumns=True
+    )
 
+
+def write_enriched(
+    decoded: DataFrame,
+    dimension: Dimension,
+    sink: str,
+    batch_id: int,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> dict[str, int]:
+    """Enriches one batch into the sink and returns what became of the lookups."""
+    spark = decoded.sparkSession
+    staging = fresh_dir(spark, "decoded")
     lookups = Observation()
     is_enriched = f"outcome = '{ENRICHED_OUTCOME}'"
     is_unknown = f"user_name = '{UNKNOWN}' AND user_city = '{UNKNOWN}'"
-    counted = classified.observe(
+    counted = classify(decoded, dimension, staging, broadcast_bytes).observe(
         lookups,
         F.expr(f"count_if({is_enriched})").alias("enriched"),
         F.expr(f"count_if({is_enriched} AND {is_unknown})").alias("unknown"),
         F.expr("count_if(reason = 'USER_INCOMPLETE')").alias("user_incomplete"),
     )
     write_batch(counted, sink, batch_id)
-    if staged is not None:
-        delete_path(spark, staged)
+    delete_path(spark, staging)
     return lookups.get
 
 

@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode, transactions
 from millrace.operators.encode import encode_envelope
-from millrace.operators.enrich import (
-    enrich_decoded,
-    enriched,
-    shuffle_partitions,
-)
+from millrace.operators.enrich import enriched
 from millrace.operators.inspect import first_rows, local_time, round_amount, utc_time
 from millrace.operators.lookup import hot_keys, lookup_left, reduce_dimension
 from millrace.plans import fixtures
-from millrace.plans.jobs import BROADCAST_BYTES, backfill
+from millrace.plans.jobs import BROADCAST_BYTES, backfill, classify
 from millrace.schemas import TXN, UNKNOWN
 from millrace.session import fresh_dir
 from millrace.sinks.files import delete_path
@@ -45,9 +41,7 @@ def _written_topic(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dimension = fixtures.users_dimension(spark, sf_dir)
     decoded = decode(fixtures.topic(spark, sf_dir))
-    small = dimension.lookup_bytes <= BROADCAST_BYTES
-    hot = None if small else hot_keys(decoded, "user_id", shuffle_partitions(decoded))
-    return _utc(enriched(enrich_decoded(decoded, dimension.lookup, small=small, hot=hot)))
+    return _utc(enriched(classify(decoded, dimension, fresh_dir(spark, "decoded"))))
 
 
 def decode_only(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +53,7 @@ def _with_default(joined: DataFrame, field: str, name: str) -> DataFrame:
 
 
 def _lookup(events: DataFrame, lookup: DataFrame, on: str, key: str, small: bool) -> DataFrame:
-    hot = None if small else hot_keys(events, on, shuffle_partitions(events))
+    hot = None if small else hot_keys(events, on)
     return lookup_left(events, lookup, on, key, small=small, spread=["event_id"], hot=hot)
 
 
@@ -150,10 +144,7 @@ def dimension_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     refresh_dimension(users_from_documents(documents, "document"), path)
     dimension = current_dimension(spark, path)
     decoded = decode(fixtures.topic(spark, sf_dir))
-    small = dimension.lookup_bytes <= BROADCAST_BYTES
-    hot = None if small else hot_keys(decoded, "user_id", shuffle_partitions(decoded))
-    classified = enrich_decoded(decoded, dimension.lookup, small=small, hot=hot)
-    return classified.where(F.col("outcome") != "SKIPPED").select(
+    return classify(decoded, dimension, fresh_dir(spark, "decoded")).select(
         "offset", "outcome", "reason", "user_name", "user_city"
     )
 
