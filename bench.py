@@ -67,13 +67,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    topic_path = fresh_dir(spark, "topic")
-    fixtures.topic(spark, SF_DIR).repartition(int(CPUS), "offset").write.parquet(topic_path)
-    messages = spark.read.parquet(topic_path).count()
+    messages = fixtures.topic(spark, SF_DIR).count()
     users_path, dimension = fixtures.users_dimension(spark, SF_DIR)
 
     def topic() -> DataFrame:
-        return spark.read.parquet(topic_path)
+        return fixtures.topic(spark, SF_DIR)
 
     timed = {
         "q01_enrich": lambda: consume(

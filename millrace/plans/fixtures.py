@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.encode import document_text, encode_envelope
 from millrace.session import fresh_dir
+from millrace.sinks.files import path_exists
 from millrace.sources.dimension import Dimension, current_dimension, refresh_dimension
+from millrace.sources.topic import topic_batch
 
 TRANSACTIONS_TOPIC = "cdc.mydatabase.transactions"
 USERS_TOPIC = "cdc.mydatabase.users"
@@ -70,45 +74,72 @@ def as_topic(rows: DataFrame, topic: Column | None = None) -> DataFrame:
     )
 
 
-def topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a change message."""
-    return as_topic(encode_envelope(events_as_transactions(spark, sf_dir)))
-
-
-def mixed_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-ups belong to the users' topic, all else to the transactions'."""
-    name = F.when(F.col("event_type") == "signup", USERS_TOPIC).otherwise(TRANSACTIONS_TOPIC)
-    return as_topic(encode_envelope(events_as_transactions(spark, sf_dir)), name)
-
-
-def damaged_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``topic``, but errors are broken in four ways."""
+def _broken() -> Column:
+    """Four ways to break a message."""
     good = F.to_json(F.struct(F.lit("c").alias("op"), document_text().alias("after")))
-    nested = F.to_json(
-        F.struct(F.lit("c").alias("op"), F.struct("user_id", "amount").alias("after"))
-    )
+    nested = F.to_json(F.struct(F.lit("c").alias("op"), F.struct("user_id", "amount").alias("after")))
     way = F.col("event_id") % 4
-    broken = (
+    text = (
         F.when(way == 0, F.substring(good, F.lit(1), (F.length(good) / 2).cast("int")))
         .when(way == 1, "{}")
         .when(way == 2, nested)
         .otherwise('{"op":"c","after":"null"}')
     )
-    rows = encode_envelope(events_as_transactions(spark, sf_dir)).withColumn(
-        "value",
-        F.when(F.col("event_type") == "error", broken.cast("binary")).otherwise(F.col("value")),
-    )
+    return text.cast("binary")
+
+
+def messages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Every event as a change message.
+
+    In a ``mixed`` topic sign-ups belong to the users' collection; in one of
+    ``creates`` every operation is a create; in a ``damaged`` one errors are
+    broken. A ``plain`` one has none of this.
+    """
+    events = events_as_transactions(spark, sf_dir)
+    if kind == "creates":
+        events = events.withColumn("op", F.lit("c"))
+    rows = encode_envelope(events)
+    if kind == "damaged":
+        is_error = F.col("event_type") == "error"
+        rows = rows.withColumn("value", F.when(is_error, _broken()).otherwise(F.col("value")))
+    if kind == "mixed":
+        name = F.when(F.col("event_type") == "signup", USERS_TOPIC).otherwise(TRANSACTIONS_TOPIC)
+        return as_topic(rows, name)
     return as_topic(rows)
 
 
-_loaded: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """The path of something written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written or not path_exists(spark, _written[key]):
+        path = fresh_dir(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def topic_path(spark: SparkSession, sf_dir: str, kind: str = "plain") -> str:
+    """Files with the messages, spread over as many parts as there are cores."""
+    parts = spark.sparkContext.defaultParallelism
+
+    def write(path: str) -> None:
+        messages(spark, sf_dir, kind).repartition(parts, "offset").write.parquet(path)
+
+    return _once(spark, sf_dir, f"topic-{kind}", write)
+
+
+def topic(spark: SparkSession, sf_dir: str, kind: str = "plain") -> DataFrame:
+    return topic_batch(spark, "parquet", path=topic_path(spark, sf_dir, kind))
 
 
 def users_dimension(spark: SparkSession, sf_dir: str) -> tuple[str, Dimension]:
-    """``users`` loaded as a dimension, once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _loaded:
-        path = fresh_dir(spark, "users")
+    """``users`` loaded as a dimension."""
+
+    def write(path: str) -> None:
         refresh_dimension(users(spark, sf_dir), path)
-        _loaded[key] = path
-    return _loaded[key], current_dimension(spark, _loaded[key])
+
+    path = _once(spark, sf_dir, "users", write)
+    return path, current_dimension(spark, path)

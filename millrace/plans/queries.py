@@ -30,14 +30,6 @@ def _utc(rows: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", utc_time(F.col("timestamp")))
 
 
-def _written_topic(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
-    """The change topic as files."""
-    path = fresh_dir(spark, "topic")
-    records = fixtures.topic(spark, sf_dir)
-    (records if files == 1 else records.repartition(files, "offset")).write.parquet(path)
-    return path
-
-
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dimension = fixtures.users_dimension(spark, sf_dir)
     decoded = decode(fixtures.topic(spark, sf_dir))
@@ -66,14 +58,14 @@ def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(fixtures.damaged_topic(spark, sf_dir))
+    decoded = decode(fixtures.topic(spark, sf_dir, "damaged"))
     return decoded.groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = fresh_dir(spark, "sink")
     path, _ = fixtures.users_dimension(spark, sf_dir)
-    backfill(fixtures.damaged_topic(spark, sf_dir), path, sink)
+    backfill(fixtures.topic(spark, sf_dir, "damaged"), path, sink)
     return read_quarantine(spark, sink).select("offset", "reason")
 
 
@@ -154,7 +146,7 @@ def inspect_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic_batch(spark, "parquet", path=_written_topic(spark, sf_dir)).select(
+    return topic_batch(spark, "parquet", path=fixtures.topic_path(spark, sf_dir)).select(
         "offset", F.col("key").cast("string").alias("event_type")
     )
 
@@ -169,20 +161,14 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = decode(fixtures.topic(spark, sf_dir).withColumn("value", _as_create()))
+    decoded = decode(fixtures.topic(spark, sf_dir, "creates"))
     return decoded.select(
         F.col("offset").alias("event_id"), local_time(F.col("timestamp")).alias("local_time")
     )
 
 
-def _as_create():
-    """Any envelope with its operation replaced by a create."""
-    text = F.col("value").cast("string")
-    return F.regexp_replace(text, '^\\{"op":"."', '{"op":"c"').cast("binary")
-
-
 def route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = route_topic(fixtures.mixed_topic(spark, sf_dir), "cdc", "mydatabase", "transactions")
+    routed = route_topic(fixtures.topic(spark, sf_dir, "mixed"), "cdc", "mydatabase", "transactions")
     return routed.select("offset")
 
 
@@ -201,7 +187,7 @@ def round_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts a backfill reports, observed while it wrote the damaged topic."""
     path, _ = fixtures.users_dimension(spark, sf_dir)
-    counts = backfill(fixtures.damaged_topic(spark, sf_dir), path, fresh_dir(spark, "sink"))
+    counts = backfill(fixtures.topic(spark, sf_dir, "damaged"), path, fresh_dir(spark, "sink"))
     return spark.createDataFrame(
         [(name, counts[name]) for name in ("received", "enriched", "skipped", "empty", "error", "unknown")],
         "metric string, n bigint",
@@ -234,12 +220,12 @@ def _run(spark: SparkSession, topic_path: str, dimension: str, sink: str, checkp
 def enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     dimension, _ = fixtures.users_dimension(spark, sf_dir)
     sink = fresh_dir(spark, "sink")
-    _run(spark, _written_topic(spark, sf_dir, 4), dimension, sink, fresh_dir(spark, "checkpoint"))
+    _run(spark, fixtures.topic_path(spark, sf_dir), dimension, sink, fresh_dir(spark, "checkpoint"))
     return _utc(read_enriched(spark, sink))
 
 
-def _append_half(spark: SparkSession, sf_dir: str, path: str, half: int) -> None:
-    records = fixtures.topic(spark, sf_dir).where(F.col("offset") % 2 == half)
+def _append_half(spark: SparkSession, sf_dir: str, path: str, half: int, kind: str = "plain") -> None:
+    records = fixtures.topic(spark, sf_dir, kind).where(F.col("offset") % 2 == half)
     records.write.mode("append").parquet(path)
 
 
@@ -259,8 +245,7 @@ def dimension_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic_path, sink, checkpoint = (fresh_dir(spark, name) for name in ("topic", "sink", "checkpoint"))
     for half, people in ((0, fixtures.users), (1, fixtures.all_customers)):
         refresh_dimension(people(spark, sf_dir), dimension)
-        records = fixtures.topic(spark, sf_dir).where(F.col("offset") % 2 == half)
-        records.withColumn("value", _as_create()).write.mode("append").parquet(topic_path)
+        _append_half(spark, sf_dir, topic_path, half, "creates")
         _run(spark, topic_path, dimension, sink, checkpoint)
     return read_enriched(spark, sink).select(
         F.conv("transaction_id", 16, 10).cast("bigint").alias("event_id"), "user_name"
@@ -270,7 +255,7 @@ def dimension_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last batch runs again, as after a crash between its write and its commit."""
     dimension, _ = fixtures.users_dimension(spark, sf_dir)
-    topic_path = _written_topic(spark, sf_dir, 4)
+    topic_path = fixtures.topic_path(spark, sf_dir)
     sink, checkpoint = fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint")
     last = _run(spark, topic_path, dimension, sink, checkpoint).lastProgress["batchId"]
     delete_path(spark, f"{checkpoint}/commits/{last}")
@@ -282,7 +267,7 @@ def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second run that starts over: sink and position cleared together."""
     dimension, _ = fixtures.users_dimension(spark, sf_dir)
-    topic_path = _written_topic(spark, sf_dir, 4)
+    topic_path = fixtures.topic_path(spark, sf_dir)
     sink, checkpoint = fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint")
     _run(spark, topic_path, dimension, sink, checkpoint)
     _run(spark, topic_path, dimension, sink, checkpoint, reset=True)
@@ -290,7 +275,7 @@ def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topic_path = _written_topic(spark, sf_dir, 4)
+    topic_path = fixtures.topic_path(spark, sf_dir)
     path, checkpoint = fresh_dir(spark, "raw"), fresh_dir(spark, "checkpoint")
     source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger="2")
     run_raw_stream(source, path, checkpoint, trigger=_ONCE).awaitTermination()
@@ -300,8 +285,7 @@ def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome counts summed over the progress of a stream's batches."""
     dimension, _ = fixtures.users_dimension(spark, sf_dir)
-    topic_path = fresh_dir(spark, "topic")
-    fixtures.damaged_topic(spark, sf_dir).repartition(4, "offset").write.parquet(topic_path)
+    topic_path = fixtures.topic_path(spark, sf_dir, "damaged")
     query = _run(spark, topic_path, dimension, fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint"))
     totals: dict[str, int] = {}
     for progress in query.recentProgress:

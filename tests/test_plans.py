@@ -16,10 +16,8 @@ JIT_LIMIT = 8000
 
 
 @pytest.fixture(scope="module")
-def topic(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("topic") / "records")
-    fixtures.topic(spark, SF_DIR).write.parquet(path)
-    return spark.read.parquet(path)
+def topic(spark):
+    return fixtures.topic(spark, SF_DIR)
 
 
 def explained(frame, mode, capsys):
