@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.extended_json import (
-    kind_of,
     read_bigint,
     read_double,
     read_id,
@@ -29,8 +28,9 @@ from millrace.functions.strict_json import (
     is_document,
     is_falsy,
     is_object,
+    json_of,
     parse_guarded,
-    text_of,
+    string_of,
     use_last_duplicate_key,
 )
 from millrace.schemas import EMPTY, ENRICHED_OUTCOME, ERROR, OUTCOMES, SKIP_REASONS, SKIPPED, TXN
@@ -58,12 +58,12 @@ _REASON = f"""CASE
         WHEN is_object THEN 'ID'
         ELSE 'AFTER_NOT_OBJECT'
     END
-    WHEN oid_kind IS NULL THEN 'ID_NO_OID'
+    WHEN oid IS NULL OR is_variant_null(oid) THEN 'ID_NO_OID'
     WHEN fields.timestamp IS NULL THEN 'TIMESTAMP'
     WHEN transaction_id IS NULL
-        OR (user_id IS NULL AND user_kind IS NOT NULL)
-        OR (amount IS NULL AND money_kind IS NOT NULL)
-        OR (timestamp IS NULL AND date_kind IS NOT NULL) THEN 'TYPE'
+        OR (user_id IS NULL AND user <> 'null')
+        OR (amount IS NULL AND money <> 'null')
+        OR (timestamp IS NULL AND date <> 'null') THEN 'TYPE'
 END"""
 
 _OUTCOME = f"""CASE
@@ -85,7 +85,6 @@ def decode(topic: DataFrame, metrics: str | Observation = "decoded") -> DataFram
     use_last_duplicate_key(topic.sparkSession)
     place = ("topic", "partition", "offset", "value")
     text = "CAST(value AS STRING)"
-    parts = ("oid", "user", "money", "date")
     return (
         topic.selectExpr(*place, f"is_valid_utf8({text}) AS is_utf8")
         .selectExpr("*", f"CASE WHEN is_utf8 THEN {parse_guarded(text)} END AS envelope")
@@ -95,36 +94,31 @@ def decode(topic: DataFrame, metrics: str | Observation = "decoded") -> DataFram
             f"{document_part('envelope', '.op')} AS op",
             f"{document_part('envelope', '.after')} AS after_value",
         )
-        .selectExpr("*", f"is_envelope AND {text_of('op')} <=> 'c' AS is_create")
-        .selectExpr(
-            "*",
-            f"""CASE WHEN is_create AND schema_of_variant(after_value) = 'STRING'
-                THEN {text_of('after_value')} END AS after""",
-        )
+        .selectExpr("*", f"is_envelope AND {string_of('op')} <=> 'c' AS is_create")
+        .selectExpr("*", f"CASE WHEN is_create THEN {string_of('after_value')} END AS after")
         .selectExpr("*", f"{parse_guarded('after')} AS document")
         .selectExpr("*", f"{document_part('document', as_type=_FIELDS)} AS fields")
         .selectExpr(
             "*",
             # Only what is neither a usable envelope nor a usable document is looked at as a whole.
-            f"""CASE
+            f"""{json_of(f"""CASE
                 WHEN NOT is_create THEN CASE WHEN op IS NULL THEN {document_part('envelope')} END
                 WHEN fields._id IS NULL THEN {document_part('document')}
-            END AS odd""",
+            END""")} AS odd""",
             "fields._id.`$oid` AS oid",
-            "fields.user_id AS user",
-            "fields.amount AS money",
-            "fields.timestamp.`$date` AS date",
+            f"{json_of('fields.user_id')} AS user",
+            f"{json_of('fields.amount')} AS money",
+            f"{json_of('fields.timestamp.`$date`')} AS date",
         )
-        .selectExpr("*", *[f"{kind_of(part)} AS {part}_kind" for part in parts])
-        .selectExpr("*", f"{read_milliseconds('date', 'date_kind')} AS milliseconds")
+        .selectExpr("*", f"{read_milliseconds('date')} AS milliseconds")
         .selectExpr(
             "*",
             f"{is_falsy('odd')} AS is_falsy",
             f"{is_object('odd')} AS is_object",
-            f"{read_id('oid', 'oid_kind')} AS transaction_id",
-            f"{read_bigint('user', 'user_kind')} AS user_id",
-            f"{read_double('money', 'money_kind')} AS amount",
-            f"{read_instant('date', 'date_kind', 'milliseconds')} AS timestamp",
+            f"{read_id('oid')} AS transaction_id",
+            f"{read_bigint('user')} AS user_id",
+            f"{read_double('money')} AS amount",
+            f"{read_instant('date', 'milliseconds')} AS timestamp",
         )
         .selectExpr(*place, f"coalesce({_REASON}, '') AS verdict", *TXN.names)
         .selectExpr("*", f"{_OUTCOME} AS outcome")

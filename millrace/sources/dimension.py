@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.extended_json import kind_of, read_bigint
+from millrace.functions.extended_json import read_bigint
 from millrace.functions.strict_json import (
     document_part,
     is_document,
+    json_of,
     parse_guarded,
-    text_of,
+    string_of,
     use_last_duplicate_key,
 )
 from millrace.operators.enrich import with_presence
@@ -75,14 +76,14 @@ def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
             f"{is_document('guarded')} AS is_document",
             f"{document_part('guarded', as_type=fields)} AS user",
         )
-        .selectExpr("*", f"{kind_of('user.user_id')} AS kind")
-        .selectExpr("*", f"{read_bigint('user.user_id', 'kind')} AS user_id")
+        .selectExpr("*", f"{json_of('user.user_id')} AS id")
+        .selectExpr("*", f"{read_bigint('id')} AS user_id")
         .selectExpr(
             *others,
-            "is_document AND user IS NOT NULL AND (kind IS NULL OR user_id IS NOT NULL) AS is_user",
+            "is_document AND user IS NOT NULL AND (user_id IS NOT NULL OR coalesce(id, 'null') = 'null') AS is_user",
             "user_id",
-            f"{text_of('user.name')} AS name",
-            f"{text_of('user.city')} AS city",
+            f"coalesce({string_of('user.name')}, nullif({json_of('user.name')}, 'null')) AS name",
+            f"coalesce({string_of('user.city')}, nullif({json_of('user.city')}, 'null')) AS city",
             "user.name IS NOT NULL AS has_name",
             "user.city IS NOT NULL AS has_city",
         )
