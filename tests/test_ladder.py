@@ -139,6 +139,7 @@ CORPUS = [
     (good(_id=None, timestamp=None, user_id="x"), error("ID")),
     (good(timestamp=None, user_id="x"), error("TIMESTAMP")),
     (good(user_id=5, amount="x"), error("TYPE")),
+    (good(_id={"$oid": 1.0}), error("TYPE")),
 ]
 
 
