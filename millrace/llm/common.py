@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,16 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from the path the driver has it at, if it is there."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -46,3 +58,8 @@ def broadcast_if_small(frame: DataFrame, rows: int) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Parts into which a key is split that may hold a large share of the rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def fold_number(doc_id: Column, folds: int = 5) -> Column:
+    """The fold of a document, by the crc32 of its id as text; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

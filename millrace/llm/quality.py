@@ -153,13 +153,10 @@ def learn_thresholds(metrics: DataFrame) -> DataFrame:
     by_lang = merged("lang")
     by_lang = by_lang.select(F.col("lang").alias("l"), F.when(F.col("n") >= MIN_GROUP, limits(by_lang)).alias("by_lang"))
     overall = merged().where(F.col("n").isNotNull())
-    overall = overall.select(F.lit(True).alias("one"), limits(overall).alias("overall"))
-    chosen = (
-        own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
-        .withColumn("one", F.lit(True))
-        .join(F.broadcast(overall), "one")
-        .select("lang", "source", F.coalesce("own", "by_lang", "overall").alias("limits"))
-    )
+    whole = overall.select(limits(overall).alias("limits")).first()  # one row
+    whole = F.struct(*(F.lit(v).alias(k) for k, v in whole["limits"].asDict().items())) if whole else F.lit(None)
+    chosen = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")))
+    chosen = chosen.select("lang", "source", F.coalesce("own", "by_lang", whole).alias("limits"))
     return written(chosen.select("lang", "source", "limits.*"), "quality-thresholds")
 
 

@@ -3,15 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import exact_dedup, mixing, packing, quality, toxicity, url_filters
 from millrace.llm.common import read_documents
+from millrace.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_documents(spark, sf_dir), keep_ids=False)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_documents(spark, sf_dir))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read_documents(spark, sf_dir))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(read_documents(spark, sf_dir))
+    judged = quality.judge_quality(read_documents(spark, sf_dir))
+    return judged.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op8_mixing": op8_mixing,
+    "op10_quality_rules": op10_quality_rules,
+}
