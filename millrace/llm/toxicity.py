@@ -27,15 +27,15 @@ from millrace.llm.text import chunks, lowered, mixed, word_hashes
 
 BITS = 18
 MAX_PER_CLASS = 3000
-EPOCHS = 3
+EPOCHS = 6
 SEED = 11
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 8.0
     l2: float = 1.0
 
 
@@ -54,7 +54,12 @@ def _texts_features(texts: pa.Array, bits: int) -> Iterator[np.ndarray]:
 
 
 def train_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, rule: Ftrl = Ftrl(), epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias. ``examples`` hold the places of the features that are present."""
+    """Weights and bias. ``examples`` hold the places of the features that are present.
+
+    The rarer label weighs more, by the square root of how much rarer it is.
+    """
+    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-9, 1 - 1e-9)
+    weight = np.maximum(1, np.sqrt([share / (1 - share), (1 - share) / share])) if 0 < labels.sum() < len(labels) else np.ones(2)
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -68,6 +73,7 @@ def train_ftrl(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS,
             at = np.append(examples[i], bias)
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[i]
+            g *= weight[int(labels[i])]
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / rule.alpha
             z[at] += g - sigma * w
             n[at] += g * g
