@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import class_lm, exact_dedup, mixing, packing, quality, toxicity, url_filters
+from millrace.llm import class_lm, exact_dedup, language_id, mixing, packing, quality, toxicity, url_filters
 from millrace.llm.common import read_documents
 from millrace.llm.oracles import ORACLES
 
@@ -35,6 +35,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(read_documents(spark, sf_dir))
     return judged.select("doc_id", *quality.COUNTS[:5], "base_failed", "kept")
@@ -47,5 +51,6 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
