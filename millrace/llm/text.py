@@ -61,6 +61,6 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, "u8")
     total = np.zeros(n, "u8")
-    for i in range(size):
-        total += words[i : i + n] * np.uint64(0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * i | 1 & 0xFFFFFFFFFFFFFFFF)
+    for i, factor in enumerate(mixed(np.arange(1, size + 1)) | np.uint64(1)):
+        total += words[i : i + n] * factor
     return mixed(total)
