@@ -34,8 +34,8 @@ SHINGLE = 5
 PERCENT = 75  # similarity: 100 * intersection >= PERCENT * union
 COARSE_PERCENT = 15  # of a set: tokens that the coarse index wants shared among the smallest hashes
 BUCKET_TOKENS = 1_500_000  # of an index bucket, which one task sorts
-SHORT_LIST = 48  # lists up to here are paired at once, longer ones from a few probes a round
-PROBES = 4  # per list and round
+SHORT_LIST = 32  # lists up to here are paired at once, longer ones from a few probes a round
+PROBES = 8  # per list and round
 BLOCK = 1000  # sets in a block, about
 BROADCAST_IDS = 2_000_000  # 16 MB
 
@@ -326,3 +326,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     joined = sets.join(by_set, "sid", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest id; rows with a null id stay."""
+    found = near_duplicates(docs, size).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

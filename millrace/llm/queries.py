@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import class_lm, exact_dedup, language_id, mixing, ngram_join, packing, quality, toxicity, url_filters
+from millrace.llm import class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
 from millrace.llm.common import read_documents
 from millrace.llm.oracles import ORACLES
 
@@ -35,6 +35,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(read_documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(read_documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_class_lm": op4_class_lm,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filters": op6_url_filters,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
