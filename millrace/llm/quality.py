@@ -13,11 +13,14 @@ and kept by ``reject_low_quality``, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD_CLASS, broadcast_if_small, words_of, written
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
@@ -59,67 +62,67 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, step: total + step)
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutters")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once.
 
+    Columns on columns would do the same, but the optimizer's constraints double with each of them when the
+    result is joined and filtered.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def with_metrics(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` and a struct ``name`` of counts and metrics of ``text``, without a shuffle.
 
-    Each step is a column of its own, so that no array is built twice.
-    """
-    col = lambda x: F.col(f"{name}_{x}")
+def _word_counts(raw: Column) -> Column:
+    """Counts that need the words: how many, their characters, repeated windows, words equal to the one before."""
+
+    def repeats(windows: Column) -> Column:
+        placed = F.sort_array(F.transform(windows, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        covered = _let(placed, lambda p: _let(_repeated_places(p), _covered))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0))
+
+    def counted(word: Column) -> Column:
+        last = F.greatest(F.size(word) - (WINDOW - 1), F.lit(0))
+        windows = _let(_chained(word, 1), lambda two: _let(_chained(two, 2), lambda four: F.slice(_chained(four, 4), F.lit(1), last)))
+        same = F.filter(F.zip_with(word, F.slice(word, F.lit(2), F.size(word)), lambda a, b: a == b), lambda equal: equal)
+        return F.struct(
+            F.size(word).cast("long").alias("n_words"),
+            F.length(F.array_join(raw, "")).cast("long").alias("word_chars"),
+            _let(windows, repeats).cast("long").alias("n_repeat_words"),
+            F.size(same).cast("long").alias("n_stutters"),
+        )
+
+    return _let(F.transform(raw, lambda w: F.xxhash64(w)), counted)
+
+
+def with_metrics(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and a struct ``name`` of counts and metrics of ``text``, without a shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    windows = F.slice(_chained(col("four"), 4), F.lit(1), F.greatest(F.size(col("word")) - (WINDOW - 1), F.lit(0)))
-    placed = F.transform(col("eight"), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    stutters = F.zip_with(col("word"), F.slice(col("word"), F.lit(2), F.size(col("word"))), lambda a, b: a == b)
-    frame = docs
-    for step, value in (
-        ("raw", words_of(F.col("text"))),
-        ("word", F.transform(col("raw"), lambda w: F.xxhash64(w))),
-        ("line", F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_CLASS))),
-        ("two", _chained(col("word"), 1)),
-        ("four", _chained(col("two"), 2)),
-        ("eight", windows),
-        ("placed", F.when(F.size(F.array_distinct(col("eight"))) < F.size(col("eight")), F.sort_array(placed))),
-        ("places", F.when(col("placed").isNotNull(), _repeated_places(col("placed")))),
-        (
-            "count",
-            F.struct(
-                *(
-                    value.cast("long").alias(count)
-                    for count, value in zip(
-                        COUNTS,
-                        (
-                            F.size(col("word")),
-                            F.length(F.array_join(col("raw"), "")),
-                            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")),
-                            F.size(col("line")) - F.size(F.array_distinct(col("line"))),
-                            F.when(col("places").isNull(), 0).otherwise(_covered(col("places"))),
-                            F.size(col("line")),
-                            F.regexp_count(text, F.lit(r"\p{Lu}")),
-                            F.size(F.filter(stutters, lambda same: same)),
-                        ),
-                        strict=True,
-                    )
-                )
-            ),
-        ),
-    ):
-        frame = frame.withColumn(f"{name}_{step}", value)
-    c = {x: F.col(f"{name}_count.{x}") for x in COUNTS}
-    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEATED_PERCENT * c["n_words"])
-    per = lambda over, under: F.when(c[under] > 0, c[over] / c[under]).otherwise(0.0)
-    found = F.struct(
-        *(c[x].alias(x) for x in COUNTS[:5]),
-        failed.alias("base_failed"),
-        per("n_symbols", "word_chars").alias("symbol_ratio"),
-        per("n_upper", "word_chars").alias("upper_ratio"),
-        per("n_repeat_words", "n_words").alias("repeat_ratio"),
-        per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-        per("n_stutters", "n_words").alias("stutter_ratio"),
-        per("word_chars", "n_words").alias("word_length"),
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_CLASS))
+    counts = F.struct(
+        _let(words_of(F.col("text")), _word_counts).alias("of_words"),
+        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("of_lines"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
-    return frame.withColumn(name, found).select(*docs.columns, name)
+
+    def judged(c: Column) -> Column:
+        words, of_lines = c["of_words"], c["of_lines"]
+        per = lambda over, under: F.when(under > 0, over / under).otherwise(0.0)
+        return F.struct(
+            words["n_words"].alias("n_words"),
+            words["word_chars"].alias("word_chars"),
+            c["n_symbols"].alias("n_symbols"),
+            of_lines["n_dup_lines"].alias("n_dup_lines"),
+            words["n_repeat_words"].alias("n_repeat_words"),
+            ((words["n_words"] < MIN_WORDS) | (100 * words["n_repeat_words"] > MAX_REPEATED_PERCENT * words["n_words"])).alias("base_failed"),
+            per(c["n_symbols"], words["word_chars"]).alias("symbol_ratio"),
+            per(c["n_upper"], words["word_chars"]).alias("upper_ratio"),
+            per(words["n_repeat_words"], words["n_words"]).alias("repeat_ratio"),
+            per(of_lines["n_dup_lines"], of_lines["n_lines"]).alias("dup_line_ratio"),
+            per(words["n_stutters"], words["n_words"]).alias("stutter_ratio"),
+            per(words["word_chars"], words["n_words"]).alias("word_length"),
+        )
+
+    return docs.withColumn(name, _let(counts, judged))
 
 
 def quality_metrics(docs: DataFrame) -> DataFrame:
@@ -167,10 +170,11 @@ def _judged(frame: DataFrame, thresholds: DataFrame, metrics: str) -> tuple[Data
     )
     group = F.struct(frame["lang"], frame["source"])
     joined = frame.join(broadcast_if_small(renamed, BROADCAST_GROUPS), group.eqNullSafe(F.col(f"{metrics}_group")), "left")
-    passed = ~F.col(f"{metrics}.base_failed")
+    # one sum over both sides of the join: a condition on the metrics alone would be moved below it and measure texts twice
+    failures = F.col(f"{metrics}.base_failed").cast("int")
     for m in METRICS:
-        passed &= F.coalesce(F.col(f"{metrics}.{m}") <= F.col(f"{metrics}_max.max_{m}"), F.lit(True))
-    return joined.drop(f"{metrics}_group"), passed
+        failures += F.coalesce(F.col(f"{metrics}.{m}") > F.col(f"{metrics}_max.max_{m}"), F.lit(False)).cast("int")
+    return joined.drop(f"{metrics}_group"), failures == 0
 
 
 def judge_quality(docs: DataFrame) -> DataFrame:
