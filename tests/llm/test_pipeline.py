@@ -1,0 +1,43 @@
+"""The registered queries against SQL, and the stages one after another."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm.common import written
+from millrace.llm.queries import ORACLES, QUERIES
+from tests.llm.tables import edge_documents, empty_documents
+from tests.oracle import TESTDATA, actual, expected
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query(spark, name):
+    sf_dir = f"{TESTDATA}/sf0.01"
+    columns, rows = actual(QUERIES[name](spark, sf_dir))
+    expected_columns, expected_rows = expected(sf_dir, ORACLES[name])
+    assert columns == expected_columns and rows == expected_rows
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("table", [edge_documents, empty_documents])
+def test_stages(spark, table):
+    docs = table(spark)
+    columns = docs.columns
+    names = []
+    for name, stage in corpus_pipeline.STAGES:
+        names.append(name)
+        docs = written(stage(spark, docs, ""), name)
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+    assert names == ["quality_rules", "line_dedup", "ngram_jaccard_join", "mixing", "best_fit_packing"]
+    overfull = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).where("n > 2048 OR n <> end")
+    assert overfull.count() == 0
+
+
+def test_run(spark):
+    packed = corpus_pipeline.run(spark, f"{TESTDATA}/sf0.001")
+    assert {"doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"} <= set(packed.columns)
+    assert packed.count() > 100
