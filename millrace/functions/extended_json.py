@@ -24,11 +24,6 @@ def _match(json: str, pattern: str, as_type: str) -> str:
     return f"try_cast(regexp_extract({json}, r'{pattern}', 1) AS {as_type})"
 
 
-def read_milliseconds(json: str) -> str:
-    """Milliseconds since 1970 as a whole number, wrapped or not."""
-    return f"coalesce(try_cast({json} AS BIGINT), {_match(json, _WHOLE, 'BIGINT')})"
-
-
 def read_bigint(json: str) -> str:
     """A whole number in any numeric form; text, fractions and overflows give null."""
     double = f"try_cast({json} AS DOUBLE)"
@@ -39,6 +34,11 @@ def read_bigint(json: str) -> str:
     )"""
 
 
+def read_milliseconds(json: str) -> str:
+    """Milliseconds since 1970 as a whole number in any numeric form."""
+    return read_bigint(json)
+
+
 def read_double(json: str) -> str:
     """A number in any form; text gives null."""
     return f"coalesce(try_cast({json} AS DOUBLE), {_match(json, _NUMBER, 'DOUBLE')})"

@@ -32,6 +32,18 @@ def parse_guarded(text: str) -> str:
     return f"""try_parse_json(concat('[', {text}, ',{{"{_GUARD}":0}}]'))"""
 
 
+# What Spark's JSON parser takes at most. Characters of a string, of a number, of a key; levels.
+STRING_LIMIT, NUMBER_LIMIT, KEY_LIMIT, DEPTH_LIMIT = 20_000_000, 1_000, 50_000, 1_000
+_DEPTH_SUSPECT = DEPTH_LIMIT - 5  # openings of a text; the guard and the parser's own count are levels, too
+
+
+def may_exceed_limits(text: str) -> str:
+    """Whether text that did not parse may be JSON beyond the parser's limits, rather than no JSON."""
+    # a string beyond its limit is also longer than a key may be
+    return f"""({text} RLIKE '[0-9]{{{NUMBER_LIMIT + 1}}}|"[^"]{{{KEY_LIMIT + 1}}}'
+        OR length({text}) - length(translate({text}, '[{{', '')) > {_DEPTH_SUSPECT})"""
+
+
 def is_document(guarded: str) -> str:
     """True when ``parse_guarded`` met one JSON value and nothing after it."""
     return f"(try_variant_get({guarded}, '$[1].{_GUARD}', 'variant') IS NOT NULL)"

@@ -29,6 +29,7 @@ from millrace.functions.strict_json import (
     is_falsy,
     is_object,
     json_of,
+    may_exceed_limits,
     parse_guarded,
     string_of,
     use_last_duplicate_key,
@@ -66,6 +67,13 @@ _REASON = f"""CASE
         OR (timestamp IS NULL AND date <> 'null') THEN 'TYPE'
 END"""
 
+# Text that does not parse is only looked at again to tell what is no JSON from what may be too much of it.
+_LIMITED = f"""CASE
+    WHEN endswith(verdict, 'BAD_JSON') AND {may_exceed_limits("coalesce(after, CAST(value AS STRING))")}
+        THEN replace(verdict, 'BAD_JSON', 'LIMIT')
+    ELSE verdict
+END"""
+
 _OUTCOME = f"""CASE
     WHEN verdict = '' THEN '{ENRICHED_OUTCOME}'
     WHEN verdict IN {SKIP_REASONS} THEN '{SKIPPED}'
@@ -120,7 +128,8 @@ def decode(topic: DataFrame, metrics: str | Observation = "decoded") -> DataFram
             f"{read_double('money')} AS amount",
             f"{read_instant('date', 'milliseconds')} AS timestamp",
         )
-        .selectExpr(*place, f"coalesce({_REASON}, '') AS verdict", *TXN.names)
+        .selectExpr(*place, "after", f"coalesce({_REASON}, '') AS verdict", *TXN.names)
+        .selectExpr(*place, f"{_LIMITED} AS verdict", *TXN.names)
         .selectExpr("*", f"{_OUTCOME} AS outcome")
         .selectExpr(
             "topic",

@@ -27,8 +27,9 @@ def enrich_decoded(
     small: bool,
     hot: list[tuple[object, int]] | None = None,
 ) -> DataFrame:
-    """Columns ``CLASSIFIED`` of every decoded message; ``lookup`` has one row per user.
+    """Columns ``CLASSIFIED`` and ``matched`` of every decoded message; ``lookup`` has one row per user.
 
+    ``small`` says that the size of ``lookup`` was checked, as ``Dimension`` records it.
     A user with neither name nor city counts as not found; one with only one of
     them makes the record an error. Null names and cities stay null.
     """
@@ -55,7 +56,7 @@ def enrich_decoded(
         "user_city": f"{field} CASE WHEN matched THEN city ELSE '{UNKNOWN}' END END",
     }
     return judged.selectExpr(
-        *[f"{columns.get(name, f'`{name}`')} AS `{name}`" for name in CLASSIFIED.names]
+        *[f"{columns.get(name, f'`{name}`')} AS `{name}`" for name in CLASSIFIED.names], "matched"
     )
 
 
@@ -72,7 +73,7 @@ def enrich(
     Of several users under one id the first by ``order`` counts.
     """
     lookup = reduce_dimension(with_presence(users), "user_id", order)
-    return enrich_decoded(decode(topic), lookup, small=small, hot=hot)
+    return enrich_decoded(decode(topic), lookup, small=small, hot=hot).drop("matched")
 
 
 def enriched(classified: DataFrame) -> DataFrame:

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of the frequency sketch: keys reported, and keys tracked while counting.
-_TOP_KEYS = 1000
-_TRACKED_KEYS = 10000
+# The frequency sketch tracks so many keys for each one that can be hot, within the sketch's own limit.
+_TRACKED = 10
+_MOST_TRACKED = 1_000_000
 
 
 def reduce_dimension(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -33,8 +33,11 @@ def hot_keys(
     ``partitions`` plus one per key at most.
     """
     partitions = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # fewer than half as many keys as partitions can be worth more than two partitions each
+    reported = max(partitions // 2, 1)
+    tracked = min(max(_TRACKED * reported, 1000), _MOST_TRACKED)
     top, total = events.agg(
-        F.expr(f"approx_top_k({on}, {_TOP_KEYS}, {_TRACKED_KEYS})"), F.count(F.lit(1))
+        F.expr(f"approx_top_k({on}, {min(reported, tracked)}, {tracked})"), F.count(F.lit(1))
     ).head()
     fair = total / partitions
     return [(item, math.ceil(count / fair)) for item, count in top or [] if count > 2 * fair]

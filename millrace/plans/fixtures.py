@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,20 +89,99 @@ def _broken() -> Column:
     return text.cast("binary")
 
 
+def _create(after: str) -> str:
+    """A create envelope around the text of a document."""
+    return json.dumps({"op": "c", "after": after})
+
+
+# Messages by rung of the ladder of outcomes: events take turns. None is the event's own, good message.
+LADDER: list[tuple[str | bytes | None, str, str]] = [
+    (None, "ENRICHED", ""),
+    (b"", "SKIPPED", "TOMBSTONE"),  # stands for a null value
+    (b"\xff{}", "ERROR", "BAD_UTF8"),
+    ("not json", "ERROR", "BAD_JSON"),
+    *((text, "SKIPPED", "EMPTY_ENVELOPE") for text in ("null", "false", "0", '""', "[]", "{}")),
+    *((text, "ERROR", "ENVELOPE_NOT_OBJECT") for text in ("[1]", "7", '"text"', "true")),
+    *((text, "SKIPPED", "OP") for text in ('{"op":"u"}', '{"x":1}', '{"op":null}', '{"op":7}')),
+    *((text, "ERROR", "AFTER_NOT_STRING") for text in ('{"op":"c"}', '{"op":"c","after":null}', '{"op":"c","after":{"a":1}}')),
+    (_create("{") , "ERROR", "AFTER_BAD_JSON"),
+    (_create(""), "ERROR", "AFTER_BAD_JSON"),
+    *((_create(text), "EMPTY", "") for text in ("null", "false", "0", '""', "[]", "{}")),
+    *((_create(text), "ERROR", "AFTER_NOT_OBJECT") for text in ("[1]", "7", "true")),
+    *((_create(text), "ERROR", "ID") for text in ('{"a":1}', '{"_id":"x"}', '{"_id":null}')),
+    *((_create(text), "ERROR", "ID_NO_OID") for text in ('{"_id":{}}', '{"_id":{"$oid":null}}')),
+    *((_create(f'{{"_id":{{"$oid":"x"}}{text}}}'), "ERROR", "TIMESTAMP") for text in ("", ',"timestamp":null', ',"timestamp":5')),
+    *(
+        (_create(f'{{"_id":{{"$oid":{oid}}},"user_id":{user},"amount":{amount},"timestamp":{{"$date":{date}}}}}'), outcome, reason)
+        for oid, user, amount, date, outcome, reason in (
+            ("true", "1", "1.5", "0", "ERROR", "TYPE"),
+            ('"x"', '"1"', "1.5", "0", "ERROR", "TYPE"),
+            ('"x"', "1.5", "1.5", "0", "ERROR", "TYPE"),
+            ('"x"', "1", '"1.5"', "0", "ERROR", "TYPE"),
+            ('"x"', "1", "1.5", '"yesterday"', "ERROR", "TYPE"),
+            ('"x"', "null", "null", "null", "ENRICHED", ""),
+            ("17", "1", "1", "1.7e12", "ENRICHED", ""),
+        )
+    ),
+]
+
+
+def _ladder() -> Column:
+    """The message of each event's rung."""
+    rung = F.col("event_id") % len(LADDER)
+    value = F.col("value")
+    for i, (message, _, reason) in enumerate(LADDER):
+        if message is not None:
+            held = message if isinstance(message, bytes) else message.encode()
+            value = F.when(rung == i, F.lit(None) if reason == "TOMBSTONE" else F.lit(bytearray(held))).otherwise(value)
+    return value
+
+
+def _extended() -> Column:
+    """Documents of create messages by the form of their values, in turns of eight."""
+    event, user, amount = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("amount").cast("decimal(18,2)").cast("string")
+    millis = F.unix_millis("timestamp").cast("string")
+    seconds = F.date_format(F.col("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    late = F.date_format(F.col("timestamp") + F.expr("INTERVAL 7 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    wrapped = lambda name, value: F.concat(F.lit(f'{{"${name}":"'), value, F.lit('"}'))
+    quoted = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
+    forms = [
+        (quoted(event), user, amount, millis),
+        (event, wrapped("numberInt", user), wrapped("numberDouble", amount), wrapped("numberLong", millis)),
+        (quoted(event), wrapped("numberLong", user), wrapped("numberDecimal", amount), quoted(F.concat(seconds, F.lit("Z")))),
+        (event, F.concat(user, F.lit(".0")), F.concat(amount, F.lit("e0")), quoted(F.concat(late, F.lit("+07:00")))),
+        (quoted(event), F.concat(user, F.lit("e0")), wrapped("numberDouble", F.concat(amount, F.lit("E0"))), quoted(F.concat(seconds, F.lit(".250Z")))),
+        (quoted(event), wrapped("numberDouble", F.concat(user, F.lit(".0"))), F.lit("3"), F.lit("1.7e12")),
+        (event, F.lit("null"), F.lit("null"), F.lit("null")),
+        (quoted(event), None, None, wrapped("numberDouble", F.concat(millis, F.lit(".0")))),
+    ]
+    document = None
+    for i, (oid, user_id, money, date) in enumerate(forms):
+        fields = [F.lit('{"_id":{"$oid":'), oid, F.lit("}")]
+        for name, value in (("user_id", user_id), ("amount", money)):
+            fields += [] if value is None else [F.lit(f',"{name}":'), value]
+        text = F.concat(*fields, F.lit(',"timestamp":{"$date":'), date, F.lit("}}"))
+        document = F.when(F.col("event_id") % len(forms) == i, text).otherwise(F.lit(None) if document is None else document)
+    return F.to_json(F.struct(F.lit("c").alias("op"), document.alias("after"))).cast("binary")
+
+
 def messages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Every event as a change message.
 
     In a ``mixed`` topic sign-ups belong to the users' collection; in one of
     ``creates`` every operation is a create; in a ``damaged`` one errors are
-    broken. A ``plain`` one has none of this.
+    broken; in a ``ladder`` every outcome occurs, in an ``extended`` one every form of
+    values. A ``plain`` one has none of this.
     """
     events = events_as_transactions(spark, sf_dir)
-    if kind == "creates":
+    if kind in ("creates", "ladder"):
         events = events.withColumn("op", F.lit("c"))
     rows = encode_envelope(events)
     if kind == "damaged":
         is_error = F.col("event_type") == "error"
         rows = rows.withColumn("value", F.when(is_error, _broken()).otherwise(F.col("value")))
+    if kind in ("ladder", "extended"):
+        rows = rows.withColumn("value", _ladder() if kind == "ladder" else _extended())
     if kind == "mixed":
         name = F.when(F.col("event_type") == "signup", USERS_TOPIC).otherwise(TRANSACTIONS_TOPIC)
         return as_topic(rows, name)

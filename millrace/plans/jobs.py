@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
 from millrace.operators.enrich import enrich_decoded
 from millrace.operators.lookup import hot_keys
-from millrace.schemas import ENRICHED_OUTCOME, ERROR, UNKNOWN
+from millrace.schemas import ENRICHED_OUTCOME, ERROR, OUTCOMES
 from millrace.session import fresh_dir
 from millrace.sinks.files import delete_path
-from millrace.sinks.records import write_batch
+from millrace.sinks.records import write_batch, write_counts
 from millrace.sources.dimension import Dimension, current_dimension
 
 # Largest lookup table, as measured when it was loaded, that is sent to every executor.
@@ -24,7 +26,7 @@ def classify(
     staging: str,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Columns ``CLASSIFIED`` of the records and errors among decoded messages.
+    """Columns ``CLASSIFIED`` and ``matched`` of the records and errors among decoded messages.
 
     With a small dimension this is one stage without a shuffle. A large one is
     joined by a shuffle of the transactions; they are first written to
@@ -52,21 +54,34 @@ def write_enriched(
     batch_id: int,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> dict[str, int]:
-    """Enriches one batch into the sink and returns what became of the lookups."""
+    """Enriches one batch into the sink and returns what became of its messages.
+
+    The counts go by the final outcome, add up to what was received, and are kept beside the batch:
+    a batch that runs again replaces both.
+    """
     spark = decoded.sparkSession
     staging = fresh_dir(spark, "decoded")
-    lookups = Observation()
+    given, lookups = Observation(), Observation()
     is_enriched = f"outcome = '{ENRICHED_OUTCOME}'"
-    is_unknown = f"user_name = '{UNKNOWN}' AND user_city = '{UNKNOWN}'"
-    counted = classify(decoded, dimension, staging, broadcast_bytes).observe(
-        lookups,
-        F.expr(f"count_if({is_enriched})").alias("enriched"),
-        F.expr(f"count_if({is_enriched} AND {is_unknown})").alias("unknown"),
-        F.expr("count_if(reason = 'USER_INCOMPLETE')").alias("user_incomplete"),
+    observed = decoded.observe(
+        given,
+        F.count(F.lit(1)).alias("received"),
+        *[F.expr(f"count_if(outcome = '{name}')").alias(name.lower()) for name in OUTCOMES],
     )
-    write_batch(counted, sink, batch_id)
-    delete_path(spark, staging)
-    return lookups.get
+    try:
+        counted = classify(observed, dimension, staging, broadcast_bytes).observe(
+            lookups,
+            F.expr(f"count_if({is_enriched})").alias("enriched"),
+            F.expr(f"count_if({is_enriched} AND NOT matched)").alias("unknown"),
+            F.expr("count_if(reason = 'USER_INCOMPLETE')").alias("user_incomplete"),
+        )
+        write_batch(counted, sink, batch_id)
+    finally:
+        delete_path(spark, staging)
+    counts = {**given.get, **lookups.get}
+    counts["error"] += counts["user_incomplete"]
+    write_counts(spark, sink, batch_id, counts)
+    return counts
 
 
 def backfill(
@@ -75,13 +90,9 @@ def backfill(
     sink: str,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> dict[str, int]:
-    """Enriches a whole topic in one batch; returns the counts of all outcomes."""
-    outcomes = Observation()
-    lookups = write_enriched(
-        decode(topic, outcomes),
-        current_dimension(topic.sparkSession, dimension_path),
-        sink,
-        0,
-        broadcast_bytes,
-    )
-    return {**outcomes.get, **lookups}
+    """Enriches a whole topic in one batch and adds it to the sink; returns the counts of all outcomes.
+
+    The batch gets a number of its own, below those of streams, so it replaces nothing.
+    """
+    dimension = current_dimension(topic.sparkSession, dimension_path)
+    return write_enriched(decode(topic), dimension, sink, -1 - secrets.randbits(62), broadcast_bytes)

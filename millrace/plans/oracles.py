@@ -1,5 +1,10 @@
 """The same results in SQL over the given tables, without any JSON."""
 
+from millrace.plans.fixtures import LADDER
+
+_RUNGS = ", ".join(f"({i}, '{outcome}', '{reason}')" for i, (_, outcome, reason) in enumerate(LADDER))
+_CUSTOMERS = """(SELECT c_custkey AS user_id, c_name AS name, n_name AS city FROM customer
+  JOIN nation ON c_nationkey = n_nationkey)"""
 _USERS = """(SELECT c_custkey AS user_id, c_name AS name, n_name AS city FROM customer
   JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0)"""
 _ID = "lpad(lower(to_hex(e.event_id)), 24, '0')"
@@ -79,8 +84,33 @@ FROM events e LEFT JOIN (
     "q18_backfill_large": _ENRICHED,
     "q19_backfill_metrics": f"""{_METRICS}
 UNION ALL SELECT 'unknown', count(*) FROM ({_ENRICHED}) WHERE user_name = 'Unknown'""",
-    "q20_dimension_scan": f"SELECT * FROM {_USERS}",
-    "q21_load_count": f"SELECT count(*) AS n FROM {_USERS}",
+    "q20_dimension_scan": f"SELECT * FROM {_CUSTOMERS}",
+    "q21_load_count": f"SELECT count(*) AS n FROM {_CUSTOMERS}",
+    "q22_outcome_ladder": f"""
+SELECT e.event_id AS "offset", r.outcome, r.reason FROM events e JOIN (VALUES {_RUNGS}) r(rung, outcome, reason)
+  ON e.event_id % {len(LADDER)} = r.rung""",
+    "q23_extended_json": """
+SELECT e.event_id AS "offset", CAST(e.event_id AS VARCHAR) AS transaction_id,
+  CASE WHEN e.event_id % 8 < 6 THEN e.user_id END AS user_id,
+  CASE WHEN e.event_id % 8 < 5 THEN CAST(CAST(e.value AS DECIMAL(18, 2)) AS DOUBLE) WHEN e.event_id % 8 = 5 THEN 3.0 END AS amount,
+  CASE e.event_id % 8 WHEN 2 THEN date_trunc('second', e.ts) WHEN 3 THEN date_trunc('second', e.ts)
+    WHEN 4 THEN date_trunc('second', e.ts) + INTERVAL 250 MILLISECOND WHEN 5 THEN TIMESTAMP '2023-11-14 22:13:20'
+    WHEN 6 THEN NULL ELSE date_trunc('milliseconds', e.ts) END AS "timestamp"
+FROM events e""",
+    "q24_seed_lookup": """
+SELECT e.event_id AS "offset", coalesce(u.name, 'Unknown') AS user_name, coalesce(u.city, 'Unknown') AS user_city
+FROM events e LEFT JOIN (VALUES (1, 'Alice', 'New York'), (2, 'Bob', 'London'), (3, 'Charlie', 'Paris')) u(user_id, name, city)
+  ON e.user_id = u.user_id""",
+    "q25_incomplete_metrics": f"""
+WITH o AS (
+  SELECT NOT ({_IS_CREATE}) AS skipped, c_custkey % 5 AS k FROM events e LEFT JOIN customer ON e.user_id = c_custkey)
+SELECT 'received' AS metric, count(*) AS n FROM o
+UNION ALL SELECT 'enriched', count(*) FROM o WHERE NOT skipped AND k IS DISTINCT FROM 1
+UNION ALL SELECT 'skipped', count(*) FROM o WHERE skipped
+UNION ALL SELECT 'empty', 0
+UNION ALL SELECT 'error', count(*) FROM o WHERE NOT skipped AND k = 1
+UNION ALL SELECT 'user_incomplete', count(*) FROM o WHERE NOT skipped AND k = 1
+UNION ALL SELECT 'unknown', count(*) FROM o WHERE NOT skipped AND (k IS NULL OR k IN (2, 4))""",
     "s01_enrich_stream": _ENRICHED,
     "s02_stream_resume": _ENRICHED,
     "s03_dimension_freshness": """

@@ -15,12 +15,12 @@ from millrace.plans.jobs import BROADCAST_BYTES, backfill, classify
 from millrace.schemas import TXN, UNKNOWN
 from millrace.session import fresh_dir
 from millrace.sinks.files import delete_path
-from millrace.sinks.records import materialise_raw, read_enriched, read_quarantine
+from millrace.sinks.records import materialise_raw, read_counts, read_enriched, read_quarantine
 from millrace.sources.dimension import (
     current_dimension,
     refresh_dimension,
+    load_documents,
     seed_users,
-    users_from_documents,
 )
 from millrace.sources.topic import route_topic, topic_batch, topic_stream
 from millrace.streaming.stream import run_raw_stream, run_stream
@@ -117,14 +117,15 @@ def dimension_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, dimension = fixtures.users_dimension(spark, sf_dir)
-    return dimension.rows.select("user_id", "name", "city")
+    path = fresh_dir(spark, "users")
+    refresh_dimension(fixtures.all_customers(spark, sf_dir), path)
+    return current_dimension(spark, path).rows.select("user_id", "name", "city")
 
 
-def dimension_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as JSON documents: some lack the name, the city or both, or have a null name."""
+def _customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON documents: some lack the name, the city or both, have a null name, or are no JSON."""
     kind = F.col("user_id") % 5
-    documents = fixtures.all_customers(spark, sf_dir).select(
+    return fixtures.all_customers(spark, sf_dir).select(
         F.when(kind == 0, F.to_json(F.struct("user_id", "name", "city")))
         .when(kind == 1, F.to_json(F.struct("user_id", "city")))
         .when(kind == 2, F.to_json(F.struct("user_id")))
@@ -132,8 +133,12 @@ def dimension_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.to_json(F.struct("user_id", "name", "city")), F.lit("}")))
         .alias("document")
     )
+
+
+def dimension_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events against users read from documents, among them half users and rejected ones."""
     path = fresh_dir(spark, "users")
-    refresh_dimension(users_from_documents(documents, "document"), path)
+    load_documents(_customer_documents(spark, sf_dir), "document", path)
     dimension = current_dimension(spark, path)
     decoded = decode(fixtures.topic(spark, sf_dir))
     return classify(decoded, dimension, fresh_dir(spark, "decoded")).select(
@@ -184,14 +189,50 @@ def round_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _counted(spark: SparkSession, sink: str, *names: str) -> DataFrame:
+    """The sink's counts, summed over its batches, a row for each name."""
+    sums = read_counts(spark, sink).agg(*[F.sum(name).alias(name) for name in names])
+    return sums.unpivot([], list(names), "metric", "n")
+
+
+_OUTCOMES = ("received", "enriched", "skipped", "empty", "error")
+
+
 def backfill_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts a backfill reports, observed while it wrote the damaged topic."""
+    """The counts a backfill of the damaged topic left beside its records."""
     path, _ = fixtures.users_dimension(spark, sf_dir)
-    counts = backfill(fixtures.topic(spark, sf_dir, "damaged"), path, fresh_dir(spark, "sink"))
-    return spark.createDataFrame(
-        [(name, counts[name]) for name in ("received", "enriched", "skipped", "empty", "error", "unknown")],
-        "metric string, n bigint",
-    )
+    sink = fresh_dir(spark, "sink")
+    backfill(fixtures.topic(spark, sf_dir, "damaged"), path, sink)
+    return _counted(spark, sink, *_OUTCOMES, "unknown")
+
+
+def incomplete_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of backfills against users read from documents: half users are errors."""
+    path, sink = fresh_dir(spark, "users"), fresh_dir(spark, "sink")
+    load_documents(_customer_documents(spark, sf_dir), "document", path)
+    for half in (0, 1):
+        backfill(fixtures.topic(spark, sf_dir).where(F.col("offset") % 2 == half), path, sink)
+    return _counted(spark, sink, *_OUTCOMES, "unknown", "user_incomplete")
+
+
+def seed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event against the seed users."""
+    path = fresh_dir(spark, "users")
+    refresh_dimension(seed_users(spark), path)
+    decoded = decode(fixtures.topic(spark, sf_dir, "creates"))
+    rows = classify(decoded, current_dimension(spark, path), fresh_dir(spark, "decoded"))
+    return rows.select("offset", "user_name", "user_city")
+
+
+def outcome_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic of all events in which every outcome occurs."""
+    return decode(fixtures.topic(spark, sf_dir, "ladder")).select("offset", "outcome", "reason")
+
+
+def extended_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic of all events with ids, amounts and dates in every accepted form."""
+    decoded = decode(fixtures.topic(spark, sf_dir, "extended"))
+    return _utc(decoded.select("offset", "transaction_id", "user_id", "amount", "timestamp"))
 
 
 def backfill_large(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,15 +244,20 @@ def backfill_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = refresh_dimension(fixtures.users(spark, sf_dir), fresh_dir(spark, "users"))
+    count = refresh_dimension(fixtures.all_customers(spark, sf_dir), fresh_dir(spark, "users"))
     return spark.createDataFrame([(count,)], "n bigint")
 
 
 _ONCE = {"availableNow": True}
 
 
+def _few_files(spark: SparkSession) -> str:
+    """Files a batch: a quarter of a topic, which has one for every core."""
+    return str(max(1, spark.sparkContext.defaultParallelism // 4))
+
+
 def _run(spark: SparkSession, topic_path: str, dimension: str, sink: str, checkpoint: str, **options):
-    source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger="2")
+    source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger=_few_files(spark))
     query = run_stream(source, dimension, sink, checkpoint, trigger=_ONCE, **options)
     query.awaitTermination()
     return query
@@ -277,25 +323,17 @@ def reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic_path = fixtures.topic_path(spark, sf_dir)
     path, checkpoint = fresh_dir(spark, "raw"), fresh_dir(spark, "checkpoint")
-    source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger="2")
+    source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger=_few_files(spark))
     run_raw_stream(source, path, checkpoint, trigger=_ONCE).awaitTermination()
     return _utc(spark.read.schema(TXN).parquet(path))
 
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcome counts summed over the progress of a stream's batches."""
+    """Outcome counts summed over all batches of a stream, as kept in its sink."""
     dimension, _ = fixtures.users_dimension(spark, sf_dir)
-    topic_path = fixtures.topic_path(spark, sf_dir, "damaged")
-    query = _run(spark, topic_path, dimension, fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint"))
-    totals: dict[str, int] = {}
-    for progress in query.recentProgress:
-        if "decoded" in progress["observedMetrics"]:
-            for name, count in progress["observedMetrics"]["decoded"].asDict().items():
-                totals[name] = totals.get(name, 0) + count
-    return spark.createDataFrame(
-        [(name, totals[name]) for name in ("received", "enriched", "skipped", "empty", "error")],
-        "metric string, n bigint",
-    )
+    topic_path, sink = fixtures.topic_path(spark, sf_dir, "damaged"), fresh_dir(spark, "sink")
+    _run(spark, topic_path, dimension, sink, fresh_dir(spark, "checkpoint"))
+    return _counted(spark, sink, *_OUTCOMES)
 
 
 QUERIES = {
@@ -320,6 +358,10 @@ QUERIES = {
     "q19_backfill_metrics": backfill_metrics,
     "q20_dimension_scan": dimension_scan,
     "q21_load_count": load_count,
+    "q22_outcome_ladder": outcome_ladder,
+    "q23_extended_json": extended_json,
+    "q24_seed_lookup": seed_lookup,
+    "q25_incomplete_metrics": incomplete_metrics,
     "s01_enrich_stream": enrich_stream,
     "s02_stream_resume": stream_resume,
     "s03_dimension_freshness": dimension_freshness,

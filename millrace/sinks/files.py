@@ -15,6 +15,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(hadoop_path)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder without the hidden ones; none if there is no folder. Files are not opened."""
+    system, hadoop_path = _on_file_system(spark, path)
+    if not system.exists(hadoop_path):
+        return []
+    names = (status.getPath().getName() for status in system.listStatus(hadoop_path))
+    return sorted(name for name in names if not name.startswith((".", "_")))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, hadoop_path = _on_file_system(spark, path)
+    stream = system.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Writes a file that is seen under its name only when complete."""
+    system, hidden = _on_file_system(spark, f"{folder}/.{name}")
+    stream = system.create(hidden)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not system.rename(hidden, _on_file_system(spark, f"{folder}/{name}")[1]):
+        raise OSError(f"{folder}/{name} could not be published")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     system, hadoop_path = _on_file_system(spark, path)
     system.delete(hadoop_path, True)

@@ -15,6 +15,11 @@ from millrace.operators.enrich import enriched, quarantined
 from millrace.schemas import CLASSIFIED, ENRICHED_OUTCOME, ERROR
 from millrace.sinks.files import delete_path, path_exists
 
+# What became of the messages of a batch: received = enriched + skipped + empty + error.
+# Enriched ones without a user are also ``unknown``, errors for half a user also ``user_incomplete``.
+COUNTED = ("received", "enriched", "skipped", "empty", "error", "unknown", "user_incomplete")
+_COUNTS = "_counts"  # hidden from readers of the records
+
 _STORED = T.StructType([*CLASSIFIED.fields, T.StructField("batch_id", T.LongType())])
 
 
@@ -22,12 +27,29 @@ def write_batch(classified: DataFrame, sink: str, batch_id: int) -> None:
     """Writes a batch's records and errors in place of what the same batch left before."""
     (
         classified.where(F.col("outcome").isin(ENRICHED_OUTCOME, ERROR))
+        .select(*CLASSIFIED.names)
         .write.mode("overwrite")
         .partitionBy("outcome")
         .parquet(f"{sink}/batch_id={batch_id}")
     )
 
 
+def write_counts(spark: SparkSession, sink: str, batch_id: int, counts: dict[str, int]) -> None:
+    """Writes a batch's counts in place of what the same batch left before."""
+    columns = ", ".join(f"{name} bigint" for name in COUNTED)
+    row = spark.createDataFrame([tuple(counts[name] for name in COUNTED)], columns).coalesce(1)
+    row.write.mode("overwrite").parquet(f"{sink}/{_COUNTS}/batch_id={batch_id}")
+
+
+def read_counts(spark: SparkSession, sink: str) -> DataFrame:
+    """``batch_id`` and the counts of every batch of the sink."""
+    columns = ", ".join(f"{name} bigint" for name in (*COUNTED, "batch_id"))
+    path = f"{sink}/{_COUNTS}"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], columns)
+    return spark.read.schema(columns).option("basePath", path).parquet(path)
+
+
 def _read(spark: SparkSession, sink: str) -> DataFrame:
     if not path_exists(spark, sink):
         return spark.createDataFrame([], _STORED)
@@ -43,7 +65,11 @@ def read_quarantine(spark: SparkSession, sink: str) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, sink: str, batch_id: int) -> DataFrame:
-    return _read(spark, sink).where(F.col("batch_id") == batch_id)
+    """One batch, read from its own folder: the others are not listed."""
+    folder = f"{sink}/batch_id={batch_id}"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], _STORED)
+    return spark.read.schema(_STORED).option("basePath", sink).parquet(folder)
 
 
 def materialise_raw(decoded: DataFrame, path: str) -> None:

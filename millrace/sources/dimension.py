@@ -1,13 +1,15 @@
 """The user dimension: versioned loads, each complete before it is seen.
 
 A load writes its rows and, reduced to one row per user, its lookup table into
-a folder of its own, and then adds one line to the list of versions. Readers
-take the newest line, so they never see an empty or half-written dimension, and
-the reduction is paid once per load instead of once per batch.
+a folder of its own, and then publishes a file that names it. Readers take the
+newest file by its name and open no other, so they never see an empty or
+half-written dimension, and the reduction is paid once per load instead of once
+per batch. Loads at the same time all get a file; between them its name decides.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -27,7 +29,8 @@ from millrace.functions.strict_json import (
 from millrace.operators.enrich import with_presence
 from millrace.operators.lookup import reduce_dimension
 from millrace.schemas import USERS
-from millrace.sinks.files import path_exists
+from millrace.session import fresh_dir
+from millrace.sinks.files import delete_path, file_names, publish_text, read_text
 
 STORED_USERS = T.StructType([
     *USERS.fields,
@@ -36,7 +39,7 @@ STORED_USERS = T.StructType([
     T.StructField("ord", T.LongType()),
 ])
 LOOKUP = T.StructType(STORED_USERS.fields[:-1])
-VERSIONS = "version bigint, location string, row_count bigint, lookup_bytes bigint"
+REJECTED = "document string, reason string"
 
 # The seed users.
 SEED_USERS = [(1, "Alice", "New York"), (2, "Bob", "London"), (3, "Charlie", "Paris")]
@@ -47,10 +50,16 @@ _ROW_BYTES = 64
 
 @dataclass(frozen=True)
 class Dimension:
-    """One version: all rows as loaded, the lookup table and its measured size."""
+    """One version: all rows as loaded, the lookup table and its measured size.
+
+    ``rejected`` are the documents of the load that are no users, with a reason.
+    """
 
     version: int
+    location: str
     row_count: int
+    rejected_count: int
+    rejected: DataFrame
     rows: DataFrame
     lookup: DataFrame
     lookup_bytes: int
@@ -60,11 +69,11 @@ def seed_users(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SEED_USERS, USERS)
 
 
-def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
-    """Users from JSON documents, with the presence of name and city kept.
+def read_documents(documents: DataFrame, column: str) -> DataFrame:
+    """Users from JSON documents, with the presence of name and city kept, and a ``reason`` for those that are none.
 
-    Documents that are no JSON objects or whose id is no whole number can match
-    no transaction and are left out; an absent id counts as null.
+    Documents that are no JSON objects (``BAD_JSON``, ``NOT_OBJECT``) or whose id is no whole number (``ID``) can match
+    no transaction; an absent id counts as null.
     """
     use_last_duplicate_key(documents.sparkSession)
     fields = "struct<user_id: variant, name: variant, city: variant>"
@@ -80,7 +89,9 @@ def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
         .selectExpr("*", f"{read_bigint('id')} AS user_id")
         .selectExpr(
             *others,
-            "is_document AND user IS NOT NULL AND (user_id IS NOT NULL OR coalesce(id, 'null') = 'null') AS is_user",
+            f"CAST(`{column}` AS STRING) AS document",
+            """CASE WHEN NOT coalesce(is_document, false) THEN 'BAD_JSON' WHEN user IS NULL THEN 'NOT_OBJECT'
+                WHEN user_id IS NULL AND coalesce(id, 'null') <> 'null' THEN 'ID' END AS reason""",
             "user_id",
             f"coalesce({string_of('user.name')}, nullif({json_of('user.name')}, 'null')) AS name",
             f"coalesce({string_of('user.city')}, nullif({json_of('user.city')}, 'null')) AS city",
@@ -89,28 +100,44 @@ def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
         )
         # Keeps the filter from copying the parse into its condition, as in ``decode``.
         .observe("documents", F.count(F.lit(1)).alias("read"))
-        .where("is_user")
-        .drop("is_user")
     )
 
 
-def _newest(spark: SparkSession, path: str):
-    if not path_exists(spark, f"{path}/versions"):
-        return None
-    versions = spark.read.schema(VERSIONS).json(f"{path}/versions")
-    return versions.orderBy(F.desc("version"), F.desc("location")).head()
+def users_from_documents(documents: DataFrame, column: str) -> DataFrame:
+    """The users among JSON documents; ``load_documents`` keeps the others, too."""
+    return read_documents(documents, column).where("reason IS NULL").drop("reason", "document")
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    return file_names(spark, f"{path}/versions")
+
+
+def load_documents(documents: DataFrame, column: str, path: str, keep: int | None = None) -> tuple[int, int]:
+    """Replaces the dimension by the users among ``documents``; returns the numbers of users and of rejected documents."""
+    staged = fresh_dir(documents.sparkSession, "user-documents")
+    try:
+        read = read_documents(documents, column)
+        read.write.parquet(staged)
+        rows = documents.sparkSession.read.schema(read.schema).parquet(staged)
+        rejected = rows.where("reason IS NOT NULL").select("document", "reason")
+        loaded = refresh_dimension(rows.where("reason IS NULL").drop("reason", "document"), path, keep, rejected)
+        return loaded, current_dimension(documents.sparkSession, path).rejected_count
+    finally:
+        delete_path(documents.sparkSession, staged)
 
 
-def refresh_dimension(users: DataFrame, path: str) -> int:
+def refresh_dimension(users: DataFrame, path: str, keep: int | None = None, rejected: DataFrame | None = None) -> int:
     """Replaces the dimension at ``path`` and returns the number of rows loaded.
 
     ``ord`` gives the load order, which decides between rows of one user; when
-    the column is missing the order of the rows in ``users`` counts.
+    the column is missing the order of the rows in ``users`` counts. With ``keep`` only so many
+    of the newest versions are left: as many as are loaded while the longest batch runs, and one more.
     """
     spark = users.sparkSession
-    newest = _newest(spark, path)
-    version = 1 if newest is None else newest.version + 1
-    location = f"{path}/v{version:08d}-{uuid.uuid4().hex[:8]}"
+    names = _versions(spark, path)
+    version = 1 + (int(names[-1].split("-")[0]) if names else 0)
+    name = f"{version:08d}-{uuid.uuid4().hex[:8]}"
+    location = f"{path}/v{name}"
 
     if "ord" not in users.columns:
         users = users.withColumn("ord", F.monotonically_increasing_id())
@@ -132,21 +159,33 @@ def refresh_dimension(users: DataFrame, path: str) -> int:
         .observe(measured, F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"))
         .write.parquet(f"{location}/lookup")
     )
+    turned_down = Observation("rejected")
+    if rejected is None:
+        rejected = spark.createDataFrame([], REJECTED)
+    rejected.observe(turned_down, F.count(F.lit(1)).alias("n")).write.parquet(f"{location}/rejected")
     row_count = loaded.get["row_count"]
-    line = [(version, location, row_count, measured.get["bytes"])]
-    spark.createDataFrame(line, VERSIONS).coalesce(1).write.mode("append").json(f"{path}/versions")
+    about = {"row_count": row_count, "lookup_bytes": measured.get["bytes"], "rejected_count": turned_down.get["n"]}
+    publish_text(spark, f"{path}/versions", name, json.dumps(about))
+    for old in _versions(spark, path)[:-keep] if keep else []:
+        delete_path(spark, f"{path}/versions/{old}")
+        delete_path(spark, f"{path}/v{old}")
     return row_count
 
 
 def current_dimension(spark: SparkSession, path: str) -> Dimension:
     """The newest complete version; everything read from it stays at that version."""
-    newest = _newest(spark, path)
-    if newest is None:
+    names = _versions(spark, path)
+    if not names:
         raise ValueError(f"no dimension was loaded at {path}")
+    about = json.loads(read_text(spark, f"{path}/versions/{names[-1]}"))
+    location = f"{path}/v{names[-1]}"
     return Dimension(
-        newest.version,
-        newest.row_count,
-        spark.read.schema(STORED_USERS).parquet(f"{newest.location}/rows"),
-        spark.read.schema(LOOKUP).parquet(f"{newest.location}/lookup"),
-        newest.lookup_bytes,
+        int(names[-1].split("-")[0]),
+        location,
+        about["row_count"],
+        about["rejected_count"],
+        spark.read.schema(REJECTED).parquet(f"{location}/rejected"),
+        spark.read.schema(STORED_USERS).parquet(f"{location}/rows"),
+        spark.read.schema(LOOKUP).parquet(f"{location}/lookup"),
+        about["lookup_bytes"],
     )

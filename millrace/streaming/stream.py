@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.decode import decode, transactions
@@ -13,7 +14,7 @@ from millrace.operators.enrich import enriched
 from millrace.plans.jobs import BROADCAST_BYTES, write_enriched
 from millrace.sinks.files import path_exists
 from millrace.sinks.records import clear_sink, read_batch
-from millrace.sources.dimension import current_dimension
+from millrace.sources.dimension import Dimension, current_dimension
 
 log = logging.getLogger(__name__)
 
@@ -31,13 +32,14 @@ def run_stream(
 ) -> StreamingQuery:
     """Starts the enrichment of a topic stream.
 
-    The newest dimension is looked up afresh for every batch. A batch that is
+    The newest dimension is looked up for every batch and kept in memory until
+    a newer one comes. A batch that is
     replayed after a crash replaces its own folder in the sink. ``reset``
     drops sink and position together; without it a sink is only continued with
     its own checkpoint. ``publish`` gets each batch's enriched records, read
     back from the sink, to hand them on (to a document store, say); it may see
-    a batch again after a crash. Outcome counts are in the progress under
-    ``decoded``.
+    a batch again after a crash. Outcome counts of all batches are kept in the sink
+    (``read_counts``); those of decoding alone are also in the progress under ``decoded``.
     """
     spark = source.sparkSession
     if reset:
@@ -45,9 +47,19 @@ def run_stream(
     elif path_exists(spark, sink) and not path_exists(spark, checkpoint):
         raise ValueError(f"{sink} holds records of another position; pass reset=True to drop them")
 
+    kept: list[Dimension] = []
+
+    def newest(session: SparkSession) -> Dimension:
+        found = current_dimension(session, dimension_path)
+        if not kept or kept[0].location != found.location:
+            for old in kept:
+                old.lookup.unpersist()
+            kept[:] = [replace(found, lookup=found.lookup.persist())]
+        return kept[0]
+
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        dimension = current_dimension(session, dimension_path)
+        dimension = newest(session)
         counts = write_enriched(batch, dimension, sink, batch_id, broadcast_bytes)
         log.info("batch %d, dimension version %d: %s", batch_id, dimension.version, counts)
         if publish is not None:

@@ -300,10 +300,44 @@ def test_no_message_fails_the_job(spark, dimension):
     ]
     decoded = decode(topic_of(spark, [as_bytes(value) for value in values]))
     got = [verdict[:2] for verdict in verdicts(enrich_decoded(decoded, dimension.lookup, small=True))]
-    assert got[:3] == [("ERROR", "BAD_JSON"), ("ERROR", "BAD_JSON"), ("ERROR", "ENVELOPE_NOT_OBJECT")]
+    assert got[:3] == [("ERROR", "LIMIT"), ("ERROR", "LIMIT"), ("ERROR", "ENVELOPE_NOT_OBJECT")]
     assert got[5:9] == [
         ("SKIPPED", "OP"), ("ENRICHED", ""), ("ERROR", "TYPE"), ("ERROR", "AFTER_NOT_OBJECT"),
     ]
     assert got[14] == ("ERROR", "TYPE") and got[16:18] == [("ERROR", "TYPE")] * 2
     assert got[15] == ("ENRICHED", "")
+    assert got[9] == ("ERROR", "LIMIT") and got[12] == ("ERROR", "LIMIT")
     assert all(outcome for outcome, _ in got)
+
+
+def test_limits_are_not_called_bad_json(spark):
+    values = [
+        '{"op":"u","x":"' + "x" * 21_000_000 + '"}',
+        '{"op":"u","x":' + "9" * 1001 + "}",
+        '{"op":"u","' + "k" * 51_000 + '":1}',
+        '{"op":"u","x":' + "[" * 1100 + "]" * 1100 + "}",
+        image('{"x":' + "9" * 1001 + "}"),
+        '{"op":"u"',
+        image("{"),
+    ]
+    got = [(row.outcome, row.reason) for row in decode(topic_of(spark, [as_bytes(value) for value in values])).orderBy("offset").collect()]
+    assert [reason for _, reason in got] == ["LIMIT"] * 4 + ["AFTER_LIMIT", "BAD_JSON", "AFTER_BAD_JSON"]
+    assert {outcome for outcome, _ in got} == {"ERROR"}
+
+
+def test_endless_amounts_survive_encoding(spark):
+    amounts = [float("nan"), float("inf"), float("-inf"), 1.5, None]
+    frame = spark.createDataFrame([(str(i), 1, a) for i, a in enumerate(amounts)], "transaction_id string, user_id bigint, amount double")
+    topic = encode_envelope(frame.select("*", F.timestamp_millis(F.lit(0)).alias("timestamp"), F.lit("c").alias("op"))).select(
+        "value", F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.lit(0).cast("bigint").alias("offset")
+    )
+    back = {row.transaction_id: row.amount for row in transactions(decode(topic)).collect()}
+    assert [repr(back[str(i)]) for i in range(5)] == list(map(repr, amounts))
+
+
+def test_dates_with_an_exponent(spark):
+    texts = ["1.7e12", "1e3", "1.5e0", "1.7E12"]
+    values = [as_bytes(json.dumps({"op": "c", "after": f'{{"_id":{{"$oid":"x"}},"timestamp":{{"$date":{text}}}}}'})) for text in texts]
+    rows = decode(topic_of(spark, values)).orderBy("offset").select("reason", F.unix_millis("timestamp").alias("ms")).collect()
+    assert [tuple(row) for row in rows] == [("", 1_700_000_000_000), ("", 1000), ("TYPE", None), ("", 1_700_000_000_000)]
+    assert [judge(value, {})[:2] for value in values] == [("ENRICHED", "")] * 2 + [("ERROR", "TYPE"), ("ENRICHED", "")]

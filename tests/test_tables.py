@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,12 +12,13 @@ from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
 from millrace.operators.inspect import first_rows, local_time, round_amount, utc_time
+from millrace.plans import jobs
 from millrace.plans.jobs import backfill, write_enriched
 from millrace.schemas import ENRICHED, QUARANTINE, TOPIC
 from millrace.session import fresh_dir, shared_dir
-from millrace.sinks.files import delete_path, path_exists
-from millrace.sinks.records import read_enriched, read_quarantine
-from millrace.sources.dimension import current_dimension, refresh_dimension, seed_users
+from millrace.sinks.files import delete_path, file_names, path_exists
+from millrace.sinks.records import read_batch, read_counts, read_enriched, read_quarantine
+from millrace.sources.dimension import current_dimension, load_documents, refresh_dimension, seed_users
 from millrace.sources.topic import topic_stream
 from millrace.streaming.stream import run_stream
 
@@ -109,6 +111,115 @@ def test_staging_leaves_nothing_behind(spark, home):
     )
 
 
+def test_staging_is_removed_when_the_write_fails(spark, home, monkeypatch):
+    refresh_dimension(seed_users(spark), f"{home}/users")
+
+    def fail(*_):
+        raise OSError("no room")
+
+    monkeypatch.setattr(jobs, "write_batch", fail)
+    before = set(file_names(spark, shared_dir(spark)))
+    with pytest.raises(OSError):
+        backfill(topic(spark, [change(1, 1)]), f"{home}/users", f"{home}/sink", broadcast_bytes=0)
+    assert set(file_names(spark, shared_dir(spark))) == before
+
+
+def test_backfills_add_to_the_sink(spark, home):
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    backfill(topic(spark, [change(1, 1), change(2, 2)]), f"{home}/users", f"{home}/sink")
+    backfill(topic(spark, [change(3, 3)]), f"{home}/users", f"{home}/sink")
+    assert names(spark, home) == ["Alice", "Bob", "Charlie"]
+    assert read_counts(spark, f"{home}/sink").count() == 2
+
+
+def test_backfill_into_the_sink_of_a_stream(spark, home):
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    topic(spark, [change(1, 1), change(2, 2)]).write.parquet(f"{home}/topic")
+    run(spark, home)
+    backfill(topic(spark, [change(3, 3)]), f"{home}/users", f"{home}/sink")
+    topic(spark, [change(4, 1)]).write.mode("append").parquet(f"{home}/topic")
+    run(spark, home)
+    assert names(spark, home) == ["Alice", "Alice", "Bob", "Charlie"]
+
+
+def test_counts_go_by_the_final_outcome(spark, home):
+    """Half a user is an error; a user really named Unknown was found."""
+    users = [(1, "Unknown", "Unknown", True, True), (2, "Half", None, True, False)]
+    schema = "user_id bigint, name string, city string, has_name boolean, has_city boolean"
+    refresh_dimension(spark.createDataFrame(users, schema), f"{home}/users")
+    values = [change(1, 1), change(2, 2), change(3, 9), b"{", None]
+    counts = backfill(topic(spark, values), f"{home}/users", f"{home}/sink")
+    expected = {"received": 5, "enriched": 2, "skipped": 1, "empty": 0, "error": 2, "unknown": 1, "user_incomplete": 1}
+    assert counts == expected
+    row = read_counts(spark, f"{home}/sink").drop("batch_id").first().asDict()
+    assert row == expected and read_quarantine(spark, f"{home}/sink").count() == 2
+
+
+def test_counts_of_a_stream_outlive_its_progress(spark, home):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        refresh_dimension(seed_users(spark), f"{home}/users")
+        for i in range(4):
+            topic(spark, [change(i, 1), b"{"]).coalesce(1).write.mode("append").parquet(f"{home}/topic")
+        run(spark, home)
+        last = read_counts(spark, f"{home}/sink").agg({"batch_id": "max"}).first()[0]
+        assert last >= 3
+        for name in (f"{last}", f".{last}.crc"):
+            delete_path(spark, f"{home}/checkpoint/commits/{name}")
+        topic(spark, [change(9, 9)]).coalesce(1).write.mode("append").parquet(f"{home}/topic")
+        run(spark, home)  # repeats the last batch and goes on
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    sums = read_counts(spark, f"{home}/sink").agg(*[F.sum(c).alias(c) for c in ("received", "enriched", "error", "unknown")]).first()
+    assert tuple(sums) == (9, 5, 4, 1)
+
+
+def test_one_batch_is_read_without_listing_the_others(spark, home):
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    dimension = current_dimension(spark, f"{home}/users")
+    for i in range(3):
+        write_enriched(decode(topic(spark, [change(i, 1)])), dimension, f"{home}/sink", i)
+    batch = read_batch(spark, f"{home}/sink", 1)
+    assert all("batch_id=1/" in path for path in batch.inputFiles())
+    assert [row.batch_id for row in batch.collect()] == [1]
+
+
+def test_loads_at_the_same_time_are_all_listed(spark, home):
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: refresh_dimension(seed_users(spark).limit(i), home), (1, 2, 3)))
+    assert len(file_names(spark, f"{home}/versions")) == 3
+    assert current_dimension(spark, home).row_count in (1, 2, 3)
+
+
+def test_old_versions_are_dropped(spark, home):
+    for i in (1, 2, 3, 3):
+        refresh_dimension(seed_users(spark).limit(i), home, keep=2)
+    assert len(file_names(spark, f"{home}/versions")) == 2
+    assert len([name for name in file_names(spark, home) if name.startswith("v0")]) == 2
+    assert current_dimension(spark, home).rows.count() == 3
+
+
+def test_documents_that_are_no_users_are_accounted_for(spark, home):
+    texts = ['{"user_id":1,"name":"A","city":"B"}', "{", "[1]", '{"user_id":"x"}', '{"name":"N","city":"C"}', None]
+    documents = spark.createDataFrame([(t,) for t in texts], "document string")
+    assert load_documents(documents, "document", home) == (2, 4)
+    dimension = current_dimension(spark, home)
+    rejected = sorted((row.reason, row.document or "") for row in dimension.rejected.collect())
+    assert rejected == [("BAD_JSON", ""), ("BAD_JSON", "{"), ("ID", '{"user_id":"x"}'), ("NOT_OBJECT", "[1]")]
+
+
+def test_stream_by_processing_time(spark, home):
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    topic(spark, [change(1, 1), change(2, 2)]).write.parquet(f"{home}/topic")
+    source = topic_stream(spark, "parquet", path=f"{home}/topic")
+    query = run_stream(source, f"{home}/users", f"{home}/sink", f"{home}/checkpoint")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert names(spark, home) == ["Alice", "Bob"]
+
+
 def test_replayed_batch_replaces_records_and_quarantine(spark, home):
     refresh_dimension(seed_users(spark), f"{home}/users")
     dimension, sink = current_dimension(spark, f"{home}/users"), f"{home}/sink"
