@@ -27,3 +27,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = found.select("node", "component")
         if not found.where("moved").limit(1).count():
             return labels
+
+
+def merge_links(components: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` (node, component) after new ``links`` (a, b).
+
+    Links are first drawn between components, where most fall together or within one.
+    """
+    named = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"own_{side}"))
+    drawn = links.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    drawn = written(drawn.select("a", "b", *(F.coalesce(f"own_{x}", x).alias(f"own_{x}") for x in "ab")), "component-links")
+    edges = drawn.select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).where("a <> b").distinct()
+    merged = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    known = components.union(drawn.select("a", "own_a")).union(drawn.select("b", "own_b")).distinct()
+    found = known.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    return written(found, "components")

@@ -6,7 +6,7 @@ each set is indexed by its rarest tokens (prefix filter). An index list keeps it
 of equal size and position: a probe reads a block's header and skips all of it if size and
 position already rule a match out.
 
-Lists are worked off in rounds, from a few probe sets each. Sets that are linked already, by whatever path, need
+Lists are worked off in rounds, from a few probe sets each, of different groups as far as there are. Sets that are linked already, by whatever path, need
 no comparison; and where a probe is similar to an earlier one, its answers are bounded by those
 computed before: |x ∩ y| <= min(|x ∩ p|, |p ∩ y|) + min(|x - p|, |y - p|). So a group of near copies is
 found from a few of its sets and never paired off, and no link between groups is lost.
@@ -19,6 +19,7 @@ nothing. Repeated rows are equal sets. An empty table gives an empty table; othe
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import broadcast_if_small, parallelism, written
-from millrace.llm.components import connected_components
+from millrace.llm.components import merge_links
 from millrace.llm.text import chunks, lowered, mixed, shingle_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 75  # similarity: 100 * intersection >= PERCENT * union
 COARSE_PERCENT = 15  # of a set: tokens that the coarse index wants shared among the smallest hashes
 BUCKET_TOKENS = 1_500_000  # of an index bucket, which one task sorts
-SHORT_LIST = 32  # lists up to here are paired at once, longer ones from a few probes a round
-PROBES = 8  # per list and round
+# By round: a list with at most so many sets outside its largest group is finished by them, a longer one gets so many
+# probes. The first round links most sets of a group, and linked ones are not paired, so later rounds may take more.
+ROUNDS = ((32, 8), (256, 64), (1024, 512))
 BLOCK = 1000  # sets in a block, about
 BROADCAST_IDS = 2_000_000  # 16 MB
 
@@ -130,7 +132,7 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
     order = np.argsort(ids, kind="stable")
     tokens, ids, sharing = tokens[order], ids[order], sharing[order].astype("i4")
     owners, firsts = np.unique(ids, return_index=True)
-    cut = list(zip(firsts.tolist(), np.append(firsts[1:], len(ids)).tolist(), strict=True))
+    cut = list(zip(firsts.tolist(), np.append(firsts[1:], len(ids))[: len(firsts)].tolist(), strict=True))
     columns = [pa.array(owners), pa.array([b - a for a, b in cut], pa.int64())]
     columns += [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (tokens, sharing)]
     return pa.Table.from_arrays(columns, names=["sid", "shared", "tokens", "sharing"])
@@ -238,45 +240,61 @@ def _blocks(entries: DataFrame, longest: int) -> DataFrame:
     return grouped.agg(F.collect_list(F.struct("sid", "component")).alias("held"))
 
 
-def candidate_pairs(entries: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, n_a, n_b) of unlinked sets to compare in this round, and the probes (token, sid) used up.
+def live_lists(entries: DataFrame, components: DataFrame) -> DataFrame:
+    """``entries`` of lists whose sets are not all linked yet, with each set's component, the list's largest, its
+    ``length`` and the number of sets ``outside`` the largest."""
+    labelled = entries.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    groups = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("held"))
+    lists = groups.groupBy("token").agg(F.sum("held").alias("length"), F.max("held").alias("most"), F.max_by("component", "held").alias("largest"))
+    lists = lists.where("most < length").select("token", "length", "largest", (F.col("length") - F.col("most")).alias("outside"))
+    return labelled.join(lists, "token")
 
-    ``entries``: token, sid, n, at, component and the list's ``length``. In a short list every set probes; in a long
-    one, of each of a few slots, the smallest.
-    """
-    slot = F.when(F.col("length") <= SHORT_LIST, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid"), F.lit(PROBES)))
-    probes = entries.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("n", "sid", "at", "component", "length")).alias("p"))
-    probes = probes.select("token", "p.*")
-    blocks = _blocks(entries, longest).withColumnsRenamed({"n": "n_b", "at": "at_b"})
+
+def probes_of(live: DataFrame, limit: int, probes_each: int) -> DataFrame:
+    """Members of lists to compare with all others: all outside the largest group if they are few, else the
+    smallest of each of a few slots. What is linked to none of its list's groups leaves the list then."""
+    slot = F.when(F.col("outside") <= limit, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid"), F.lit(probes_each)))
+    chosen = live.where("component <> largest").groupBy("token", slot.alias("slot"))
+    return chosen.agg(F.min(F.struct("n", "sid", "at", "component")).alias("p")).select("token", "p.*")
+
+
+def candidate_pairs(live: DataFrame, probes: DataFrame, longest: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of unlinked sets to compare: each probe with the blocks of its list that may hold a match."""
+    blocks = _blocks(live, longest).withColumnsRenamed({"n": "n_b", "at": "at_b"})
     met = probes.join(blocks, "token").where(_may_match(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
-    other = lambda x: (x["component"] != F.col("component")) & ((F.col("length") > SHORT_LIST) | (x["sid"] > F.col("sid")))
-    pairs = met.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), "n_b", F.explode(F.filter("held", other)).alias("y"))
+    unlinked = F.filter("held", lambda x: x["component"] != F.col("component"))
+    pairs = met.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), "n_b", F.explode(unlinked).alias("y"))
     y, first = F.col("y.sid"), F.col("x") < F.col("y.sid")
     pairs = pairs.select(
         F.least("x", y).alias("a"), F.greatest("x", y).alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_x")).alias("n_b")
     )
-    return pairs.distinct(), probes.select("token", "sid")
+    return pairs.distinct()
 
 
 def without_answered(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     """Pairs that were not compared yet and that no computed answers rule out.
 
-    ``answers`` (a, b, n_a, n_b, common). If both sets were compared with a third, p, what they have in common lies
-    within p as far as both do, and outside it as far as both do.
+    ``answers`` (a, b, n_a, n_b, common). If the set most similar to one of a pair, p, was compared with the other, too,
+    what the pair has in common lies within p as far as both do, and outside it as far as both do.
     """
     fresh = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
-    sides = answers.select("a", "b", "common").union(answers.select("b", "a", "common"))
-    with_a = sides.select(F.col("a").alias("p"), F.col("b").alias("a"), F.col("common").alias("common_a"))
-    with_b = sides.select(F.col("a").alias("p"), F.col("b"), F.col("common").alias("common_b"))
-    bound = F.least("common_a", "common_b") + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
-    ruled_out = fresh.join(with_a, "a").join(with_b, ["b", "p"]).where(~_enough(bound, F.col("n_a"), F.col("n_b")))
-    return fresh.join(ruled_out.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    sides = answers.select(F.col("a").alias("s"), F.col("b").alias("p"), "common").union(answers.select(F.col("b"), F.col("a"), F.col("common")))
+    nearest = sides.groupBy("s").agg(F.max(F.struct("common", "p")).alias("near"))  # one for each set
+
+    def ruled_out(x: str, y: str) -> DataFrame:
+        near = nearest.select(F.col("s").alias(x), F.col("near.p").alias("p"), F.col("near.common").alias("common_x"))
+        known = sides.select(F.col("s").alias(y), "p", F.col("common").alias("common_y"))
+        outside = F.least(F.col(f"n_{x}") - F.col("common_x"), F.col(f"n_{y}") - F.col("common_y"))
+        bound = F.least("common_x", "common_y") + outside
+        return fresh.join(near, x).join(known, [y, "p"]).where(~_enough(bound, F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+    return fresh.join(ruled_out("a", "b").union(ruled_out("b", "a")).distinct(), ["a", "b"], "left_anti")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` with the number of ``common`` shingles."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             common = [
                 len(np.intersect1d(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), assume_unique=True))
@@ -287,7 +305,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     held_b = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tokens_b"))
     held_a = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("tokens_a"))
     joined = pairs.join(held_b, "b").join(held_a, "a").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
-    return joined.mapInArrow(count, "a long, b long, n_a long, n_b long, common long")
+    return joined.mapInArrow(intersect, "a long, b long, n_a long, n_b long, common long")
 
 
 def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -296,20 +314,19 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = index_entries(sets)
     answers = spark.createDataFrame([], "a long, b long, n_a long, n_b long, common long")
     components = spark.createDataFrame([], "node long, component long")
-    while True:
-        labelled = entries.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        lists = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("least"), F.max("component").alias("most"))
-        lists = lists.where("least < most").select("token", "length")
-        live = written(labelled.join(lists, "token"), "join-live")
+    for number in count():
+        limit, probes_each = ROUNDS[min(number, len(ROUNDS) - 1)]
+        live = written(live_lists(entries, components), "join-live")
         longest = live.agg(F.max("length")).first()[0]
         if not longest:
             return components.withColumnRenamed("node", "sid"), answers
-        pairs, probes = candidate_pairs(live, longest)
-        compared = written(compare(written(without_answered(pairs, answers), "join-pairs"), sets), "join-answers")
-        answers = answers.unionByName(compared)
-        links = answers.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b")))
-        components = connected_components(links)
-        left = live.where(F.col("length") > SHORT_LIST).join(probes, ["token", "sid"], "left_anti")
+        probes = written(probes_of(live, limit, probes_each), "join-probes")
+        pairs = written(without_answered(candidate_pairs(live, probes, longest), answers), "join-pairs")
+        if pairs.limit(1).count():
+            compared = written(compare(pairs, sets), "join-answers")
+            components = merge_links(components, compared.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))))
+            answers = written(answers.unionByName(compared), "join-answers")
+        left = live.where(F.col("outside") > limit).join(probes.select("token", "sid"), ["token", "sid"], "left_anti")
         entries = written(left.select("token", "sid", "n", "at"), "join-left")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import byte_gru, class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, merge_links
 from tests.llm.tables import CLASHING, documents, edge_documents, edge_labels, edge_rows, edited, empty_documents, prose
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -144,8 +144,7 @@ def near_copies(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", 6)  # most lists take several rounds
-    monkeypatch.setattr(ngram_join, "PROBES", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", ((6, 3), (8, 4)))  # most lists take several rounds
     texts = near_copies(seed)
     found = ngram_join.near_duplicates(documents(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
@@ -181,6 +180,10 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in found} == {x: find(x) for x in parent}
+    merged = spark.createDataFrame([], "node long, component long")
+    for part in (edges[:70], edges[70:130], edges[130:]):
+        merged = merge_links(merged, spark.createDataFrame(part, "a long, b long"))
+    assert {r["node"]: r["component"] for r in merged.collect()} == {x: find(x) for x in parent}
 
 
 # -- 3 ------------------------------------------------------------------------------------------
