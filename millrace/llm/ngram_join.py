@@ -115,11 +115,15 @@ def _bucketed(sets: dict[int, np.ndarray], buckets: int) -> Iterator[tuple[int,
         yield b, ids[owners].tobytes(), n.astype("i4").tobytes(), tokens[part].tobytes()
 
 
-def _shared_in_bucket(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each set with tokens that other sets have too, those tokens and their numbers of sets."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    tokens = join("tokens", "u8")
-    ids = np.repeat(join("sids", "i8"), join("counts", "i4"))
+def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _shared_in_bucket(table: pa.Table, parts: int, with_tokens: bool) -> pa.Table:
+    """Of one bucket, the tokens of more than one set: by the part that a set falls to, set ids, how many tokens of
+    each, the tokens and their numbers of sets."""
+    tokens = _joined(table, "tokens", "u8")
+    ids = np.repeat(_joined(table, "sids", "i8"), _joined(table, "counts", "i4"))
     order = np.lexsort((ids, tokens))
     tokens, ids = tokens[order], ids[order]
     new = np.r_[True, (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])][: len(tokens)]
@@ -128,18 +132,36 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
     lengths = np.diff(np.append(starts, len(tokens)))
     sharing = np.repeat(lengths, lengths)
     kept = sharing > 1
-    tokens, ids, sharing = tokens[kept], ids[kept], sharing[kept]
-    order = np.argsort(ids, kind="stable")
-    tokens, ids, sharing = tokens[order], ids[order], sharing[order].astype("i4")
-    owners, firsts = np.unique(ids, return_index=True)
-    cut = list(zip(firsts.tolist(), np.append(firsts[1:], len(ids))[: len(firsts)].tolist(), strict=True))
-    columns = [pa.array(owners), pa.array([b - a for a, b in cut], pa.int64())]
-    columns += [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (tokens, sharing)]
-    return pa.Table.from_arrays(columns, names=["sid", "shared", "tokens", "sharing"])
-
-
-def _shared_tokens(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], dict[int, np.ndarray]], total: int) -> DataFrame:
-    """``sid``, its number of ``shared`` tokens, and per bucket the tokens and their numbers of sets.
+    tokens, ids, sharing = tokens[kept], ids[kept], sharing[kept].astype("i4")
+    part = ids % parts
+    order = np.lexsort((ids, part))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        at = order[edges[p] : edges[p + 1]]
+        owners, n = np.unique(ids[at], return_counts=True)
+        held = (tokens[at].tobytes(), sharing[at].tobytes()) if with_tokens else (b"", b"")
+        out.append((p, owners.tobytes(), n.astype("i4").tobytes(), *held))
+    kinds = (pa.int32(), *[pa.binary()] * 4)
+    columns = zip(*out, strict=True) if out else [[]] * 5
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "sids", "counts", "tokens", "sharing"])
+
+
+def _by_set(table: pa.Table) -> pa.Table:
+    """Of one part: a row for each set with what all buckets say of it."""
+    ids, n = _joined(table, "sids", "i8"), _joined(table, "counts", "i4").astype("i8")
+    owners, place = np.unique(ids, return_inverse=True)
+    shared = np.bincount(place, n, len(owners)).astype("i8")
+    tokens, sharing = _joined(table, "tokens", "u8"), _joined(table, "sharing", "i4")
+    order = np.argsort(np.repeat(place, n), kind="stable") if len(tokens) else np.empty(0, "i8")
+    tokens, sharing, ends = tokens[order], sharing[order], np.cumsum(shared) if len(tokens) else np.zeros(len(owners), "i8")
+    begins = np.append(0, ends[:-1])[: len(ends)]
+    cut = [pa.array([x[a:b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()) for x in (tokens, sharing)]
+    return pa.Table.from_arrays([pa.array(owners), pa.array(shared), *cut], names=["sid", "shared", "tokens", "sharing"])
+
+
+def _shared_tokens(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], dict[int, np.ndarray]], total: int, with_tokens: bool) -> DataFrame:
+    """``sid``, its number of ``shared`` tokens and, if asked for, those tokens and their numbers of sets.
 
     Equal sets of a batch go out once, so that many copies of a set do not meet in a bucket.
     """
@@ -152,9 +174,12 @@ def _shared_tokens(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], dict[int
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "sids", "counts", "tokens"])
 
+    def shared(table: pa.Table) -> pa.Table:
+        return _shared_in_bucket(table, buckets, with_tokens)
+
     dealt = rows.mapInArrow(deal, "bucket int, sids binary, counts binary, tokens binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_in_bucket, "sid long, shared long, tokens binary, sharing binary")
-    return shared.groupBy("sid").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("tokens", "sharing")).alias("parts"))
+    found = dealt.groupBy("bucket").applyInArrow(shared, "part int, sids binary, counts binary, tokens binary, sharing binary")
+    return found.groupBy("part").applyInArrow(_by_set, "sid long, shared long, tokens binary, sharing binary")
 
 
 def coarse_survivors(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -165,7 +190,7 @@ def coarse_survivors(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> D
 
     total = sets.agg(F.sum("n")).first()[0] or 0
     classes = sets.where("sid IS NOT NULL AND doc_id IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"))
-    shared = _shared_tokens(docs.select("text"), prefixes, total // 2).select("sid", "shared")
+    shared = _shared_tokens(docs.select("text"), prefixes, total // 2, with_tokens=False).select("sid", "shared")
     needed = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * PERCENT / 100) * COARSE_PERCENT / 100))
     return written(shared.join(classes, "sid").where(F.col("shared") >= needed).select("sid", "n", "doc_id"), "join-survivors")
 
@@ -196,14 +221,13 @@ def index_entries(sets: DataFrame) -> DataFrame:
         return {sid: np.frombuffer(t, "u8") for sid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
 
     total = sets.agg(F.sum("n")).first()[0] or 0
-    shared = _shared_tokens(sets.select("sid", "tokens"), whole, total).join(sets.select("sid", "n"), "sid")
+    shared = _shared_tokens(sets.select("sid", "tokens"), whole, total, with_tokens=True).join(sets.select("sid", "n"), "sid")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out: list[list] = [[], [], [], []]
-            for sid, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = np.frombuffer(b"".join(p["tokens"] for p in parts), "u8")
-                sharing = np.frombuffer(b"".join(p["sharing"] for p in parts), "i4")
+            for sid, n, tokens, sharing in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens, sharing = np.frombuffer(tokens, "u8"), np.frombuffer(sharing, "i4")
                 position = np.arange(len(tokens)) + n - len(tokens)  # after the tokens of this set alone
                 prefix = position <= n - _least_overlap(n)
                 order = np.lexsort((tokens, sharing))[prefix]
@@ -212,7 +236,7 @@ def index_entries(sets: DataFrame) -> DataFrame:
             arrays = [pa.array(np.concatenate(c) if c else np.empty(0), pa.int64()) for c in out]
             yield pa.RecordBatch.from_arrays(arrays, names=["token", "sid", "n", "at"])
 
-    found = shared.select("sid", "n", "parts").mapInArrow(cut, "token long, sid long, n long, at long")
+    found = shared.select("sid", "n", "tokens", "sharing").mapInArrow(cut, "token long, sid long, n long, at long")
     return written(found, "join-index")
 
 

@@ -418,10 +418,10 @@ def test_line_groups(spark):
 
 
 def test_simhash_and_keys(spark):
-    lines = [" ".join(prose(random.Random(i), n).split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
-    frame = spark.createDataFrame([(i, 0, x, len(x.split())) for i, x in enumerate(lines)] + [(9, 9, lines[1], 60)], "doc_id long, line_no int, line string, words int")
-    found = {r["line_id"]: r["simhash"] for r in line_dedup.line_hashes(frame).collect()}
-    exploded = frame.dropDuplicates(["line"]).select(F.xxhash64("line").alias("id"), F.explode(F.split("line", " ")).alias("w")).select("id", F.xxhash64("w").alias("h")).collect()
+    lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
+    frame = documents(spark, [*enumerate(lines), (9, lines[1] + "\n" + lines[4])])
+    found = {r["line_id"]: r["simhash"] for r in line_dedup.line_hashes(line_dedup.line_sums(frame)).collect()}
+    exploded = frame.where("doc_id < 9").select(F.xxhash64("text").alias("id"), F.explode(F.split("text", " ")).alias("w")).select("id", F.xxhash64("w").alias("h")).collect()
     bits = defaultdict(list)
     for r in exploded:
         bits[r["id"]].append([(r["h"] >> b) & 1 for b in range(64)])
