@@ -417,6 +417,28 @@ def test_line_groups(spark):
     assert sum(own[i, 0] == own[i + 30, 0] for i in range(30) if (i + 30) % 2 == 0) >= 8  # one word of sixty changed
 
 
+def near_line(rng, line, edits):
+    """``line`` after so many changes of one character."""
+    held = list(line)
+    for _ in range(edits):
+        i = rng.randrange(len(held))
+        held[i : i + 1] = rng.choice([[], ["q"], [held[i], "z"]])
+    return " ".join("".join(held).split())
+
+
+@pytest.mark.parametrize("n_words", [6, 12, 27, 60, 150])
+def test_near_equal_lines_of_any_length_meet(spark, n_words):
+    rng = random.Random(n_words)
+    base = ["".join(prose(rng, n_words)).replace(".\n", " ") for _ in range(40)]
+    swapped = [" ".join(w[:k] + ["the" + w[k]] + w[k + 1 :]) for w in (x.split() for x in base) for k in [rng.randrange(len(w))]]
+    typed = [near_line(rng, x, max(1, len(x) // 20)) for x in base]
+    pairs = [(a, b) for near in (swapped, typed) for a, b in zip(base, near, strict=True) if 10 * edit_distance(a, b) <= max(len(a), len(b))]
+    texts = [(i, t) for i, t in enumerate(x for p in pairs for x in p)]
+    group = {r["doc_id"]: r["group_id"] for r in line_dedup.line_groups(documents(spark, texts)).collect()}
+    assert len(pairs) >= 40
+    assert sum(group[2 * i] == group[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
+
+
 def test_simhash_and_keys(spark):
     lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
     frame = documents(spark, [*enumerate(lines), (9, lines[1] + "\n" + lines[4])])
