@@ -36,7 +36,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(read_documents(spark, sf_dir))
+    return line_dedup.line_groups(read_documents(spark, sf_dir), short=True)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

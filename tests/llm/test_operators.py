@@ -12,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from millrace.llm import byte_gru, class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
 from millrace.llm.components import connected_components, merge_links
+from millrace.llm.queries import QUERIES
 from tests.llm.tables import CLASHING, documents, edge_documents, edge_labels, edge_rows, edited, empty_documents, prose
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -439,6 +441,19 @@ def test_near_equal_lines_of_any_length_meet(spark, n_words):
     assert sum(group[2 * i] == group[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
 
 
+def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
+    thai = "การเรียนรู้ของเครื่องเป็นสาขาหนึ่งของปัญญาประดิษฐ์ที่ศึกษาวิธีการ".replace("\u0e31", "")
+    chinese = "我们今天在这里讨论如何从大量网页文本中删除重复的句子以便训练模型"
+    texts = ["Read more!\n" + thai, "read  MORE\n" + chinese, chinese.replace("今天", "明天", 1) + "\nok", "OK\nread more\n...", thai + "\n..."]
+    documents(spark, [(i, t) for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {(r["doc_id"], r["line_no"]): (r["group_id"], r["kept"]) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1), (4, 0)}
+    for same in ([(0, 0), (1, 0), (3, 1)], [(0, 1), (4, 0)], [(1, 1), (2, 0)], [(2, 1), (3, 0)]):
+        assert len({rows[k][0] for k in same}) == 1 and [rows[k][1] for k in same] == [True] + [False] * (len(same) - 1)
+    kept = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, documents(spark, [(i, t) for i, t in enumerate(texts)]), "").collect()}
+    assert kept == {0: texts[0], 1: chinese, 2: "ok", 3: "...", 4: "..."}
+
+
 def test_simhash_and_keys(spark):
     lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
     frame = documents(spark, [*enumerate(lines), (9, lines[1] + "\n" + lines[4])])
