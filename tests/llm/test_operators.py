@@ -454,6 +454,22 @@ def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     assert kept == {0: texts[0], 1: chinese, 2: "ok", 3: "...", 4: "..."}
 
 
+def test_lines_of_repeated_rows(spark):
+    rng = random.Random(21)
+    lines = [prose(rng, 40).replace(".\n", " ") for _ in range(20)]
+    near = [x.replace(x.split()[7], "then", 1) for x in lines]
+    rows = [(i, x) for i, x in enumerate(lines) for _ in range(2 + i % 4)] + [(100 + i, x) for i, x in enumerate(near)]
+    rows += [(None, x) for x in lines for _ in range(3)]
+    found = line_dedup.line_groups(documents(spark, rows)).collect()
+    group = {r["doc_id"]: r["group_id"] for r in found}
+    assert len(found) == len(rows) and all(group[i] == group[100 + i] for i in range(20))
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] < 100) for r in found)
+    sums = line_dedup.line_sums(documents(spark, rows))
+    once = line_dedup.line_sums(documents(spark, [(i, x) for i, x in enumerate(lines + near)]))
+    hashes = lambda frame: {r["line_id"]: r["simhash"] for r in line_dedup.line_hashes(frame).collect()}
+    assert hashes(sums) == hashes(once)
+
+
 def test_simhash_and_keys(spark):
     lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
     frame = documents(spark, [*enumerate(lines), (9, lines[1] + "\n" + lines[4])])
