@@ -2,7 +2,7 @@
 
 A few fixed rules reject hopeless texts. All others are adaptive: per language and
 source a mergeable quantile sketch describes each metric, and a document far above
-its own group's quartiles is rejected. Sketches of small groups are merged into those of
+its own group's quartiles, as measured by the group's own spread, is rejected. Sketches of small groups are merged into those of
 their language, and of small languages into one of everything, without another pass.
 
 Null text counts as empty, and empty texts fail the fixed rules. Null languages and sources
@@ -26,19 +26,12 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 
-# Metric, and how far above the third quartile a value may lie however narrow its group is.
-METRICS = {
-    "symbol_ratio": 0.05,
-    "upper_ratio": 0.25,
-    "repeat_ratio": 0.30,
-    "dup_line_ratio": 0.50,
-    "stutter_ratio": 0.25,
-    "word_length": 3.0,
-}
-SPREAD = 3.0  # interquartile ranges above the third quartile
+METRICS = ("symbol_ratio", "upper_ratio", "repeat_ratio", "dup_line_ratio", "stutter_ratio", "word_length")
+SPREAD = 3.0  # spreads above the third quartile
+TAIL = 0.9  # the spread is that between the quartiles, or where they are equal, as in ratios that are mostly zero, from them to this quantile
 SKETCH_K = 1024  # rank error below 0.3 %
 MIN_GROUP = 200  # smaller groups use their language's sketch
-ROUND = 3  # decimals of a threshold: keeps the sketch's noise out of it
+ROUND = 3  # decimals of a threshold, which is rounded up: keeps the sketch's noise out of it
 BROADCAST_GROUPS = 20_000
 
 
@@ -149,8 +142,10 @@ def learn_thresholds(metrics: DataFrame) -> DataFrame:
 
     def limits(frame: DataFrame) -> Column:
         quartile = lambda m, q: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
-        limit = lambda m, slack: quartile(m, 0.75) + F.greatest(F.lit(slack), SPREAD * (quartile(m, 0.75) - quartile(m, 0.25)))
-        return F.struct(*(F.round(limit(m, slack), ROUND).alias(f"max_{m}") for m, slack in METRICS.items()))
+        between = lambda m, a, b: quartile(m, b) - quartile(m, a)
+        spread = lambda m: F.when(between(m, 0.25, 0.75) > 0, between(m, 0.25, 0.75)).otherwise(between(m, 0.75, TAIL))
+        limit = lambda m: quartile(m, 0.75) + SPREAD * spread(m)
+        return F.struct(*((F.ceil(limit(m) * 10**ROUND) / 10**ROUND).alias(f"max_{m}") for m in METRICS))
 
     own = sketches.select("lang", "source", F.when(F.col("n") >= MIN_GROUP, limits(sketches)).alias("own"))
     by_lang = merged("lang")

@@ -645,6 +645,26 @@ def test_thresholds_follow_the_group(spark):
     assert all(kept[i] for i in range(900)) and not kept[1000] and kept[1001] and not kept[1002]
 
 
+def test_each_metric_rejects_a_planted_outlier(spark):
+    plain = lambda i: " ".join(f"w{chr(97 + j % 26)}{chr(97 + i % 26)}{chr(97 + j // 26)}" for j in range(200)).split()
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    w = plain(3)
+    outliers = {
+        "symbol_ratio": lines(w) + " " + "#" * 24,
+        "upper_ratio": lines([x[0].upper() + x[1:] if i % 2 else x for i, x in enumerate(w)]),
+        "repeat_ratio": lines(w[:175] + w[10:35]),
+        "dup_line_ratio": "\n".join([lines(w), *["a b c"] * 16]),
+        "stutter_ratio": lines([x for i, x in enumerate(w) for x in [x] * (1 + (i % 5 == 0))]),
+        "word_length": lines([x + "zz" for x in w]),
+    }
+    rows = [(i, lines(plain(i)), "en", "a") for i in range(400)] + [(1000 + i, t, "en", "a") for i, t in enumerate(outliers.values())]
+    found = {r["doc_id"]: r for r in quality.judge_quality(documents(spark, rows)).collect()}
+    assert all(found[i]["kept"] for i in range(400))
+    assert not any(found[1000 + i]["base_failed"] for i in range(len(outliers)))
+    assert [m for i, m in enumerate(outliers) if found[1000 + i]["kept"]] == []
+    assert set(outliers) == set(quality.METRICS)
+
+
 def test_rejection_keeps_what_is_judged_good(spark):
     docs = edge_documents(spark)
     kept = quality.reject_low_quality(docs)
