@@ -1,8 +1,8 @@
 """Exact duplicates by two passes over a Bloom filter.
 
-The first pass finds which places of two bit sets are hit by more than one row; only
-rows with both places hit twice can have an equal, and only those are shuffled and
-grouped. All others pass straight through as groups of one.
+The first pass finds which places of two bit sets are hit by more than one row, by grouping the
+places of all rows, once for each set; only rows with both places hit twice can have an equal, and
+only the prints of those are shuffled and grouped. All others pass straight through as groups of one.
 
 Texts are equal when identical; null counts as empty, and empty texts equal each other. The
 row with the largest ``doc_id`` stays (null ids are smallest). Rows repeated with one id are
