@@ -34,11 +34,16 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def publish_text(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Writes a file that is seen under its name only when complete."""
+    publish_bytes(spark, folder, name, text.encode())
+
+
+def publish_bytes(spark: SparkSession, folder: str, name: str, content: bytes) -> None:
     """Writes a file that is seen under its name only when complete."""
     system, hidden = _on_file_system(spark, f"{folder}/.{name}")
     stream = system.create(hidden)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(content))
     finally:
         stream.close()
     if not system.rename(hidden, _on_file_system(spark, f"{folder}/{name}")[1]):
