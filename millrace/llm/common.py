@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import fresh_dir
+from millrace.sinks.files import publish_bytes
 
 # Words are runs of characters other than these (space, tab to carriage return).
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,6 +27,24 @@ def share_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to Python workers, once an application, through the shared folder: theirs need not have it."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root, packed = Path(__file__).resolve().parents[2], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted((root / "millrace").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    folder = fresh_dir(spark, "package")
+    publish_bytes(spark, folder, "millrace.zip", packed.getvalue())
+    spark.sparkContext.addPyFile(f"{folder}/millrace.zip")
+    _SHIPPED.add(application)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     share_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -55,6 +76,19 @@ def broadcast_if_small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def join_unique(rows: DataFrame, table: DataFrame, on: list[str], weight: str, broadcast_rows: int, heaviest: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row for each key that they hold.
+
+    A table of more than ``broadcast_rows`` rows is split: the keys of the largest ``weight`` are broadcast, as many as
+    ``heaviest`` says; no other key has more than one row in so many, so the rest is joined by a shuffle.
+    """
+    if table.count() <= broadcast_rows:
+        return rows.join(F.broadcast(table), on).drop(weight)
+    heavy = F.broadcast(written(table.orderBy(F.desc(weight), *on).limit(min(heaviest, broadcast_rows)), "heavy-keys"))
+    others = rows.join(heavy.select(on), on, "left_anti")
+    return rows.join(heavy, on).unionByName(others.join(table.join(heavy.select(on), on, "left_anti"), on)).drop(weight)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Parts into which a key is split that may hold a large share of the rows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality, toxicity, url_filters
+from millrace.llm import alignment, class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, toxicity, url_filters
 from millrace.llm.common import read_documents
 from millrace.llm.oracles import ORACLES
 
@@ -52,6 +52,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_opening_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_summary(read_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -63,4 +71,6 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_alignment": op13_alignment,
 }
