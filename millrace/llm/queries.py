@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import alignment, class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, toxicity, url_filters
+from millrace.llm import alignment, class_lm, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, suffix_dedup, toxicity, url_filters
 from millrace.llm.common import read_documents
 from millrace.llm.oracles import ORACLES
 
@@ -56,6 +57,17 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.shared_opening_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)")
+    return suffix_dedup.remove_repeats(read_documents(spark, sf_dir)).select(
+        "doc.doc_id",
+        F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long").alias("n_bytes"),
+        n_removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_summary(read_documents(spark, sf_dir))
 
@@ -72,5 +84,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_alignment": op13_alignment,
 }
