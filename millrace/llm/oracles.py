@@ -62,8 +62,8 @@ WITH turns AS (
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 -- crc32 bit by bit: the bytes of the decimal number, each followed by seven further steps
 hashed AS (
-  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), c -> [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-                            (s, x) -> xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384)), 4294967295) % 4 AS few FROM turns),
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                            lambda s, x: xor(xor(s, x) >> 1, (xor(s, x) & 1) * 3988292384)), 4294967295) % 4 AS few FROM turns),
 rebuilt AS (
   SELECT c.conv_id, list_concat(coalesce(o.seq[1:c.few], []), c.seq[c.few + 1:]) AS seq
   FROM hashed c LEFT JOIN turns o ON o.conv_id = c.conv_id - c.conv_id % 20),

@@ -1,13 +1,15 @@
 """Removal of the bytes that a string of ``WINDOW`` bytes repeats from an earlier place in the corpus.
 
-Suffixes can share a window only if they share its anchor, the least hashed gram of ``GRAM`` bytes in it, which
-the window's bytes alone decide. So a first pass counts anchors, and only the stretches of text around anchors that occur
-twice are shuffled, by anchor. Equal stretches count once; the suffixes that begin in the others are sorted to the depth of a
+Equal windows have one anchor, the least of the hashes of the grams of ``GRAM`` bytes in them. A text is cut into
+stretches, runs of windows with one anchor. A first pass counts anchors; only stretches whose anchor occurs twice are shuffled, by
+anchor, as hashes. Of equal stretches the first stays in play and the others go as a whole. Where an anchor has different
+stretches, or a stretch may repeat itself, their bytes are fetched and the suffixes that begin in them are sorted to the depth of a
 window, deep-shallow: multikey quicksort by words of eight bytes to a shallow depth, then a blind trie for every group that
 still shares its bytes. In each run of equal windows the smallest (document, start) stays, all others go.
 
 Anchors of many stretches are dealt over several groups; what is left of each group, one place a
-window, is sorted once more by window, where no more places meet than there were groups.
+window, is sorted once more by window, where no more places meet than there were groups. Results are exact but for
+collisions of 64-bit hashes among stretches with one anchor.
 
 Null and empty texts have no bytes. Documents are ordered by ``doc_id``, null first. Rows with equal ids are the same document:
 of equal windows in them those with the smallest start stay, in each row. Texts are read whole, of any length, in overlapping parts. An empty
@@ -30,13 +32,13 @@ from millrace.llm.text import mixed
 WINDOW = 100
 GRAM = 40
 SHALLOW = 16  # bytes, in words of eight
-GROUP = 20_000  # stretches of one anchor that one task sorts
+GROUP = 20_000  # stretches of one anchor that meet in one group
 PART_BYTES = 1 << 20  # of text hashed at once
 SORTED_BYTES = 4 << 20  # of different stretches sorted at once
 BROADCAST_ROWS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2**64
-STRETCHES = "anchor long, doc_id long, twin long, start long, bytes binary"
+STRETCHES = "anchor long, content long, doc_id long, twin long, start long, stop long, inner boolean"
 FOUND = "doc_id long, twin long, start long, stop long, bytes binary"
 
 
@@ -48,52 +50,60 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Grams:
-    """Hashes of all grams of a part of the text."""
+    """Hashes of pieces of a part of the text, from sums that all pieces share."""
 
     def __init__(self, room: int):
         self.up, self.down = _powers(_BASE, room), _powers(pow(_BASE, -1, 1 << 64), room)
 
-    def hashes(self, held: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum((held.astype("u8") + np.uint64(1)) * self.down[: len(held)], dtype="u8")])
-        return mixed((sums[GRAM:] - sums[:-GRAM]) * self.up[: len(held) - GRAM + 1])
+    def sums(self, held: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, "u8"), np.cumsum((held.astype("u8") + np.uint64(1)) * self.down[: len(held)], dtype="u8")])
 
+    def hashes(self, sums: np.ndarray) -> np.ndarray:
+        """Of every gram."""
+        return mixed((sums[GRAM:] - sums[:-GRAM]) * self.up[: len(sums) - GRAM])
 
-def first_least(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For every ``width`` hashes in a row the place of the least, the first of equal ones."""
-    at, span = np.arange(len(hashes)), 1
+    def contents(self, sums: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((sums[stop] - sums[first]) * self.up[first] + (stop - first).astype("u8"))
+
+
+def extremes(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest (``pick``) of every ``width`` values in a row."""
+    span = 1
     while 2 * span <= width:
-        left, right = at[: len(at) - span], at[span:]
-        at = np.where(hashes[left] <= hashes[right], left, right)
+        values = pick(values[: len(values) - span], values[span:])
         span *= 2
     rest = width - span
-    left, right = at[: len(at) - rest], at[rest:]
-    return np.where(hashes[left] <= hashes[right], left, right)
-
-
-def _gather(held: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Slices of ``held`` as binary values."""
-    ends = np.cumsum(sizes)
-    taken = held[np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    offsets = np.concatenate([[0], ends]).astype("i4")
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+    return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(held: np.ndarray, stops: np.ndarray, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, start and number of windows of every run of windows with one anchor; none crosses a stop."""
-    n = len(held) - WINDOW + 1
-    if n <= 0:
-        return tuple(np.empty(0, "i8") for _ in range(3))
-    hashes = grams.hashes(held)
-    anchors = first_least(hashes, WINDOW - GRAM + 1)
+def _inside(n: int, stops: np.ndarray) -> np.ndarray:
+    """Which of ``n`` windows cross no stop."""
     crossing = np.zeros(n + 1, "i8")
     np.add.at(crossing, np.clip(stops - WINDOW + 1, 0, n), 1)
     np.add.at(crossing, np.clip(stops, 0, n), -1)
-    inside = np.cumsum(crossing)[:n] == 0
+    return np.cumsum(crossing)[:n] == 0
+
+
+def stretches(held: np.ndarray, stops: np.ndarray, grams: Grams) -> tuple[np.ndarray, ...]:
+    """Anchor, hash of the bytes, first window, number of windows of every stretch, and whether it may hold a window twice."""
+    n, width = len(held) - WINDOW + 1, WINDOW - GRAM + 1
+    if n <= 0:
+        return tuple(np.empty(0, kind) for kind in ("i8", "i8", "i8", "i8", "?"))
+    sums = grams.sums(held)
+    hashes = grams.hashes(sums)
+    anchors, inside = extremes(hashes, width, np.minimum), _inside(n, stops)
     new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | ~inside[:-1]])
     first = np.flatnonzero(new & inside)
     ends = np.concatenate([np.flatnonzero(new | ~inside), [n]])
-    sizes = ends[np.searchsorted(ends, first, "right")] - first
-    return hashes[anchors[first]].view("i8"), first, sizes
+    last = ends[np.searchsorted(ends, first, "right")] - 1
+    # a window twice in a stretch needs its anchor's gram twice, with no place between that is any window's anchor
+    padding = np.zeros(width - 1, "u8")
+    anchoring = np.flatnonzero(extremes(np.concatenate([padding, anchors, padding]), width, np.maximum) == hashes)
+    twice = (hashes[anchoring[1:]] == hashes[anchoring[:-1]]) & (np.diff(anchoring) <= width)
+    twice = anchoring[:-1][twice]
+    inner = np.searchsorted(twice, first) < np.searchsorted(twice, last + width)
+    contents = grams.contents(sums, first, last + WINDOW)
+    return anchors[first].view("i8"), contents.view("i8"), first, last - first + 1, inner
 
 
 def _parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[list[tuple]]:
@@ -113,23 +123,25 @@ def _parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[list[
 
 
 def stretches_of(texts: DataFrame, whole: bool, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``STRETCHES`` of ``texts`` (doc_id, twin, bytes), or their anchors alone."""
+    """``STRETCHES`` of ``texts`` (doc_id, twin, bytes), or their anchors alone, to be counted."""
+    ship_package(texts.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(2 * part_bytes + WINDOW)
         for some in _parts(batches, part_bytes):
             held = np.frombuffer(b"".join(part for *_, part in some), "u1")
             stops = np.cumsum([len(part) for *_, part in some])
-            anchors, first, sizes = stretches(held, stops, grams)
+            anchors, contents, first, sizes, inner = stretches(held, stops, grams)
             if not whole:
-                yield pa.RecordBatch.from_arrays([pa.array(anchors)], names=["anchor"])
+                # a stretch that may repeat itself counts twice
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([anchors, anchors[inner]]))], names=["anchor"])
                 continue
             row = np.searchsorted(stops, first, "right")
             begin, offset = np.concatenate([[0], stops[:-1]]), np.array([offset for _, _, offset, _ in some])
             ids, twins = (pa.array([x[i] for x in some], pa.int64()).take(pa.array(row)) for i in range(2))
-            starts = pa.array(first - begin[row] + offset[row])
-            bytes_ = _gather(held, first, sizes + WINDOW - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(anchors), ids, twins, starts, bytes_], names=["anchor", "doc_id", "twin", "start", "bytes"])
+            starts = first - begin[row] + offset[row]
+            arrays = [pa.array(anchors), pa.array(contents), ids, twins, pa.array(starts), pa.array(starts + sizes + WINDOW - 1), pa.array(inner)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "content", "doc_id", "twin", "start", "stop", "inner"])
 
     return texts.mapInArrow(cut, STRETCHES if whole else "anchor long")
 
@@ -283,18 +295,15 @@ def _sort_groups(rows: list[tuple], keep: bool) -> pa.RecordBatch:
     chosen[same[at_first]] = at_first
     groups: dict[int, int] = {}
     group = np.array([groups.setdefault(rows[i][0], len(groups)) for i in chosen.tolist()], "i8")
-    alone = np.bincount(group, minlength=len(groups))[group] == 1
-    sorted_ = chosen if keep else chosen[~alone]
-    group = group if keep else group[~alone]
-    text = b"".join(rows[i][4] for i in sorted_.tolist()) + bytes(8)
-    lengths = np.array([len(rows[i][4]) for i in sorted_.tolist()], "i8")
+    text = b"".join(rows[i][4] for i in chosen.tolist()) + bytes(8)
+    lengths = np.array([len(rows[i][4]) for i in chosen.tolist()], "i8")
     windows = lengths - WINDOW + 1
-    owner = np.repeat(np.arange(len(sorted_)), windows)
+    owner = np.repeat(np.arange(len(chosen)), windows)
     inner = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
     order, run = deep_shallow_sort(text, (np.cumsum(lengths) - lengths)[owner] + inner, group[owner])
     runs = np.empty(len(order), "i8")
     runs[order] = run
-    row = sorted_[owner]
+    row = chosen[owner]
     stays = _first_places(known[row], ids[row], starts[row] + inner, runs)
     # windows that go, in runs of one stretch; rows that share its bytes and place lose the same
     twins: dict[int, list[int]] = {}
@@ -318,6 +327,8 @@ def _sort_groups(rows: list[tuple], keep: bool) -> pa.RecordBatch:
 def sorted_repeats(grouped: DataFrame, keep: bool) -> DataFrame:
     """``FOUND`` in stretches with their ``anchor`` and ``part``, dealt by both."""
 
+    ship_package(grouped.sparkSession)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, current = [], 0, None
         for batch in batches:
@@ -336,28 +347,51 @@ def sorted_repeats(grouped: DataFrame, keep: bool) -> DataFrame:
     return dealt.select("anchor", "part", "doc_id", "twin", "start", "bytes").mapInArrow(scan, FOUND)
 
 
+def _classed(others: DataFrame, group: int, part_bytes: int) -> DataFrame:
+    """Stretches that are ``gone`` as a whole, and those that are to be sorted, in (anchor, part); ``parts`` > 1 if there are more of the anchor."""
+    counted = stretches_of(others, False, part_bytes).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = written(counted.select("anchor", F.ceil(F.col("n") / group).cast("int").alias("parts"), "n"), "suffix-anchors")
+    whole = stretches_of(others, True, part_bytes)
+    held = join_unique(whole, counted, ["anchor"], "n", BROADCAST_ROWS)
+    held = held.withColumn("part", F.pmod(fold(0, F.col("doc_id"), F.col("twin"), F.col("start")), F.col("parts")).cast("int"))
+    # windows over one shuffle: by (anchor, part), and within it by content
+    met = Window.partitionBy("anchor", "part")
+    equal = Window.partitionBy("anchor", "part", "content")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "start")
+    held = held.repartition("anchor", "part").withColumns({"gone": ~place.eqNullSafe(F.min(place).over(equal)), "least": F.min("content").over(met), "most": F.max("content").over(met)})
+    held = held.where("gone OR inner OR parts > 1 OR least <> most")
+    return written(held.select("anchor", "part", "parts", "doc_id", "twin", "start", "stop", "gone"), "suffix-stretches")
+
+
+def _with_bytes(stretched: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stretches with their bytes, a list of which goes to each document."""
+    wanted = stretched.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("anchor", "part", "parts", "start", "stop")).alias("wanted"))
+    wanted = written(wanted.select(F.col("doc_id").alias("wanted_doc"), F.col("twin").alias("wanted_twin"), "wanted"), "suffix-wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("wanted_doc")) & (F.col("twin") == F.col("wanted_twin"))
+    small = stretched.count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(wanted) if small else wanted, same).select("doc_id", "twin", "bytes", F.explode("wanted").alias("w"))
+    piece = F.substring("bytes", (F.col("w.start") + 1).cast("int"), (F.col("w.stop") - F.col("w.start")).cast("int"))
+    return rows.select("w.anchor", "w.part", "w.parts", "doc_id", "twin", "w.start", piece.alias("bytes"))
+
+
 def repeated_spans(docs: DataFrame, group: int = GROUP, part_bytes: int = PART_BYTES) -> DataFrame:
     """``doc_id, twin, spans``: the maximal runs of bytes to remove (start, stop) of each document that has any.
 
     ``twin`` is the xxhash64 of the text, which tells rows with one id apart.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
     texts = texts.where(F.octet_length("bytes") >= WINDOW).select("doc_id", F.xxhash64("bytes").alias("twin"), "bytes")
     copies = written(_whole_copies(texts), "suffix-copies")
     others = texts.join(broadcast_if_small(copies.select("doc_id", "twin"), BROADCAST_ROWS), ["doc_id", "twin"], "left_anti")
 
-    counted = stretches_of(others, False, part_bytes).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = written(counted.select("anchor", F.ceil(F.col("n") / group).alias("parts"), "n"), "suffix-anchors")
-    held = join_unique(stretches_of(others, True, part_bytes), counted, ["anchor"], "n", BROADCAST_ROWS)
-    held = held.withColumn("part", F.pmod(fold(0, F.col("doc_id"), F.col("twin"), F.col("start")), F.col("parts")))
-    found = written(sorted_repeats(held.where("parts = 1"), False), "suffix-found").select("doc_id", "twin", "start", "stop")
-    if counted.where("parts > 1").limit(1).count():
+    classed = _classed(others, group, part_bytes)
+    places = ["doc_id", "twin", "start", "stop"]
+    held = _with_bytes(classed.where("NOT gone"), others)
+    found = classed.where("gone").select(places).union(written(sorted_repeats(held.where("parts = 1"), False), "suffix-found").select(places))
+    if classed.where("parts > 1").limit(1).count():
         dealt = written(sorted_repeats(held.where("parts > 1"), True), "suffix-found")
         left = dealt.where("bytes IS NOT NULL").select(fold(1, F.col("bytes")).alias("anchor"), F.lit(0).alias("part"), "doc_id", "twin", "start", "bytes")
-        merged = sorted_repeats(left, False)
-        found = found.union(dealt.where("bytes IS NULL").drop("bytes")).union(merged.drop("bytes"))
+        found = found.union(dealt.where("bytes IS NULL").select(places)).union(sorted_repeats(left, False).select(places))
     copied = copies.select("doc_id", "twin", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("stop"))).alias("spans"))
     return _maximal(found).unionByName(copied)
 

@@ -182,21 +182,33 @@ def test_stretches_hold_every_window_once():
     rng = random.Random(1)
     parts = [bytes(rng.choices(b"ab", k=n)) for n in (500, 99, 100, 0, 101, 700)]
     held, stops = np.frombuffer(b"".join(parts), "u1"), np.cumsum([len(p) for p in parts])
-    _, first, sizes = suffix_dedup.stretches(held, stops, suffix_dedup.Grams(4000))
+    _, _, first, sizes, _ = suffix_dedup.stretches(held, stops, suffix_dedup.Grams(4000))
     windows = [s + k for s, n in zip(first.tolist(), sizes.tolist()) for k in range(n)]
     begins = [0, *stops[:-1].tolist()]
     assert windows == [b + k for b, p in zip(begins, parts) for k in range(len(p) - 99)]
 
 
-def test_equal_windows_have_one_anchor():
+def test_equal_windows_have_one_anchor_and_equal_stretches_one_hash():
     rng = random.Random(2)
     shared = bytes(rng.choices(b"abc ", k=400))
-    grams, anchors = suffix_dedup.Grams(4000), []
+    grams, anchors, contents = suffix_dedup.Grams(4000), [], defaultdict(set)
     for front in (b"", b"zz", bytes(rng.choices(b"abc ", k=77))):
         held = np.frombuffer(front + shared, "u1")
-        found, first, sizes = suffix_dedup.stretches(held, np.array([len(held)]), grams)
+        found, content, first, sizes, _ = suffix_dedup.stretches(held, np.array([len(held)]), grams)
         anchors.append({int(s) + k - len(front): int(a) for a, s, n in zip(found, first, sizes) for k in range(n)})
+        for c, s, n in zip(content.tolist(), first.tolist(), sizes.tolist()):
+            contents[c].add(held[s : s + n + 99].tobytes())
     assert all(len({a[k] for a in anchors}) == 1 for k in range(301))
+    assert all(len(c) == 1 for c in contents.values()) and len(contents) < 45
+
+
+@pytest.mark.parametrize("period", [1, 3, 40, 61, 62, 99, 100, 130])
+def test_stretches_that_repeat_themselves_are_known(period):
+    rng = random.Random(period)
+    text = bytes(rng.choices(b"abcd", k=period)) * (1 + 400 // period) + bytes(rng.choices(b"abcd", k=300))
+    _, _, first, sizes, inner = suffix_dedup.stretches(np.frombuffer(text, "u1"), np.array([len(text)]), suffix_dedup.Grams(4000))
+    for s, n, marked in zip(first.tolist(), sizes.tolist(), inner.tolist()):
+        assert marked or len({text[i : i + 100] for i in range(s, s + n)}) == n
 
 
 # -- 13 -----------------------------------------------------------------------------------------
