@@ -36,6 +36,7 @@ GROUP = 20_000  # stretches of one anchor that meet in one group
 PART_BYTES = 1 << 20  # of text hashed at once
 SORTED_BYTES = 4 << 20  # of different stretches sorted at once
 BROADCAST_ROWS = 1_000_000
+HEAVY_ANCHORS = 20_000  # met without a shuffle of their stretches
 
 _BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2**64
 STRETCHES = "anchor long, content long, doc_id long, twin long, start long, stop long, inner boolean"
@@ -193,14 +194,13 @@ class BlindTrie:
     def _leaf_near(self, text: bytes) -> list:
         """Any leaf below the forks that ``text`` passes, without a look at what lies between them."""
         node = self.root
-        while isinstance(node, tuple):
-            length, children = node
-            node = children.get(text[length]) or next(iter(children.values()))
+        while type(node) is tuple:
+            children = node[1]
+            node = children.get(text[node[0]]) or next(iter(children.values()))
         return node
 
     def add(self, text: bytes, member: int) -> None:
-        """``text`` has at least ``depth`` bytes."""
-        text = text[: self.depth]
+        """``text`` has ``depth`` bytes."""
         if self.root is None:
             self.root = [text, member]
             return
@@ -246,20 +246,27 @@ def _shared_length(a: bytes, b: bytes) -> int:
 
 def deep_shallow_sort(text: bytes, starts: np.ndarray, segments: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Orders the suffixes at ``starts`` within their ``segments`` by ``depth`` bytes; also numbers the runs of equal ones."""
-    order, shallow = multikey_quicksort(np.frombuffer(text, "u1"), starts, segments)
+    order, group = multikey_quicksort(np.frombuffer(text, "u1"), starts, segments)
     run = np.arange(len(order))
-    sizes = np.bincount(shallow)
-    first = np.cumsum(sizes) - sizes
-    for begin, size in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-        members = order[begin : begin + size].tolist()
-        trie = BlindTrie(depth)
-        for member, start in zip(members, starts[members].tolist()):
-            trie.add(text[start : start + depth], member)
-        at = begin
-        for equal in trie.leaves():
-            order[at : at + len(equal)] = equal
-            run[at : at + len(equal)] = at
-            at += len(equal)
+    sizes = np.bincount(group)
+    shared = sizes[group] > 1 if len(order) else np.empty(0, bool)
+    members, places = order[shared].tolist(), starts[order[shared]].tolist()
+    deep, runs, at = [], [], 0
+    for size in sizes[sizes > 1].tolist():
+        stop = at + size
+        if size == 2:  # a trie of two leaves
+            one, two = text[places[at] : places[at] + depth], text[places[at + 1] : places[at + 1] + depth]
+            deep += members[at:stop] if one <= two else (members[at + 1], members[at])
+            runs += (at, at) if one == two else (at, at + 1)
+        else:
+            trie = BlindTrie(depth)
+            for i in range(at, stop):
+                trie.add(text[places[i] : places[i] + depth], members[i])
+            for equal in trie.leaves():
+                runs += [len(deep)] * len(equal)
+                deep += equal
+        at = stop
+    order[shared], run[shared] = deep, np.flatnonzero(shared)[runs] if runs else runs
     return order, run
 
 
@@ -352,7 +359,7 @@ def _classed(others: DataFrame, group: int, part_bytes: int) -> DataFrame:
     counted = stretches_of(others, False, part_bytes).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = written(counted.select("anchor", F.ceil(F.col("n") / group).cast("int").alias("parts"), "n"), "suffix-anchors")
     whole = stretches_of(others, True, part_bytes)
-    held = join_unique(whole, counted, ["anchor"], "n", BROADCAST_ROWS)
+    held = join_unique(whole, counted, ["anchor"], "n", HEAVY_ANCHORS, HEAVY_ANCHORS)
     held = held.withColumn("part", F.pmod(fold(0, F.col("doc_id"), F.col("twin"), F.col("start")), F.col("parts")).cast("int"))
     # windows over one shuffle: by (anchor, part), and within it by content
     met = Window.partitionBy("anchor", "part")
