@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -100,9 +102,9 @@ class Tokens:
 
     def __init__(self, ids: list[list[int]], tokens: list[bytes]):
         lengths = np.array([len(token) for token in tokens], "i8")
-        self.ids = np.fromiter((i for some in ids for i in some), "i8")
-        self.ends = np.cumsum(lengths[self.ids])
         self.counts = np.array([len(some) for some in ids], "i8")
+        self.ids = np.fromiter(chain.from_iterable(ids), "i8", int(self.counts.sum()))
+        self.ends = np.cumsum(lengths[self.ids])
         self.stops = np.cumsum(self.counts)
 
 
@@ -183,12 +185,19 @@ class Aligned:
         return a, np.concatenate([np.searchsorted(self.b.ends, self.a.ends), others])
 
 
+@cache
+def _decimals() -> np.ndarray:
+    """The digits of every id and a comma, in rows of equal width filled with zeros."""
+    width = len(str(1 << ID_BITS))
+    rows = np.full((1 << ID_BITS, width + 1), ord(","), "u1")
+    rows[:, :width] = np.arange(1 << ID_BITS).astype(f"S{width}").view("u1").reshape(-1, width)
+    return rows
+
+
 def _spelt(some: Tokens, cut: np.ndarray, last: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids in decimal, a comma after each or ``last`` where a group ends: bytes in rows filled with zeros, and their group."""
-    width = len(str(1 << ID_BITS))
-    rows = np.zeros((len(some.ids), width + 1), "u1")
-    rows[:, :width] = some.ids.astype(f"S{width}").view("u1").reshape(-1, width)
-    rows[:, width] = np.where(cut, last[0], ord(","))
+    rows = _decimals()[some.ids]
+    rows[cut, -1] = last[0]
     return rows, np.cumsum(cut) - cut
 
 
