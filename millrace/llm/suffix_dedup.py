@@ -375,8 +375,7 @@ def _with_bytes(stretched: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = stretched.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("anchor", "part", "parts", "start", "stop")).alias("wanted"))
     wanted = written(wanted.select(F.col("doc_id").alias("wanted_doc"), F.col("twin").alias("wanted_twin"), "wanted"), "suffix-wanted")
     same = F.col("doc_id").eqNullSafe(F.col("wanted_doc")) & (F.col("twin") == F.col("wanted_twin"))
-    small = stretched.count() <= BROADCAST_ROWS
-    rows = texts.join(F.broadcast(wanted) if small else wanted, same).select("doc_id", "twin", "bytes", F.explode("wanted").alias("w"))
+    rows = texts.join(wanted.hint("merge"), same).select("doc_id", "twin", "bytes", F.explode("wanted").alias("w"))
     piece = F.substring("bytes", (F.col("w.start") + 1).cast("int"), (F.col("w.stop") - F.col("w.start")).cast("int"))
     return rows.select("w.anchor", "w.part", "w.parts", "doc_id", "twin", "w.start", piece.alias("bytes"))
 
