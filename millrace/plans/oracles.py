@@ -111,6 +111,11 @@ UNION ALL SELECT 'empty', 0
 UNION ALL SELECT 'error', count(*) FROM o WHERE NOT skipped AND k = 1
 UNION ALL SELECT 'user_incomplete', count(*) FROM o WHERE NOT skipped AND k = 1
 UNION ALL SELECT 'unknown', count(*) FROM o WHERE NOT skipped AND (k IS NULL OR k IN (2, 4))""",
+    "q26_backfill_retry": _ENRICHED,
+    "q27_feed_back": f"""
+SELECT e.event_id AS "offset", c_name AS user_name, n_name AS user_city
+FROM events e JOIN customer ON e.user_id = c_custkey AND c_custkey % 5 = 1 JOIN nation ON c_nationkey = n_nationkey WHERE {_IS_CREATE}""",
+    "q28_compacted_sink": _ENRICHED,
     "s01_enrich_stream": _ENRICHED,
     "s02_stream_resume": _ENRICHED,
     "s03_dimension_freshness": """
@@ -121,4 +126,6 @@ FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey""",
     "s05_reset": _ENRICHED,
     "s06_raw_stream": _TRANSACTIONS,
     "s07_stream_metrics": _METRICS,
+    "s08_backfill_then_stream": f"WITH one AS ({_ENRICHED}) SELECT * FROM one UNION ALL SELECT * FROM one",
+    "s09_redelivered": _ENRICHED,
 }

@@ -11,17 +11,18 @@ from millrace.operators.enrich import enriched
 from millrace.operators.inspect import first_rows, local_time, round_amount, utc_time
 from millrace.operators.lookup import hot_keys, lookup_left, reduce_dimension
 from millrace.plans import fixtures
-from millrace.plans.jobs import BROADCAST_BYTES, backfill, classify
+from millrace.plans.jobs import BROADCAST_BYTES, FED_BACK, backfill, classify, feed_back
 from millrace.schemas import TXN, UNKNOWN
 from millrace.session import fresh_dir
 from millrace.sinks.files import delete_path
-from millrace.sinks.records import materialise_raw, read_counts, read_enriched, read_quarantine
+from millrace.sinks.records import compact_sink, materialise_raw, read_counts, read_enriched, read_quarantine, read_sink, vacuum_sink
 from millrace.sources.dimension import (
     current_dimension,
     refresh_dimension,
     load_documents,
     seed_users,
 )
+from millrace.sources.ranges import Slice
 from millrace.sources.topic import route_topic, topic_batch, topic_stream
 from millrace.streaming.stream import run_raw_stream, run_stream
 
@@ -248,6 +249,48 @@ def load_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(count,)], "n bigint")
 
 
+def backfill_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backfill of several ranges that fails between records and commit, and is called again."""
+    path, _ = fixtures.users_dimension(spark, sf_dir)
+    sink, topic = fresh_dir(spark, "sink"), fixtures.topic(spark, sf_dir)
+    batch_rows = max(1, topic.count() // 3)
+    calls = []
+
+    def failing(slices: list[Slice]) -> DataFrame:
+        calls.append(slices)
+        if len(calls) == 2:
+            raise OSError("the source is gone")
+        return topic
+
+    try:
+        backfill(topic, path, sink, run="retry", batch_rows=batch_rows, read_range=failing)
+    except OSError:
+        backfill(topic, path, sink, run="retry", batch_rows=batch_rows)
+    return _utc(read_enriched(spark, sink))
+
+
+def feed_back_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half users become whole; the transactions that met them before leave the quarantine once, in two passes."""
+    users, sink = fresh_dir(spark, "users"), fresh_dir(spark, "sink")
+    load_documents(_customer_documents(spark, sf_dir), "document", users)
+    backfill(fixtures.topic(spark, sf_dir), users, sink, run="first")
+    refresh_dimension(fixtures.all_customers(spark, sf_dir), users)
+    for _ in range(2):
+        feed_back(spark, sink, users)
+    fed = read_sink(spark, sink).where(F.col("owner") == FED_BACK)
+    return fed.select("offset", "user_name", "user_city")
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a backfill of many ranges after most of them were merged and the merged ones deleted."""
+    path, _ = fixtures.users_dimension(spark, sf_dir)
+    sink, topic = fresh_dir(spark, "sink"), fixtures.topic(spark, sf_dir)
+    backfill(topic, path, sink, run="many", batch_rows=max(1, topic.count() // 6))
+    compact_sink(spark, sink)
+    vacuum_sink(spark, sink, older_than=0.0)
+    return _utc(read_enriched(spark, sink))
+
+
 _ONCE = {"availableNow": True}
 
 
@@ -336,6 +379,26 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(spark, sink, *_OUTCOMES)
 
 
+def backfill_then_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that starts, and starts over, on a sink that a backfill filled: both keep their own."""
+    dimension, _ = fixtures.users_dimension(spark, sf_dir)
+    topic_path, sink, checkpoint = fixtures.topic_path(spark, sf_dir), fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint")
+    backfill(fixtures.topic(spark, sf_dir), dimension, sink)
+    _run(spark, topic_path, dimension, sink, checkpoint)
+    _run(spark, topic_path, dimension, sink, checkpoint, reset=True)
+    return _utc(read_enriched(spark, sink))
+
+
+def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic's messages arrive twice, the second time in another run, and are kept once."""
+    dimension, _ = fixtures.users_dimension(spark, sf_dir)
+    topic_path, sink, checkpoint = (fresh_dir(spark, name) for name in ("topic", "sink", "checkpoint"))
+    for _ in range(2):
+        fixtures.topic(spark, sf_dir).write.mode("append").parquet(topic_path)
+        _run(spark, topic_path, dimension, sink, checkpoint, once_within="365 days")
+    return _utc(read_enriched(spark, sink))
+
+
 QUERIES = {
     "q01_enrich": enrich,
     "q02_decode": decode_only,
@@ -362,6 +425,9 @@ QUERIES = {
     "q23_extended_json": extended_json,
     "q24_seed_lookup": seed_lookup,
     "q25_incomplete_metrics": incomplete_metrics,
+    "q26_backfill_retry": backfill_retry,
+    "q27_feed_back": feed_back_twice,
+    "q28_compacted_sink": compacted,
     "s01_enrich_stream": enrich_stream,
     "s02_stream_resume": stream_resume,
     "s03_dimension_freshness": dimension_freshness,
@@ -369,4 +435,6 @@ QUERIES = {
     "s05_reset": reset,
     "s06_raw_stream": raw_stream,
     "s07_stream_metrics": stream_metrics,
+    "s08_backfill_then_stream": backfill_then_stream,
+    "s09_redelivered": redelivered,
 }

@@ -56,20 +56,4 @@ ERROR = "ERROR"
 OUTCOMES = (ENRICHED_OUTCOME, SKIPPED, EMPTY, ERROR)
 
 SKIP_REASONS = ("TOMBSTONE", "EMPTY_ENVELOPE", "OP")
-ERROR_REASONS = (
-    "BAD_UTF8",
-    "BAD_JSON",
-    "LIMIT",
-    "ENVELOPE_NOT_OBJECT",
-    "AFTER_NOT_STRING",
-    "AFTER_BAD_JSON",
-    "AFTER_LIMIT",
-    "AFTER_NOT_OBJECT",
-    "ID",
-    "ID_NO_OID",
-    "TIMESTAMP",
-    "TYPE",
-    "USER_INCOMPLETE",
-)
-
 UNKNOWN = "Unknown"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -39,15 +42,43 @@ def publish_text(spark: SparkSession, folder: str, name: str, text: str) -> None
 
 
 def publish_bytes(spark: SparkSession, folder: str, name: str, content: bytes) -> None:
-    """Writes a file that is seen under its name only when complete."""
-    system, hidden = _on_file_system(spark, f"{folder}/.{name}")
+    """Writes a file that is seen under its name only when complete; it must be new."""
+    if not publish_first(spark, folder, name, content):
+        raise FileExistsError(f"{folder}/{name}")
+
+
+def publish_first(spark: SparkSession, folder: str, name: str, content: bytes) -> bool:
+    """Writes a file that is seen under its name only when complete, unless there is one: of several writers one succeeds.
+
+    HDFS does not rename onto a file that exists; a local file system would, so there the name is given by a link.
+    """
+    system, hidden = _on_file_system(spark, f"{folder}/.{name}.{uuid.uuid4().hex}")
+    target = _on_file_system(spark, f"{folder}/{name}")[1]
     stream = system.create(hidden)
     try:
         stream.write(bytearray(content))
     finally:
         stream.close()
-    if not system.rename(hidden, _on_file_system(spark, f"{folder}/{name}")[1]):
-        raise OSError(f"{folder}/{name} could not be published")
+    if system.getUri().getScheme() != "file":
+        done = not system.exists(target) and system.rename(hidden, target)
+    else:
+        places = [system.makeQualified(path).toUri().getPath() for path in (target, hidden)]
+        nio = spark.sparkContext._jvm.java.nio.file
+        try:
+            nio.Files.createLink(*[spark.sparkContext._jvm.java.io.File(place).toPath() for place in places])
+            done = True
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in str(error.java_exception.getClass().getName()):
+                raise
+            done = False
+    system.delete(hidden, False)
+    return done
+
+
+def modified(spark: SparkSession, path: str) -> float:
+    """When a path was last changed, in seconds since 1970."""
+    system, hadoop_path = _on_file_system(spark, path)
+    return system.getFileStatus(hadoop_path).getModificationTime() / 1000
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

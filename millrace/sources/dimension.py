@@ -1,10 +1,11 @@
 """The user dimension: versioned loads, each complete before it is seen.
 
 A load writes its rows and, reduced to one row per user, its lookup table into
-a folder of its own, and then publishes a file that names it. Readers take the
+a folder of its own, and then publishes a file that names it. The file gets its number when it is
+published, the next one that is free, so of loads at the same time the one that ends last is current. Readers take the
 newest file by its name and open no other, so they never see an empty or
 half-written dimension, and the reduction is paid once per load instead of once
-per batch. Loads at the same time all get a file; between them its name decides.
+per batch.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from millrace.operators.enrich import with_presence
 from millrace.operators.lookup import reduce_dimension
 from millrace.schemas import USERS
 from millrace.session import fresh_dir
-from millrace.sinks.files import delete_path, file_names, publish_text, read_text
+from millrace.sinks.files import delete_path, file_names, publish_first, read_text
 
 STORED_USERS = T.StructType([
     *USERS.fields,
@@ -134,10 +135,8 @@ def refresh_dimension(users: DataFrame, path: str, keep: int | None = None, reje
     of the newest versions are left: as many as are loaded while the longest batch runs, and one more.
     """
     spark = users.sparkSession
-    names = _versions(spark, path)
-    version = 1 + (int(names[-1].split("-")[0]) if names else 0)
-    name = f"{version:08d}-{uuid.uuid4().hex[:8]}"
-    location = f"{path}/v{name}"
+    folder = f"v0-{uuid.uuid4().hex}"
+    location = f"{path}/{folder}"
 
     if "ord" not in users.columns:
         users = users.withColumn("ord", F.monotonically_increasing_id())
@@ -164,23 +163,34 @@ def refresh_dimension(users: DataFrame, path: str, keep: int | None = None, reje
         rejected = spark.createDataFrame([], REJECTED)
     rejected.observe(turned_down, F.count(F.lit(1)).alias("n")).write.parquet(f"{location}/rejected")
     row_count = loaded.get["row_count"]
-    about = {"row_count": row_count, "lookup_bytes": measured.get["bytes"], "rejected_count": turned_down.get["n"]}
-    publish_text(spark, f"{path}/versions", name, json.dumps(about))
-    for old in _versions(spark, path)[:-keep] if keep else []:
+    about = {"folder": folder, "row_count": row_count, "lookup_bytes": measured.get["bytes"], "rejected_count": turned_down.get["n"]}
+    own = _publish_next(spark, path, json.dumps(about))
+    # later loads are newer, whatever they leave of this one is theirs to say
+    for old in [name for name in _versions(spark, path) if name <= own][:-keep] if keep else []:
+        held = json.loads(read_text(spark, f"{path}/versions/{old}"))["folder"]
         delete_path(spark, f"{path}/versions/{old}")
-        delete_path(spark, f"{path}/v{old}")
+        delete_path(spark, f"{path}/{held}")
     return row_count
 
 
+def _publish_next(spark: SparkSession, path: str, text: str) -> str:
+    """Publishes under the next free number, again if another load takes it first."""
+    while True:
+        names = _versions(spark, path)
+        name = f"{int(names[-1]) + 1 if names else 1:08d}"
+        if publish_first(spark, f"{path}/versions", name, text.encode()):
+            return name
+
+
 def current_dimension(spark: SparkSession, path: str) -> Dimension:
     """The newest complete version; everything read from it stays at that version."""
     names = _versions(spark, path)
     if not names:
         raise ValueError(f"no dimension was loaded at {path}")
     about = json.loads(read_text(spark, f"{path}/versions/{names[-1]}"))
-    location = f"{path}/v{names[-1]}"
+    location = f"{path}/{about['folder']}"
     return Dimension(
-        int(names[-1].split("-")[0]),
+        int(names[-1]),
         location,
         about["row_count"],
         about["rejected_count"],

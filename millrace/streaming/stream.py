@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.decode import decode, transactions
 from millrace.operators.enrich import enriched
 from millrace.plans.jobs import BROADCAST_BYTES, write_enriched
 from millrace.sinks.files import path_exists
-from millrace.sinks.records import clear_sink, read_batch
+from millrace.sinks.records import STREAM, check_owner, clear_owner, committed, read_batch
 from millrace.sources.dimension import Dimension, current_dimension
+from millrace.sources.ranges import PLACE
+from millrace.streaming.runs import run_log
 
 log = logging.getLogger(__name__)
 
@@ -29,23 +33,28 @@ def run_stream(
     reset: bool = False,
     publish: Callable[[DataFrame], None] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    owner: str = STREAM,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Starts the enrichment of a topic stream.
 
     The newest dimension is looked up for every batch and kept in memory until
     a newer one comes. A batch that is
-    replayed after a crash replaces its own folder in the sink. ``reset``
-    drops sink and position together; without it a sink is only continued with
-    its own checkpoint. ``publish`` gets each batch's enriched records, read
+    replayed after a crash takes over from its former attempt. A sink may be shared with backfills and
+    with streams of other ``owner`` names; ``reset`` drops the owner's batches and position together, without it they are
+    only continued with their own checkpoint. ``publish`` gets each batch's enriched records, read
     back from the sink, to hand them on (to a document store, say); it may see
     a batch again after a crash. Outcome counts of all batches are kept in the sink
-    (``read_counts``); those of decoding alone are also in the progress under ``decoded``.
+    (``read_counts``); those of decoding alone are also in the progress under ``decoded``. With ``once_within`` (an interval,
+    '1 day', say) a message that a capture agent delivers again within that time is dropped, by topic, partition and offset; the
+    places of that time are the stream's state. What became of each run is kept, too (``read_runs``).
     """
     spark = source.sparkSession
+    check_owner(owner)
     if reset:
-        clear_sink(spark, sink, checkpoint)
-    elif path_exists(spark, sink) and not path_exists(spark, checkpoint):
-        raise ValueError(f"{sink} holds records of another position; pass reset=True to drop them")
+        clear_owner(spark, sink, owner, checkpoint)
+    elif committed(spark, sink, owner).names() and not path_exists(spark, checkpoint):
+        raise ValueError(f"{sink} holds batches of {owner} from another position; pass reset=True to drop them")
 
     kept: list[Dimension] = []
 
@@ -60,20 +69,33 @@ def run_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         dimension = newest(session)
-        counts = write_enriched(batch, dimension, sink, batch_id, broadcast_bytes)
+        counts = write_enriched(batch, dimension, sink, batch_id, broadcast_bytes, owner)
         log.info("batch %d, dimension version %d: %s", batch_id, dimension.version, counts)
         if publish is not None:
-            publish(enriched(read_batch(session, sink, batch_id)))
+            publish(enriched(read_batch(session, sink, batch_id, owner)))
 
+    def release() -> None:
+        for old in kept:
+            old.lookup.unpersist()
+
+    name = f"{owner}-{uuid.uuid4().hex}"
+    run_log(spark).watch(name, sink, owner, release)
     return (
-        decode(source)
+        decode(_once(source, once_within) if once_within else source)
         .writeStream.foreachBatch(process)
+        .queryName(name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "1 second"}))
         .start()
     )
 
 
+def _once(source: DataFrame, within: str) -> DataFrame:
+    """Each place of the topic once; messages without a time count as of now."""
+    timed = source.withColumn("timestamp", F.coalesce("timestamp", F.current_timestamp()))
+    return timed.withWatermark("timestamp", within).dropDuplicatesWithinWatermark(PLACE)
+
+
 def run_raw_stream(
     source: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None
 ) -> StreamingQuery:

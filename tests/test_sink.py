@@ -1,0 +1,340 @@
+"""The sink's promises: batches whole or not at all, runs that can be resumed, owners, compaction, feeding back, run logs."""
+
+import json
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators.decode import decode
+from millrace.plans import jobs
+from millrace.plans.jobs import FED_BACK, backfill, feed_back, open_quarantine, write_enriched
+from millrace.sinks import records
+from millrace.sinks.files import file_names, path_exists, publish_first
+from millrace.sinks.records import (
+    Closed,
+    compact_sink,
+    committed,
+    read_batch,
+    read_counts,
+    read_enriched,
+    read_quarantine,
+    read_sink,
+    vacuum_sink,
+    write_batch,
+)
+from millrace.sources import dimension as dimensions
+from millrace.sources.dimension import current_dimension, refresh_dimension, seed_users
+from millrace.sources.ranges import Slice, Span, kafka_offsets, offset_spans, plan_ranges, within
+from millrace.sources.topic import topic_stream
+from millrace.streaming.runs import read_runs
+from millrace.streaming.stream import run_stream
+from tests.test_tables import ONCE, change, home, names, run, topic  # noqa: F401
+
+FIVE = [change(i, 1 + i % 3) for i in range(5)]
+
+
+@pytest.fixture
+def sink(spark, home):  # noqa: F811
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    return f"{home}/sink"
+
+
+def ids(spark, sink):
+    return sorted(int(row.transaction_id, 16) for row in read_enriched(spark, sink).collect())
+
+
+def failing_after(calls, function):
+    """``function``, which fails after its work the first time that ``calls`` more calls are done."""
+    left = [calls]
+
+    def wrapped(*args, **kwargs):
+        result = function(*args, **kwargs)
+        left[0] -= 1
+        if left[0] == 0:
+            raise OSError("cut short")
+        return result
+
+    return wrapped
+
+
+# -- backfills ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("step", ["write_batch", "commit_batch", "publish_first", "write_enriched"])
+@pytest.mark.parametrize("calls", [1, 2])
+def test_a_run_cut_short_goes_on(spark, home, sink, monkeypatch, step, calls):  # noqa: F811
+    given = topic(spark, FIVE)
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, step, failing_after(calls, getattr(jobs, step)))
+        if (step, calls) != ("publish_first", 2):
+            with pytest.raises(OSError):
+                backfill(given, f"{home}/users", sink, run="x", batch_rows=2)
+    counts = backfill(given, f"{home}/users", sink, run="x", batch_rows=2)
+    assert counts["received"] == counts["enriched"] == 5 and ids(spark, sink) == [0, 1, 2, 3, 4]
+    assert read_counts(spark, sink).agg(F.sum("received")).first()[0] == 5
+    assert backfill(given, f"{home}/users", sink, run="x")["received"] == 5 and len(ids(spark, sink)) == 5
+    backfill(given, f"{home}/users", sink, run="y")
+    assert len(ids(spark, sink)) == 10
+
+
+def test_a_run_ends_where_the_topic_ended_when_it_began(spark, home, sink):  # noqa: F811
+    backfill(topic(spark, FIVE[:3]), f"{home}/users", sink, run="x", batch_rows=2)
+    assert backfill(topic(spark, FIVE), f"{home}/users", sink, run="x", batch_rows=1)["received"] == 3
+
+
+def test_the_same_range_is_the_same_run(spark, home, sink):  # noqa: F811
+    for _ in range(2):
+        backfill(topic(spark, FIVE), f"{home}/users", sink)
+    assert len(ids(spark, sink)) == 5
+
+
+def test_callers_of_one_run_at_the_same_time(spark, home, sink):  # noqa: F811
+    given = topic(spark, FIVE).cache()
+    with ThreadPoolExecutor(3) as pool:
+        counts = list(pool.map(lambda _: backfill(given, f"{home}/users", sink, run="x", batch_rows=2), range(3)))
+    assert ids(spark, sink) == [0, 1, 2, 3, 4] and max(c["received"] for c in counts) == 5
+
+
+def test_messages_without_a_place_are_backfilled(spark, home, sink):  # noqa: F811
+    lost = topic(spark, FIVE).withColumn("offset", F.when(F.col("offset") > 2, F.col("offset")))
+    assert backfill(lost, f"{home}/users", sink, run="x", batch_rows=1)["received"] == 5
+    nowhere = lost.withColumn("partition", F.lit(None).cast("int"))
+    assert backfill(nowhere, f"{home}/users", sink, run="y")["received"] == 5
+
+
+def test_ranges_cover_every_offset_once(spark):
+    spans = [Span("t", 0, 5, 104, 100), Span("t", 1, 0, 0, 1), Span("u", 0, 7, 9, 3)]
+    plan = plan_ranges(spans, 20)
+    covered = sorted((s.topic, s.partition, o) for slices in plan for s in slices for o in range(s.first, s.stop))
+    assert covered == sorted((s.topic, s.partition, o) for s in spans for o in range(s.first, s.last + 1)) and len(plan) == 6
+    assert plan_ranges([], 20) == [[]]
+    options = kafka_offsets([Slice("t", 0, 5, 9), Slice("t", 1, 0, 1)])
+    assert json.loads(options["endingOffsets"]) == {"t": {"0": 9, "1": 1}}
+
+
+def test_ranges_are_skipped_by_the_scan(spark, home, capsys):  # noqa: F811
+    topic(spark, FIVE).write.parquet(f"{home}/topic")
+    given = spark.read.parquet(f"{home}/topic")
+    assert offset_spans(given) == [Span("t", 0, 0, 4, 5)]
+    given.where(within([Slice("t", 0, 2, 4)])).explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(offset,2)" in pushed and "LessThan(offset,4)" in pushed
+
+
+# -- commits ------------------------------------------------------------------------------------
+
+
+def test_a_batch_is_seen_when_it_is_committed(spark, home, sink, monkeypatch):  # noqa: F811
+    users = current_dimension(spark, f"{home}/users")
+    write_enriched(decode(topic(spark, FIVE[:2])), users, sink, 0)
+    seen = []
+
+    def looking(function):
+        def wrapped(*args):
+            seen.append((ids(spark, sink), read_counts(spark, sink).first()["received"]))
+            result = function(*args)
+            seen.append((ids(spark, sink), read_counts(spark, sink).first()["received"]))
+            return result
+
+        return wrapped
+
+    for step in ("write_batch", "commit_batch"):
+        monkeypatch.setattr(jobs, step, looking(getattr(jobs, step)))
+    before = read_enriched(spark, sink)
+    write_enriched(decode(topic(spark, FIVE[2:])), users, sink, 0)
+    old, new = ([0, 1], 2), ([2, 3, 4], 3)
+    assert seen == [old, old, old, new] and before.count() == 2  # a reader that began before still reads the old one
+    assert vacuum_sink(spark, sink) == 0 and vacuum_sink(spark, sink, 0.0) == 1 and ids(spark, sink) == new[0]
+    write_enriched(decode(topic(spark, FIVE[:1])), users, sink, 0)
+    assert ids(spark, sink) == [0]
+
+
+def test_one_of_several_writers_publishes(spark, home):  # noqa: F811
+    with ThreadPoolExecutor(8) as pool:
+        done = list(pool.map(lambda i: publish_first(spark, home, "name", str(i).encode()), range(8)))
+    assert done.count(True) == 1 and file_names(spark, home) == ["name"]
+
+
+def test_owners_have_plain_names(spark, sink):
+    with pytest.raises(ValueError, match="letters"):
+        committed(spark, sink, "a/b")
+
+
+# -- owners -------------------------------------------------------------------------------------
+
+
+def test_a_stream_starts_and_starts_over_beside_a_backfill(spark, home, sink):  # noqa: F811
+    backfill(topic(spark, FIVE[:2]), f"{home}/users", sink)
+    topic(spark, FIVE[2:]).write.parquet(f"{home}/topic")
+    run(spark, home)
+    run(spark, home, reset=True)
+    assert ids(spark, sink) == [0, 1, 2, 3, 4] and read_counts(spark, sink).count() == 2
+    with pytest.raises(ValueError, match="another position"):
+        run_stream(topic_stream(spark, "parquet", path=f"{home}/topic"), f"{home}/users", sink, f"{home}/elsewhere")
+
+
+# -- compaction ---------------------------------------------------------------------------------
+
+
+def test_compaction_merges_closed_batches(spark, home, sink):  # noqa: F811
+    users = current_dimension(spark, f"{home}/users")
+    for i in range(30):
+        write_enriched(decode(topic(spark, [FIVE[i % 5], b"{"])), users, sink, i)
+    before = sorted(map(tuple, read_counts(spark, sink).collect()))
+    records_before, old = ids(spark, sink), read_enriched(spark, sink)
+    assert compact_sink(spark, sink) == 29 and compact_sink(spark, sink) == 0
+    assert sorted(map(tuple, read_counts(spark, sink).collect())) == before and ids(spark, sink) == records_before
+    assert old.count() == 30 and read_batch(spark, sink, 3).count() == 2
+    assert vacuum_sink(spark, sink, 0.0) == 29
+    assert sorted(map(tuple, read_counts(spark, sink).collect())) == before and ids(spark, sink) == records_before
+    assert len(read_sink(spark, sink).inputFiles()) <= 6 and len(file_names(spark, f"{sink}/owner=stream/_commits")) == 3
+    assert read_quarantine(spark, sink).count() == 30
+    # the newest batch may still run again, the others may not
+    write_enriched(decode(topic(spark, [])), users, sink, 29)
+    assert len(ids(spark, sink)) == 29
+    with pytest.raises(Closed):
+        write_batch(decode(topic(spark, [])).withColumns({"user_name": F.lit(""), "user_city": F.lit("")}), sink, "stream", 3)
+    for i in range(30, 33):
+        write_enriched(decode(topic(spark, FIVE[:1])), users, sink, i)
+    assert compact_sink(spark, sink) == 3 and len(ids(spark, sink)) == 32 and read_counts(spark, sink).count() == 33
+
+
+def test_a_cut_compaction_changes_nothing(spark, home, sink, monkeypatch):  # noqa: F811
+    users = current_dimension(spark, f"{home}/users")
+    for i in range(4):
+        write_enriched(decode(topic(spark, FIVE[i : i + 1])), users, sink, i)
+
+    def fail(*_):
+        raise OSError("cut short")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(records, "publish_text", fail)
+        with pytest.raises(OSError):
+            compact_sink(spark, sink)
+    assert ids(spark, sink) == [0, 1, 2, 3]
+    assert compact_sink(spark, sink) == 3 and ids(spark, sink) == [0, 1, 2, 3] and read_counts(spark, sink).count() == 4
+
+
+def test_a_run_goes_on_after_compaction(spark, home, sink):  # noqa: F811
+    given = topic(spark, FIVE)
+    backfill(given, f"{home}/users", sink, run="x", batch_rows=1)
+    compact_sink(spark, sink)
+    vacuum_sink(spark, sink, 0.0)
+    assert backfill(given, f"{home}/users", sink, run="x")["received"] == 5 and len(ids(spark, sink)) == 5
+
+
+# -- dimension versions -------------------------------------------------------------------------
+
+
+def test_the_load_that_ends_last_is_current(spark, home, monkeypatch):  # noqa: F811
+    refresh_dimension(seed_users(spark).limit(1), home)
+    publish = dimensions._publish_next
+
+    def overtaken(*args):
+        monkeypatch.setattr(dimensions, "_publish_next", publish)
+        refresh_dimension(seed_users(spark).limit(2), home, keep=1)
+        refresh_dimension(seed_users(spark).limit(0), home, keep=1)
+        return publish(*args)
+
+    monkeypatch.setattr(dimensions, "_publish_next", overtaken)
+    assert refresh_dimension(seed_users(spark), home, keep=1) == 3
+    current = current_dimension(spark, home)
+    assert current.row_count == current.rows.count() == 3 and current.version == 4
+    assert file_names(spark, f"{home}/versions") == ["00000004"]
+
+
+# -- feeding back -------------------------------------------------------------------------------
+
+
+def test_quarantine_is_fed_back_once(spark, home, sink):  # noqa: F811
+    half = [(1, "Alice", "x", True, True), (2, "Bob", None, True, False), (None, None, "y", False, True)]
+    schema = "user_id bigint, name string, city string, has_name boolean, has_city boolean"
+    refresh_dimension(spark.createDataFrame(half, schema), f"{home}/users")
+    values = [change(1, 1), change(2, 2), change(3, 2), b"{", change(4, None)]
+    backfill(topic(spark, values), f"{home}/users", sink)
+    assert ids(spark, sink) == [1] and open_quarantine(spark, sink).count() == 4
+    assert feed_back(spark, sink, f"{home}/users")["enriched"] == 0
+    refresh_dimension(seed_users(spark), f"{home}/users")
+    assert feed_back(spark, sink, f"{home}/users") == {"received": 3, "enriched": 3, "skipped": 0, "empty": 0, "error": 0, "unknown": 1, "user_incomplete": 0}
+    assert feed_back(spark, sink, f"{home}/users")["enriched"] == 0
+    assert ids(spark, sink) == [1, 2, 3, 4] and names(spark, home) == ["Alice", "Bob", "Bob", "Unknown"]
+    (left,) = open_quarantine(spark, sink).collect()
+    assert left.offset == 3 and read_quarantine(spark, sink).count() == 4
+
+
+def test_bytes_are_decoded_again(spark, home, sink, monkeypatch):  # noqa: F811
+    """As after a mended decoder: what was turned down before is now a record."""
+    broken = decode(topic(spark, FIVE)).withColumns({"outcome": F.lit("ERROR"), "reason": F.lit("TYPE"), "value": F.lit(FIVE[0])})
+    write_enriched(broken, current_dimension(spark, f"{home}/users"), sink, 0)
+    assert ids(spark, sink) == []
+    feed_back(spark, sink, f"{home}/users", broadcast_bytes=0)
+    assert ids(spark, sink) == [0] * 5 and open_quarantine(spark, sink).isEmpty()
+
+
+def test_passes_at_the_same_time_feed_once(spark, home, sink, monkeypatch):  # noqa: F811
+    broken = decode(topic(spark, FIVE)).withColumns({"outcome": F.lit("ERROR"), "reason": F.lit("TYPE"), "value": F.lit(FIVE[0])})
+    write_enriched(broken, current_dimension(spark, f"{home}/users"), sink, 0)
+    commit = jobs.commit_batch
+
+    def overtaken(*args):
+        monkeypatch.setattr(jobs, "commit_batch", commit)
+        feed_back(spark, sink, f"{home}/users")
+        return commit(*args)
+
+    monkeypatch.setattr(jobs, "commit_batch", overtaken)
+    feed_back(spark, sink, f"{home}/users")
+    assert ids(spark, sink) == [0] * 5 and read_sink(spark, sink).where(F.col("owner") == FED_BACK).count() == 5
+
+
+# -- redelivery ---------------------------------------------------------------------------------
+
+
+def test_redelivered_messages_are_dropped_on_demand(spark, home, sink):  # noqa: F811
+    times = F.to_timestamp(F.concat(F.lit("2024-01-01 00:0"), F.col("offset").cast("string"), F.lit(":00")))
+    for _ in range(2):
+        topic(spark, FIVE).withColumn("timestamp", times).write.mode("append").parquet(f"{home}/topic")
+        query = run(spark, home, once_within="1 hour")
+    assert ids(spark, sink) == [0, 1, 2, 3, 4]
+    late = topic(spark, [change(9, 1)], first=9).withColumn("timestamp", F.to_timestamp(F.lit("2024-01-02 00:00:00")))
+    late.write.mode("append").parquet(f"{home}/topic")
+    run(spark, home, once_within="1 hour")
+    query = run(spark, home, once_within="1 hour")
+    kept = [operator.numRowsTotal for progress in query.recentProgress for operator in progress.stateOperators]
+    assert ids(spark, sink) == [0, 1, 2, 3, 4, 9] and (not kept or kept[-1] <= 1)  # state goes with the watermark
+
+
+# -- run logs -----------------------------------------------------------------------------------
+
+
+def runs(spark, sink, ended):
+    """Events arrive a little after the stream's end."""
+    for _ in range(100):
+        rows = read_runs(spark, sink).where("ended").collect()
+        if len(rows) == ended:
+            return rows
+        time.sleep(0.1)
+    raise AssertionError(read_runs(spark, sink).collect())
+
+
+def test_runs_are_kept_with_their_failure(spark, home, sink):  # noqa: F811
+    topic(spark, FIVE).write.parquet(f"{home}/topic")
+
+    def fail(_):
+        raise RuntimeError("no such store")
+
+    with pytest.raises(Exception, match="no such store"):
+        run(spark, home, publish=fail)
+    (failed,) = runs(spark, sink, 1)
+    assert "no such store" in failed.failure and failed.owner == "stream"
+    held = len(spark.sparkContext._jsc.getPersistentRDDs())
+    run(spark, home)
+    rows = {row.failure is None: row for row in runs(spark, sink, 2)}
+    assert rows[True].input_rows == 5 and rows[True].rows_per_second > 0 and rows[True].last_batch == 0
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) <= held  # the lookup is let go
+    assert len(file_names(spark, f"{sink}/owner=stream/_runs")) == 2
+
+
+def test_a_sink_without_runs(spark, home):  # noqa: F811
+    assert read_runs(spark, f"{home}/none").isEmpty() and not path_exists(spark, f"{home}/none")
