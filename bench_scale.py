@@ -100,9 +100,7 @@ def main() -> None:
             def stream(path=path, files=files):
                 source = topic_stream(spark, "parquet", path=topic_path, maxFilesPerTrigger=files)
                 sink, checkpoint = fresh_dir(spark, "sink"), fresh_dir(spark, "checkpoint")
-                query = run_stream(
-                    source, path, sink, checkpoint, trigger={"availableNow": True}, broadcast_bytes=1 << 40
-                )
+                query = run_stream(source, path, sink, checkpoint, trigger={"availableNow": True})
                 query.awaitTermination()
 
             report(f"stream, {files} of 32 files per batch, {name}", stream, messages)

@@ -26,10 +26,11 @@ def enrich_decoded(
     *,
     small: bool,
     hot: list[tuple[object, int]] | None = None,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Columns ``CLASSIFIED`` and ``matched`` of every decoded message; ``lookup`` has one row per user.
 
-    ``small`` says that the size of ``lookup`` was checked, as ``Dimension`` records it.
+    ``small`` says that the size of ``lookup`` was checked, as ``Dimension`` records it, ``laid_out`` that it lies in buckets by user.
     A user with neither name nor city counts as not found; one with only one of
     them makes the record an error. Null names and cities stay null.
     """
@@ -42,6 +43,7 @@ def enrich_decoded(
         only=F.col("outcome") == ENRICHED_OUTCOME,
         spread=_PLACE,
         hot=hot,
+        laid_out=laid_out,
     )
     judged = joined.selectExpr(
         "*",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
 from millrace.operators.enrich import enrich_decoded
-from millrace.operators.lookup import hot_keys
+from millrace.operators.lookup import key_profile, prune_lookup
 from millrace.schemas import ENRICHED_OUTCOME, ERROR, OUTCOMES
 from millrace.session import fresh_dir
 from millrace.sinks.files import delete_path, publish_first, read_text
@@ -45,10 +45,11 @@ def classify(
 ) -> DataFrame:
     """Columns ``CLASSIFIED`` and ``matched`` of the records and errors among decoded messages.
 
-    With a small dimension this is one stage without a shuffle. A large one is
-    joined by a shuffle of the transactions; they are first written to
+    With a small dimension this is one stage without a shuffle. A large one lies in buckets by user and is
+    joined by a shuffle of the transactions alone; they are first written to
     ``staging``, so that counting the hot keys decodes nothing twice and a lost
-    executor costs no more than the join. Errors have nothing to look up and
+    executor costs no more than the join. Of a dimension with more users than there are transactions only the
+    rows are joined that a bitmap of the transactions' users lets through. Errors have nothing to look up and
     bypass the shuffle.
     """
     relevant = decoded.where(F.col("outcome").isin(ENRICHED_OUTCOME, ERROR))
@@ -58,10 +59,12 @@ def classify(
     rows = decoded.sparkSession.read.schema(relevant.schema).parquet(staging)
     good = rows.where(F.col("outcome") == ENRICHED_OUTCOME)
     bad = rows.where(F.col("outcome") == ERROR)
-    hot = hot_keys(good, "user_id")
-    return enrich_decoded(good, dimension.lookup, small=False, hot=hot).unionByName(
-        bad, allowMissingColumns=True
-    )
+    hot, total = key_profile(good, "user_id")
+    lookup, laid_out = dimension.lookup, dimension.laid_out
+    if total < dimension.row_count:
+        lookup, laid_out = prune_lookup(laid_out or lookup, "user_id", good, "user_id"), None
+    found = enrich_decoded(good, laid_out or lookup, small=False, hot=hot, laid_out=laid_out is not None)
+    return found.unionByName(bad, allowMissingColumns=True)
 
 
 def write_enriched(

@@ -45,13 +45,17 @@ REJECTED = "document string, reason string"
 # The seed users.
 SEED_USERS = [(1, "Alice", "New York"), (2, "Bob", "London"), (3, "Charlie", "Paris")]
 
+# Users from which a lookup table is laid out in buckets, and about the most in one.
+BUCKET_ROWS = 100_000
+_MOST_BUCKETS = 1 << 14
+
 # Memory of a looked-up row beside its two texts.
 _ROW_BYTES = 64
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """One version: all rows as loaded, the lookup table and its measured size.
+    """One version: all rows as loaded, the lookup table and its measured size; a large one also as a table in buckets by user.
 
     ``rejected`` are the documents of the load that are no users, with a reason.
     """
@@ -64,6 +68,7 @@ class Dimension:
     rows: DataFrame
     lookup: DataFrame
     lookup_bytes: int
+    laid_out: DataFrame | None = None
 
 
 def seed_users(spark: SparkSession) -> DataFrame:
@@ -127,12 +132,15 @@ def load_documents(documents: DataFrame, column: str, path: str, keep: int | Non
         delete_path(documents.sparkSession, staged)
 
 
-def refresh_dimension(users: DataFrame, path: str, keep: int | None = None, rejected: DataFrame | None = None) -> int:
+def refresh_dimension(
+    users: DataFrame, path: str, keep: int | None = None, rejected: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS
+) -> int:
     """Replaces the dimension at ``path`` and returns the number of rows loaded.
 
     ``ord`` gives the load order, which decides between rows of one user; when
     the column is missing the order of the rows in ``users`` counts. With ``keep`` only so many
-    of the newest versions are left: as many as are loaded while the longest batch runs, and one more.
+    of the newest versions are left: as many as are loaded while the longest batch runs, and one more. From
+    ``bucket_rows`` on the lookup table is laid out in buckets of some such rows, so that joins need not shuffle it.
     """
     spark = users.sparkSession
     folder = f"v0-{uuid.uuid4().hex}"
@@ -153,26 +161,45 @@ def refresh_dimension(users: DataFrame, path: str, keep: int | None = None, reje
         + F.coalesce(F.octet_length("city"), F.lit(0))
         + F.lit(_ROW_BYTES)
     )
-    (
-        reduce_dimension(spark.read.schema(STORED_USERS).parquet(f"{location}/rows"), "user_id", "ord")
-        .observe(measured, F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"))
-        .write.parquet(f"{location}/lookup")
-    )
+    row_count = loaded.get["row_count"]
+    reduced = reduce_dimension(spark.read.schema(STORED_USERS).parquet(f"{location}/rows"), "user_id", "ord")
+    reduced = reduced.observe(measured, F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"))
+    buckets = min(_MOST_BUCKETS, 1 << (row_count // bucket_rows).bit_length()) if row_count > bucket_rows else 0
+    if buckets:
+        laid_out = reduced.repartition(buckets, "user_id").write.bucketBy(buckets, "user_id").sortBy("user_id")
+        laid_out.option("path", f"{location}/lookup").saveAsTable(_table(folder))
+    else:
+        reduced.write.parquet(f"{location}/lookup")
     turned_down = Observation("rejected")
     if rejected is None:
         rejected = spark.createDataFrame([], REJECTED)
     rejected.observe(turned_down, F.count(F.lit(1)).alias("n")).write.parquet(f"{location}/rejected")
-    row_count = loaded.get["row_count"]
-    about = {"folder": folder, "row_count": row_count, "lookup_bytes": measured.get["bytes"], "rejected_count": turned_down.get["n"]}
+    about = {"folder": folder, "buckets": buckets, "row_count": row_count, "lookup_bytes": measured.get["bytes"], "rejected_count": turned_down.get["n"]}
     own = _publish_next(spark, path, json.dumps(about))
     # later loads are newer, whatever they leave of this one is theirs to say
     for old in [name for name in _versions(spark, path) if name <= own][:-keep] if keep else []:
         held = json.loads(read_text(spark, f"{path}/versions/{old}"))["folder"]
         delete_path(spark, f"{path}/versions/{old}")
         delete_path(spark, f"{path}/{held}")
+        spark.sql(f"DROP TABLE IF EXISTS {_table(held)}")
     return row_count
 
 
+def _table(folder: str) -> str:
+    """The session's name for a lookup table in buckets; its files lie with the version."""
+    return f"lookup_{folder.split('-')[1]}"
+
+
+def _laid_out(spark: SparkSession, location: str, folder: str, buckets: int) -> DataFrame:
+    """The lookup table by its buckets, made known to the session where another one loaded it."""
+    columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in LOOKUP.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {_table(folder)} ({columns}) USING parquet"
+        f" CLUSTERED BY (user_id) SORTED BY (user_id) INTO {buckets} BUCKETS LOCATION '{location}/lookup'"
+    )
+    return spark.table(_table(folder))
+
+
 def _publish_next(spark: SparkSession, path: str, text: str) -> str:
     """Publishes under the next free number, again if another load takes it first."""
     while True:
@@ -198,4 +225,5 @@ def current_dimension(spark: SparkSession, path: str) -> Dimension:
         spark.read.schema(STORED_USERS).parquet(f"{location}/rows"),
         spark.read.schema(LOOKUP).parquet(f"{location}/lookup"),
         about["lookup_bytes"],
+        _laid_out(spark, location, about["folder"], about["buckets"]) if about["buckets"] else None,
     )

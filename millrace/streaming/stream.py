@@ -38,7 +38,7 @@ def run_stream(
 ) -> StreamingQuery:
     """Starts the enrichment of a topic stream.
 
-    The newest dimension is looked up for every batch and kept in memory until
+    The newest dimension is looked up for every batch; a small one is kept in memory until
     a newer one comes. A batch that is
     replayed after a crash takes over from its former attempt. A sink may be shared with backfills and
     with streams of other ``owner`` names; ``reset`` drops the owner's batches and position together, without it they are
@@ -58,11 +58,16 @@ def run_stream(
 
     kept: list[Dimension] = []
 
+    def release() -> None:
+        while kept:
+            kept.pop().lookup.unpersist()
+
     def newest(session: SparkSession) -> Dimension:
         found = current_dimension(session, dimension_path)
+        if found.lookup_bytes > broadcast_bytes:
+            return found
         if not kept or kept[0].location != found.location:
-            for old in kept:
-                old.lookup.unpersist()
+            release()
             kept[:] = [replace(found, lookup=found.lookup.persist())]
         return kept[0]
 
@@ -74,10 +79,6 @@ def run_stream(
         if publish is not None:
             publish(enriched(read_batch(session, sink, batch_id, owner)))
 
-    def release() -> None:
-        for old in kept:
-            old.lookup.unpersist()
-
     name = f"{owner}-{uuid.uuid4().hex}"
     run_log(spark).watch(name, sink, owner, release)
     return (
