@@ -18,6 +18,8 @@ import bisect
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import compress
+from operator import add, not_
 
 import numpy as np
 import pandas as pd
@@ -77,29 +79,24 @@ class Chunks(dict):
             if len(ends) != len(some):  # not the tokenizer this was written for
                 self.update((word, self.encode(word).tobytes()) for word in some)
                 continue
-            held, begin = ids.tobytes(), 0
-            for word, end in zip(some, ends, strict=True):
-                self[word] = held[4 * begin : 4 * end]
-                begin = end
+            held = ids.tobytes()
+            self.update((word, held[4 * begin : 4 * end]) for word, begin, end in zip(some, [0, *ends], ends))
 
     def learn(self, chunks: set[str]) -> None:
         """Takes in all short chunks; the others are encoded where they stand."""
         if len(self) + 2 * len(chunks) > CACHED_CHUNKS:
             self.clear()
             self[""] = b""
-        new = []
-        for chunk in chunks - self.keys():
-            word = chunk.rstrip(MARKS)
-            if len(chunk) > CACHED_LENGTH:
-                continue
-            if word.isalpha():
-                new.append((chunk, word.lower() if word.isascii() else word, chunk[len(word) :]))
-            else:
-                self[chunk] = self.encode(chunk).tobytes()
-        self._encode_words(list({word for _, word, _ in new} - self.keys()))
-        marks = {mark: self.encode(mark).tobytes() for mark in {mark for _, _, mark in new}}
-        for chunk, word, mark in new:
-            self[chunk] = self[word] + marks[mark]
+        new = [chunk for chunk in chunks - self.keys() if len(chunk) <= CACHED_LENGTH]
+        stems = [chunk.rstrip(MARKS) for chunk in new]
+        plain = list(map(str.isalpha, stems))
+        self.update((chunk, self.encode(chunk).tobytes()) for chunk in compress(new, map(not_, plain)))
+        new, stems = list(compress(new, plain)), list(compress(stems, plain))
+        words = [word.lower() if word.isascii() else word for word in stems]
+        marks = [chunk[len(word) :] for chunk, word in zip(new, stems, strict=True)]
+        self._encode_words(list(set(words) - self.keys()))
+        closing = {mark: self.encode(mark).tobytes() for mark in set(marks)}
+        self.update(zip(new, map(add, map(self.__getitem__, words), map(closing.__getitem__, marks)), strict=True))
 
 
 _CHUNKS: dict[str, Chunks] = {}  # a Python worker serves many tasks
@@ -158,7 +155,8 @@ def reduce_instance(counts: Counter, capacity: int) -> list[tuple[int, tuple[int
 
     For the longest piece a: alone if nothing fits beside it; with the largest piece b that
     fits, if both fill the sequence, or nothing else fits beside a and one more, or no two pieces
-    that fit beside a are longer than b together. Some best packing holds each such set.
+    that fit beside a are longer than b together; with b and the largest piece c that fits beside both, if no third fits
+    beside a and two, and no two that fit beside a are both longer than c. Some best packing holds each such set.
     """
     fixed = []
     changed = True
@@ -170,7 +168,8 @@ def reduce_instance(counts: Counter, capacity: int) -> list[tuple[int, tuple[int
                 if others is None:
                     break
                 # what made the set dominate stays true as pieces go, until a length is used up
-                same = counts[a] // 2 if others == (a,) else min(counts[x] for x in (a, *others))
+                taken = Counter((a, *others))
+                same = min(counts[x] // n for x, n in taken.items())
                 fixed.append((same, (a, *others)))
                 for x in (a, *others):
                     counts[x] -= same
@@ -190,9 +189,21 @@ def _dominating(counts: Counter, a: int, capacity: int) -> tuple[int, ...] | Non
     smallest = [x for x in lengths[:3] for _ in range(min(3, rest[x]))][:3]
     if a + b == capacity or a + sum(smallest[:2]) > capacity or len(smallest) < 2:
         return (b,)
-    if (a + sum(smallest) > capacity or len(smallest) < 3) and _largest_pair(lengths, rest, capacity - a) <= b:
+    if a + sum(smallest) <= capacity and len(smallest) == 3:
+        return None
+    if _largest_pair(lengths, rest, capacity - a) <= b:
         return (b,)
-    return None
+    rest[b] -= 1
+    c = max((x for x in lengths if rest[x] > 0 and a + b + x <= capacity), default=0)
+    rest[b] += 1
+    # at most two fit beside a: every such set has its longer piece at most b, and its shorter one at most c
+    return (b, c) if c and c >= _longest_shorter(lengths, rest, capacity - a) else None
+
+
+def _longest_shorter(lengths: list[int], counts: Counter, limit: int) -> int:
+    """The longest piece that has one as long or longer beside it within ``limit``; 0 without any."""
+    partners = {x: x if counts[x] > 1 else longer for x, longer in zip(lengths, [*lengths[1:], limit + 1])}
+    return max((x for x, partner in partners.items() if x + partner <= limit), default=0)
 
 
 def best_fit(counts: Counter, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
