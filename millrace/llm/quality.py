@@ -2,7 +2,7 @@
 
 A few fixed rules reject hopeless texts. All others are adaptive: per language and
 source a mergeable quantile sketch describes each metric, and a document far above
-its own group's quartiles, as measured by the group's own spread, is rejected. Sketches of small groups are merged into those of
+its own group's quartiles, as measured by the group's own spread, is rejected, but never for a single symbol, line or stutter. Sketches of small groups are merged into those of
 their language, and of small languages into one of everything, without another pass.
 
 Null text counts as empty, and empty texts fail the fixed rules. Null languages and sources
@@ -26,9 +26,17 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 
-METRICS = ("symbol_ratio", "upper_ratio", "repeat_ratio", "dup_line_ratio", "stutter_ratio", "word_length")
+# Each metric with what it is a share of: a single occurrence never fails a document.
+METRICS = {
+    "symbol_ratio": "word_chars",
+    "upper_ratio": "word_chars",
+    "repeat_ratio": "n_words",
+    "dup_line_ratio": "n_lines",
+    "stutter_ratio": "n_words",
+    "word_length": None,
+}
 SPREAD = 3.0  # spreads above the third quartile
-TAIL = 0.9  # the spread is that between the quartiles, or where they are equal, as in ratios that are mostly zero, from them to this quantile
+TAILS = (0.9, 0.99)  # the spread is that between the quartiles or, in ratios that are mostly zero, from them to the first of these that differs
 SKETCH_K = 1024  # rank error below 0.3 %
 MIN_GROUP = 200  # smaller groups use their language's sketch
 ROUND = 3  # decimals of a threshold, which is rounded up: keeps the sketch's noise out of it
@@ -113,6 +121,7 @@ def with_metrics(docs: DataFrame, name: str) -> DataFrame:
             per(of_lines["n_dup_lines"], of_lines["n_lines"]).alias("dup_line_ratio"),
             per(words["n_stutters"], words["n_words"]).alias("stutter_ratio"),
             per(words["word_chars"], words["n_words"]).alias("word_length"),
+            of_lines["n_lines"].alias("n_lines"),
         )
 
     return docs.withColumn(name, _let(counts, judged))
@@ -143,7 +152,8 @@ def learn_thresholds(metrics: DataFrame) -> DataFrame:
     def limits(frame: DataFrame) -> Column:
         quartile = lambda m, q: F.kll_sketch_get_quantile_double(F.col(m), F.lit(q))
         between = lambda m, a, b: quartile(m, b) - quartile(m, a)
-        spread = lambda m: F.when(between(m, 0.25, 0.75) > 0, between(m, 0.25, 0.75)).otherwise(between(m, 0.75, TAIL))
+        spans = lambda m: [between(m, 0.25, 0.75), *(between(m, 0.75, tail) for tail in TAILS)]
+        spread = lambda m: F.coalesce(*(F.when(span > 0, span) for span in spans(m)), F.lit(0.0))
         limit = lambda m: quartile(m, 0.75) + SPREAD * spread(m)
         return F.struct(*((F.ceil(limit(m) * 10**ROUND) / 10**ROUND).alias(f"max_{m}") for m in METRICS))
 
@@ -167,8 +177,9 @@ def _judged(frame: DataFrame, thresholds: DataFrame, metrics: str) -> tuple[Data
     joined = frame.join(broadcast_if_small(renamed, BROADCAST_GROUPS), group.eqNullSafe(F.col(f"{metrics}_group")), "left")
     # one sum over both sides of the join: a condition on the metrics alone would be moved below it and measure texts twice
     failures = F.col(f"{metrics}.base_failed").cast("int")
-    for m in METRICS:
-        failures += F.coalesce(F.col(f"{metrics}.{m}") > F.col(f"{metrics}_max.max_{m}"), F.lit(False)).cast("int")
+    for m, of in METRICS.items():
+        once = F.col(f"{metrics}.{m}") * F.col(f"{metrics}.{of}") < 1.5 if of else F.lit(False)
+        failures += F.coalesce((F.col(f"{metrics}.{m}") > F.col(f"{metrics}_max.max_{m}")) & ~once, F.lit(False)).cast("int")
     return joined.drop(f"{metrics}_group"), failures == 0
 
 

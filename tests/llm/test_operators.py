@@ -673,3 +673,49 @@ def test_rejection_keeps_what_is_judged_good(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == good and len(good) > 30
     assert quality.reject_low_quality(empty_documents(spark)).count() == 0
     assert quality.judge_quality(empty_documents(spark)).count() == 0
+
+
+def plain_limit(values):
+    """Third quartile and three spreads, of the sorted values themselves."""
+    at = lambda q: float(np.quantile(values, q, method="inverted_cdf"))
+    spans = [at(0.75) - at(0.25), at(0.9) - at(0.75), at(0.99) - at(0.75)]
+    return math.ceil(round((at(0.75) + 3 * next((s for s in spans if s > 0), 0.0)) * 1000, 9)) / 1000
+
+
+def test_limits_and_verdicts_by_brute_force(spark):
+    """Fewer rows than a sketch keeps: its quantiles are exact."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(500):
+        lines = prose(rng, rng.randint(30, 90)).split("\n")
+        lines += rng.choices(lines, k=rng.choice([0] * 16 + [1, 1, 2, 6]))
+        text = "\n".join(lines) + " #" * rng.choice([0] * 12 + [1, 1, 2, 3, 9]) + " Xx XX" * rng.choice([0, 0, 1, 4])
+        rows.append((i, text, "en", "ab"[i % 2]))
+    found = [r.asDict() for r in quality.quality_metrics(documents(spark, rows)).collect()]
+    verdicts = {r["doc_id"]: r["kept"] for r in quality.judge_quality(documents(spark, rows)).collect()}
+    limits = {s: {m: plain_limit([r[m] for r in found if r["source"] == s and not r["base_failed"]]) for m in quality.METRICS} for s in "ab"}
+    learned = {r["source"]: r for r in quality.learn_thresholds(quality.quality_metrics(documents(spark, rows))).collect()}
+    for source in "ab":
+        assert all(abs(learned[source][f"max_{m}"] - limits[source][m]) < 1e-9 for m in quality.METRICS)
+    more = lambda r, m, of: of is None or r[m] * r[of] > 1.5
+    failed = {r["doc_id"] for r in found if r["base_failed"] or any(r[m] > limits[r["source"]][m] and more(r, m, of) for m, of in quality.METRICS.items())}
+    assert {i for i, kept in verdicts.items() if not kept} == failed and 0 < len(failed) < 200
+
+
+def test_one_symbol_or_one_repeated_line_is_no_reason(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judge_quality(docs).where("NOT kept AND NOT base_failed").collect()
+    learned = {(r["lang"], r["source"]): r for r in quality.learn_thresholds(quality.quality_metrics(docs)).collect()}
+    measured = {r["doc_id"]: r for r in quality.quality_metrics(docs).collect()}
+    for row in rows:
+        r = measured[row["doc_id"]]
+        over = [m for m in quality.METRICS if r[m] > learned[r["lang"], r["source"]][f"max_{m}"]]
+        assert any(quality.METRICS[m] is None or r[m] * r[quality.METRICS[m]] > 1.5 for m in over)
+    assert 0 < len(rows) < 130
+
+
+@pytest.mark.parametrize("counts, capacity", [({10: 1, 5: 2, 4: 2}, 20), ({11: 1, 5: 1, 4: 3}, 20)])
+def test_sets_of_three_are_fixed(counts, capacity):
+    left = Counter(counts)
+    fixed = packing.reduce_instance(left, capacity)
+    assert any(len(held) == 3 for _, held in fixed)
