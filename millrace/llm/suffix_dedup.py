@@ -36,7 +36,7 @@ GROUP = 20_000  # stretches of one anchor that meet in one group
 PART_BYTES = 1 << 20  # of text hashed at once
 SORTED_BYTES = 4 << 20  # of different stretches sorted at once
 BROADCAST_ROWS = 1_000_000
-HEAVY_ANCHORS = 20_000  # met without a shuffle of their stretches
+HEAVY_SHARE = 1000  # anchors of more than one in so many stretches are met without a shuffle
 
 _BASE = 0x9E3779B97F4A7C15  # odd: it has an inverse modulo 2**64
 STRETCHES = "anchor long, content long, doc_id long, twin long, start long, stop long, inner boolean"
@@ -359,7 +359,9 @@ def _classed(others: DataFrame, group: int, part_bytes: int) -> DataFrame:
     counted = stretches_of(others, False, part_bytes).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = written(counted.select("anchor", F.ceil(F.col("n") / group).cast("int").alias("parts"), "n"), "suffix-anchors")
     whole = stretches_of(others, True, part_bytes)
-    held = join_unique(whole, counted, ["anchor"], "n", HEAVY_ANCHORS, HEAVY_ANCHORS)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = counted.where(F.col("n") * HEAVY_SHARE > total).count()  # fewer than HEAVY_SHARE
+    held = join_unique(whole, counted, ["anchor"], "n", heavy, heavy)
     held = held.withColumn("part", F.pmod(fold(0, F.col("doc_id"), F.col("twin"), F.col("start")), F.col("parts")).cast("int"))
     # windows over one shuffle: by (anchor, part), and within it by content
     met = Window.partitionBy("anchor", "part")
