@@ -86,7 +86,8 @@ def join_unique(rows: DataFrame, table: DataFrame, on: list[str], weight: str, b
         return rows.join(F.broadcast(table), on).drop(weight)
     heavy = F.broadcast(written(table.orderBy(F.desc(weight), *on).limit(min(heaviest, broadcast_rows)), "heavy-keys"))
     others = rows.join(heavy.select(on), on, "left_anti")
-    return rows.join(heavy, on).unionByName(others.join(table.join(heavy.select(on), on, "left_anti"), on)).drop(weight)
+    light = table.join(heavy.select(on), on, "left_anti").hint("shuffle_hash")  # one row a key: no partition of it is large
+    return rows.join(heavy, on).unionByName(others.join(light, on)).drop(weight)
 
 
 def parallelism(spark: SparkSession) -> int:
