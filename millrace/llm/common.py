@@ -79,15 +79,19 @@ def broadcast_if_small(frame: DataFrame, rows: int) -> DataFrame:
 def join_unique(rows: DataFrame, table: DataFrame, on: list[str], weight: str, broadcast_rows: int, heaviest: int = 100_000) -> DataFrame:
     """``rows`` with the columns of ``table``, which has one row for each key that they hold.
 
-    A table of more than ``broadcast_rows`` rows is split: the keys of the largest ``weight`` are broadcast, as many as
-    ``heaviest`` says; no other key has more than one row in so many, so the rest is joined by a shuffle.
+    Where the table has more than ``broadcast_rows`` rows, the keys of the largest ``weight`` are broadcast, as many as
+    ``heaviest`` says, and their rows dealt evenly; no other key has more than one row in so many, so the rest is joined by a shuffle.
     """
     if table.count() <= broadcast_rows:
         return rows.join(F.broadcast(table), on).drop(weight)
-    heavy = F.broadcast(written(table.orderBy(F.desc(weight), *on).limit(min(heaviest, broadcast_rows)), "heavy-keys"))
-    others = rows.join(heavy.select(on), on, "left_anti")
-    light = table.join(heavy.select(on), on, "left_anti").hint("shuffle_hash")  # one row a key: no partition of it is large
-    return rows.join(heavy, on).unionByName(others.join(light, on)).drop(weight)
+    row = F.struct(*(c for c in table.columns if c not in on))
+    heavy = written(table.orderBy(F.desc(weight), *on).limit(min(heaviest, broadcast_rows)), "heavy-keys").select(*on, row.alias("heavy_row"))
+    # heavy rows get numbers that no row of the table has: they only pass through the join
+    number = F.when(F.col("heavy_row").isNull(), -1).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).alias("dealt")
+    dealt = rows.join(F.broadcast(heavy), on, "left").select(*rows.columns, "heavy_row", number)
+    light = table.select(*on, row.alias("light_row"), F.lit(-1).cast("long").alias("dealt")).hint("shuffle_hash")  # one row a key: no part of it is large
+    found = dealt.join(light, [*on, "dealt"], "left").withColumn("row_found", F.coalesce("heavy_row", "light_row"))
+    return found.where("row_found IS NOT NULL").select(*rows.columns, "row_found.*").drop(weight)
 
 
 def parallelism(spark: SparkSession) -> int:
