@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import fresh_dir
-from millrace.sinks.files import publish_bytes
+from millrace.sinks.files import delete_path, publish_bytes
 
 # Words are runs of characters other than these (space, tab to carriage return).
 SPACES = " \t\n\x0b\x0c\r"
@@ -58,6 +58,28 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are written by name; the one before goes once the next of its name is there, as nothing lazy reads it then."""
+
+    def __init__(self) -> None:
+        self.paths: dict[str, str] = {}
+
+    def write(self, frame: DataFrame, name: str) -> DataFrame:
+        spark = frame.sparkSession
+        path = fresh_dir(spark, name)
+        frame.write.parquet(path)
+        before, self.paths[name] = self.paths.get(name), path
+        if before:
+            delete_path(spark, before)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    def clear(self) -> None:
+        spark = SparkSession.active()
+        for path in self.paths.values():
+            delete_path(spark, path)
+        self.paths = {}
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), "")
 

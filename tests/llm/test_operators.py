@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import itertools
 import random
 import re
 import zlib
@@ -402,7 +403,7 @@ def test_line_groups(spark):
         texts.append((i, "\n".join([*lines, "too short"])))
     rows = line_dedup.line_groups(documents(spark, texts)).collect()
     norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
-    held = {(i, k): norm(line) for i, t in texts for k, line in enumerate(t.split("\n")) if len(norm(line).split()) >= 5}
+    held = {(i, k): norm(line) for i, t in texts for k, line in enumerate(t.split("\n")) if norm(line)}
     assert {(r["doc_id"], r["line_no"]) for r in rows} == held.keys()
     groups = defaultdict(list)
     for r in rows:
@@ -428,17 +429,83 @@ def near_line(rng, line, edits):
     return " ".join("".join(held).split())
 
 
-@pytest.mark.parametrize("n_words", [6, 12, 27, 60, 150])
-def test_near_equal_lines_of_any_length_meet(spark, n_words):
+def line_prints(spark, lines):
+    """SimHash and clear bits of each line, restated: votes of the hashes of the halves of its words."""
+    pieces = [[x for w in line.split() for x in ((1, w[: (len(w) + 1) // 2]), (2, w[len(w) // 2 :]))] for line in lines]
+    distinct = sorted({x for p in pieces for x in p})
+    hashed = spark.createDataFrame(distinct, "seed int, piece string").select("seed", "piece", F.xxhash64("seed", "piece").alias("h"))
+    bits = {(r["seed"], r["piece"]): np.array([(r["h"] >> b) & 1 for b in range(64)]) for r in hashed.collect()}
+    prints = []
+    for held in pieces:
+        votes, n = sum(bits[x] for x in held), len(held)
+        clear = (votes > (n + (n / 2) ** 0.5) / 2) | (votes < (n - (n / 2) ** 0.5) / 2)
+        prints.append((2 * votes > n, clear))
+    return prints
+
+
+def test_line_groups_by_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = []
+    for n in (8, 20, 40, 90) * 6:
+        line = prose(rng, n).replace(".\n", " ")
+        lines.append(line)
+        for _ in range(rng.choice([1, 3, 12])):
+            words = rng.choice(lines[-3:] if rng.random() < 0.3 else [line]).split()
+            words[rng.randrange(len(words))] = prose(rng, 1)
+            lines.append(" ".join(words))
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= 20]
+    prints, component = line_prints(spark, lines), list(range(len(lines)))
+    near = 0
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        longer = max(len(lines[i]), len(lines[j]))
+        if 100 * min(len(lines[i]), len(lines[j])) < 95 * longer:
+            continue
+        differ = [int((x != y).sum()) for x, y in zip(prints[i], prints[j], strict=True)]
+        if differ[0] <= 6 and sum(differ) <= 18 and edit_distance(lines[i], lines[j]) <= longer * 5 // 100:
+            near += 1
+            old, new = component[j], component[i]
+            component = [new if c == old else c for c in component]
+    expected = {tuple(i for i, c in enumerate(component) if c == k) for k in component}
+    assert near > 100 and len(expected) < len(lines)
+
+    def found():
+        groups = defaultdict(list)
+        for r in line_dedup.line_groups(documents(spark, list(enumerate(lines)))).collect():
+            groups[r["group_id"]].append(r["doc_id"])
+        return {tuple(sorted(g)) for g in groups.values()}
+
+    assert found() == expected
+    monkeypatch.setattr(line_dedup, "agreeing", lambda n: 3)  # as where lines are many
+    assert found() == expected
+    monkeypatch.setattr(line_dedup, "HOT", 3)  # lists that are not paired off
+    monkeypatch.setattr(line_dedup, "ROUNDS", ((2, 1), (4, 2)))
+    assert found() == expected
+
+
+@pytest.mark.parametrize(("n_words", "share"), [(27, 0.8), (60, 0.85), (150, 0.9)])
+def test_near_equal_lines_meet(spark, n_words, share):
     rng = random.Random(n_words)
-    base = ["".join(prose(rng, n_words)).replace(".\n", " ") for _ in range(40)]
+    base = ["".join(prose(rng, n_words)).replace(".\n", " ") for _ in range(60)]
     swapped = [" ".join(w[:k] + ["the" + w[k]] + w[k + 1 :]) for w in (x.split() for x in base) for k in [rng.randrange(len(w))]]
-    typed = [near_line(rng, x, max(1, len(x) // 20)) for x in base]
-    pairs = [(a, b) for near in (swapped, typed) for a, b in zip(base, near, strict=True) if 10 * edit_distance(a, b) <= max(len(a), len(b))]
+    typed = [near_line(rng, x, 1) for x in base]
+    pairs = [(a, b) for near in (swapped, typed) for a, b in zip(base, near, strict=True) if 100 * edit_distance(a, b) <= 5 * max(len(a), len(b))]
     texts = [(i, t) for i, t in enumerate(x for p in pairs for x in p)]
     group = {r["doc_id"]: r["group_id"] for r in line_dedup.line_groups(documents(spark, texts)).collect()}
-    assert len(pairs) >= 40
-    assert sum(group[2 * i] == group[2 * i + 1] for i in range(len(pairs))) >= 0.95 * len(pairs)
+    assert len(pairs) >= 60
+    assert sum(group[2 * i] == group[2 * i + 1] for i in range(len(pairs))) >= share * len(pairs)
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(3)
+    line = prose(rng, 190_000).replace(".\n", " ")
+    words = line.split()
+    for _ in range(900):
+        words[rng.randrange(len(words))] = "other"
+    far = words[: len(words) // 2] + prose(rng, len(words) // 2).replace(".\n", " ").split()
+    lines = [line, " ".join(words), " ".join(far)]
+    assert min(map(len, lines)) > 800_000
+    group = {r["doc_id"]: r["group_id"] for r in line_dedup.line_groups(documents(spark, list(enumerate(lines)))).collect()}
+    assert group[0] == group[1] != group[2]
 
 
 def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
@@ -471,21 +538,21 @@ def test_lines_of_repeated_rows(spark):
 
 
 def test_simhash_and_keys(spark):
-    lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([5, 60, 127, 128, 300, 5000])]
+    lines = [" ".join(prose(random.Random(i), n).replace(".", "").split()) for i, n in enumerate([8, 60, 127, 4095, 4096, 20_000])]
     frame = documents(spark, [*enumerate(lines), (9, lines[1] + "\n" + lines[4])])
-    found = {r["line_id"]: r["simhash"] for r in line_dedup.line_hashes(line_dedup.line_sums(frame)).collect()}
-    exploded = frame.where("doc_id < 9").select(F.xxhash64("text").alias("id"), F.explode(F.split("text", " ")).alias("w")).select("id", F.xxhash64("w").alias("h")).collect()
-    bits = defaultdict(list)
-    for r in exploded:
-        bits[r["id"]].append([(r["h"] >> b) & 1 for b in range(64)])
-    for line_id, held in bits.items():
-        votes = np.array(held).sum(0) * 2 > len(held)
-        assert found[line_id] & (2**64 - 1) == sum(1 << b for b in range(64) if votes[b])
-    for n in (10, 1 << 25):  # any three bits may differ
-        flips = [(7, 7 ^ sum(1 << b for b in random.Random(i).sample(range(63), 3))) for i in range(50)]
-        frame = spark.createDataFrame(flips, "a long, b long")
-        shared = F.size(F.array_intersect(line_dedup.block_keys(F.col("a"), n), line_dedup.block_keys(F.col("b"), n)))
-        assert frame.select(F.min(shared)).first()[0] >= 1
+    ids = {r["doc_id"]: r["id"] for r in frame.select("doc_id", F.xxhash64("text").alias("id")).collect()}
+    found = {r["line_id"]: r for r in line_dedup.line_hashes(line_dedup.line_sums(frame)).collect()}
+    for i, prints in enumerate(line_prints(spark, lines)):
+        for name, bits in zip(("simhash", "clear"), prints, strict=True):
+            assert found[ids[i]][name] & (2**64 - 1) == sum(1 << b for b in range(64) if bits[b])
+    for agree in (2, 3, 4):  # any six bits may differ, the first shared key is one key
+        signed = lambda x: x - 2**64 if x >> 63 else x
+        flips = [(signed(7 << 60), signed((7 << 60) ^ sum(1 << b for b in random.Random(i).sample(range(64), i % 7)))) for i in range(70)]
+        frame = spark.createDataFrame(sorted(set(flips)), "a long, b long")
+        keys = frame.select("a", "b", F.explode(line_dedup.block_keys(F.col("a"), agree)).alias("k"), line_dedup.block_keys(F.col("b"), agree).alias("other"))
+        first = F.array_contains("other", F.col("k")) & line_dedup._first_shared(F.col("a").bitwiseXOR(F.col("b")), F.col("k.last"), agree)
+        counts = keys.groupBy("a", "b").agg(F.count_if(first).alias("n")).select("n").distinct().collect()
+        assert [r["n"] for r in counts] == [1]
 
 
 def test_drop_repeated_lines_edges(spark):
@@ -493,7 +560,7 @@ def test_drop_repeated_lines_edges(spark):
     kept = line_dedup.drop_repeated_lines(docs)
     assert kept.columns == docs.columns
     rows = {(r["doc_id"], r["source"]): r for r in kept.collect()}
-    assert {r[0] for r in edge_rows()} - {k[0] for k in rows} <= {8, 9, -3}  # their lines stand once
+    assert {r[0] for r in edge_rows()} - {k[0] for k in rows} <= {4, 8, 9, 12, -3}  # their lines stand once
     given = {(r[0], r[3]): r for r in edge_rows()}
     for key, row in rows.items():
         lines = [] if given[key][1] is None else given[key][1].split("\n")
