@@ -477,7 +477,9 @@ def test_line_groups_by_brute_force(spark, monkeypatch):
     assert found() == expected
     monkeypatch.setattr(line_dedup, "agreeing", lambda n: 3)  # as where lines are many
     assert found() == expected
-    monkeypatch.setattr(line_dedup, "HOT", 3)  # lists that are not paired off
+    monkeypatch.setattr(line_dedup, "WIDE", 2)  # lists divided by length
+    assert found() == expected
+    monkeypatch.setattr(line_dedup, "HOT", 3)  # and lists that are not paired off
     monkeypatch.setattr(line_dedup, "ROUNDS", ((2, 1), (4, 2)))
     assert found() == expected
 
@@ -550,7 +552,7 @@ def test_simhash_and_keys(spark):
         flips = [(signed(7 << 60), signed((7 << 60) ^ sum(1 << b for b in random.Random(i).sample(range(64), i % 7)))) for i in range(70)]
         frame = spark.createDataFrame(sorted(set(flips)), "a long, b long")
         keys = frame.select("a", "b", F.explode(line_dedup.block_keys(F.col("a"), agree)).alias("k"), line_dedup.block_keys(F.col("b"), agree).alias("other"))
-        first = F.array_contains("other", F.col("k")) & line_dedup._first_shared(F.col("a").bitwiseXOR(F.col("b")), F.col("k.last"), agree)
+        first = F.array_contains("other", F.col("k")) & line_dedup._first_shared(F.col("a").bitwiseXOR(F.col("b")), line_dedup._last_block(F.col("k"), agree), agree)
         counts = keys.groupBy("a", "b").agg(F.count_if(first).alias("n")).select("n").distinct().collect()
         assert [r["n"] for r in counts] == [1]
 
