@@ -2,14 +2,17 @@
 
 The probability of a word is that of its class after the class before, times that of the word in its
 class. The end of a text is a token of a class of its own, which also stands before the first word.
-Classes come from exchange clustering: the most frequent words, and all others grouped by their
-ending, are items; an item moves to the class that makes the training text most probable until none moves.
-So every word has a class, known or not. Absolute discounting smooths both
+Classes come from exchange clustering. It starts from a bounded table: the most frequent words, and all others grouped
+by their ending, are items; an item moves to the class that makes the training text most probable until none moves.
+Then sweeps go over the whole vocabulary: every word's neighbours are counted by class, and it moves to its best class.
+Within a sweep all words move at once, by the class counts as they stood before it, less their own.
+A word of no training text has the class of its ending. Absolute discounting smooths both
 parts; what it takes from the known words of a class goes to its unknown words, as one type.
 
-Everything is counted over all training texts. The clustering sees a table bounded by the number
-of items; counts of the ``head`` most frequent words are sent to all tasks (a bounded
-table), and those of all others are joined. Words are kept as 64-bit hashes.
+Everything is counted over all training texts. Counts and classes of the ``head`` most frequent words are sent to all
+tasks (a bounded table), and those of all others are joined: scores do not depend on ``head``. As neighbours in
+a sweep, words beyond the ``CONTEXT`` most frequent stand in the class of their ending; their own moves and the final
+counts are as any word's. Words are kept as 64-bit hashes.
 
 Null and empty texts are one end token. A null id counts as empty text for the folds. Repeated rows score alike,
 an empty table gives an empty table, and other columns are ignored. Without a training text
@@ -32,10 +35,14 @@ from millrace.llm.text import chunks, endings, lowered, mixed, word_hashes
 
 HELD_OUT = 1
 CLASSES = 32
-FREQUENT = 500  # words that are items of their own
-ENDINGS = 500  # groups of all others
-HEAD = 1 << 18  # most frequent words whose counts are sent to all tasks: 3 MB
-SWEEPS = 12
+FREQUENT = 500  # words that start as items of their own
+ENDINGS = 500  # groups in which all others start
+HEAD = 1 << 18  # most frequent words whose counts and classes are sent to all tasks: 5 MB
+CONTEXT = 1 << 18  # most frequent words that are neighbours by their own class in a sweep
+SWEEPS = 12  # at most, over the items
+WORD_SWEEPS = 2  # over the whole vocabulary
+SMOOTHING = 100  # tokens spread over all classes that are added to the neighbours of a class
+LEAST_GAIN = np.log(CLASSES)  # of a word's move in such a sweep, in nats: what naming one of the classes costs
 PSEUDO = 0.5  # of the base score
 
 END = np.frombuffer(xxhash.xxh3_64_digest(b""), ">u8").astype("u8")[0]  # no word is empty
@@ -173,26 +180,208 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
     return own
 
 
+# -- the whole vocabulary ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Head:
+    """Counts and classes of the most frequent words, sorted by hash, and the class of each ending for all others."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    classes: np.ndarray
+    of_ending: np.ndarray
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts, an end after each: ``place`` in the head (-1: elsewhere), ``cls`` (by ending where the
+    head has none), the ``text`` of each, and the token ``before`` and ``after``, in a circle through the text's end."""
+
+    words: np.ndarray
+    place: np.ndarray
+    cls: np.ndarray
+    is_end: np.ndarray
+    text: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+
+def read_tokens(texts: list[bytes], head: Head) -> Tokens:
+    held, lengths = word_hashes(texts)
+    ends = np.cumsum(lengths) + np.arange(len(lengths))
+    starts = ends - lengths
+    is_end = np.zeros(len(held) + len(lengths), bool)
+    is_end[ends] = True
+    words, place, cls = np.full(len(is_end), END), np.full(len(is_end), -1), np.full(len(is_end), CLASSES - 1)
+    words[~is_end], place[~is_end] = held, head.places(held)
+    by_ending = head.of_ending[ending_groups(texts)]
+    known = place[~is_end]
+    cls[~is_end] = np.where(known >= 0, head.classes[known], by_ending) if len(head.words) else by_ending
+    before, after = np.arange(len(is_end)) - 1, np.arange(len(is_end)) + 1
+    before[starts], after[ends] = ends, starts
+    return Tokens(words, place, cls, is_end, np.repeat(np.arange(len(lengths)), lengths + 1), before, after)
+
+
+def start_classes(words: DataFrame, items: Items, classes: np.ndarray) -> DataFrame:
+    """``word, c, class`` of every word, by its item."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(0).to_numpy().view("u8")
+            own = np.where(word == END, items.end, items.of(word, batch.column(1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(classes[own].astype("i4"))], names=["word", "c", "class"])
+
+    return words.select("word", "ending", "c").mapInArrow(start, "word long, c long, class int")
+
+
+def read_head(classed: DataFrame, size: int, of_ending: np.ndarray) -> Head:
+    """``classed`` (word, c, class); the end token is in no head."""
+    top = classed.where(F.col("word") != int(_signed(np.array([END]))[0])).orderBy(F.desc("c"), "word").limit(size).toArrow()
+    words = top["word"].to_numpy().view("u8")
+    order = np.argsort(words, kind="stable")
+    return Head(words[order], top["c"].to_numpy()[order], top["class"].to_numpy()[order].astype("i8"), of_ending)
+
+
+def count_neighbours(training: DataFrame, head: Head) -> DataFrame:
+    """``word`` and ``near``: how often which class stands before it (``key`` = class) and after it (``CLASSES`` + class)."""
+    shared = training.sparkSession.sparkContext.broadcast(head)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, keys = shared.value, 2 * CLASSES
+        table = np.zeros((len(h.words) + 1) * keys, "i4")  # of the head and the end: once a task
+        names = ["word", "key", "n"]
+
+        def rows(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(_signed(words[codes // keys])), pa.array((codes % keys).astype("i4")), pa.array(n.astype("i8"))], names=names)
+
+        for batch in chunks(batches):
+            t = read_tokens(lowered(batch.column(0)), h)
+            near = np.concatenate([t.cls[t.before], CLASSES + t.cls[t.after]])
+            own = np.where(t.is_end, len(h.words), t.place)
+            rest = np.flatnonzero(own < 0)
+            others, own[rest] = np.unique(t.words[rest], return_inverse=True)
+            own[rest] += len(h.words) + 1
+            codes, n = np.unique(np.concatenate([own, own]) * keys + near, return_counts=True)
+            dense = np.searchsorted(codes, len(table))
+            table[codes[:dense]] += n[:dense].astype("i4")
+            if len(others):
+                yield rows(others, codes[dense:] - len(table), n[dense:])
+        full = np.flatnonzero(table)
+        words = np.append(h.words, END)
+        for first in range(0, len(full), 1 << 18):
+            part = full[first : first + (1 << 18)]
+            yield rows(words, part, table[part])
+
+    counted = training.select("text").mapInArrow(count, "word long, key int, n long").repartition("word")
+    summed = counted.groupBy("word", "key").agg(F.sum("n").alias("n"))
+    return summed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near"))  # at most two entries a class
+
+
+def best_classes(own: np.ndarray, place: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The class of each word under which its neighbours are the most probable, its own counts taken out of its present class.
+
+    That is the slope of the criterion of ``exchange_clusters``; since all words move at once, shares of neighbours within a class are
+    smoothed, or a small class would draw every word that would fit it alone.
+    ``place, key, n``: the neighbours of words by class, as in ``count_neighbours``. ``pairs``: counts of pairs of classes.
+    A word stays where no class is better by ``LEAST_GAIN``, so that chance neighbours of a rare word do not move it.
+    """
+    k, size = CLASSES, len(own)
+    near = np.zeros((size, 2 * k))
+    near[place, key] = n
+    number = near[:, :k].sum(1)
+    counts = np.concatenate([pairs.T, pairs], 1)  # of a class: the classes before and after it
+    spread = SMOOTHING * counts.sum(0) / max(pairs.sum(), 1)
+    held = counts[:, :k].sum(1)
+    share = np.log(np.maximum(counts + spread, 1e-9)) - np.log(held + SMOOTHING)[:, None]
+    gain = near @ share.T
+    mine = own[place]
+    without = np.log(np.maximum(counts[mine, key] - n + spread[key], 1e-9)) - np.log(np.maximum(held[mine] - number[place], 0) + SMOOTHING)
+    stay = np.bincount(place, n * without, size)
+    gain[np.arange(size), own] = stay
+    gain[:, k - 1] = -np.inf  # the end is alone
+    best = gain.argmax(1)
+    return np.where((own < k - 1) & (gain[np.arange(size), best] > stay + LEAST_GAIN), best, own)
+
+
+def sweep(training: DataFrame, classed: DataFrame, head: Head) -> DataFrame:
+    """``classed`` (word, c, class) after every word of the vocabulary has moved to its best class."""
+    near = written(count_neighbours(training, head).join(classed, "word"), "lm-neighbours")
+    table = np.zeros((CLASSES, CLASSES))
+    for r in near.select("class", F.inline("near")).where(F.col("key") < CLASSES).groupBy("key", "class").agg(F.sum("n").alias("n")).collect():
+        table[r["key"], r["class"]] = r["n"]
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, 4000):
+            lists, own = batch.column(3), batch.column(2).to_numpy()
+            held = lists.flatten()
+            place = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            best = best_classes(own, place, held.field("key").to_numpy(), held.field("n").to_numpy(), table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype("i4"))], names=["word", "c", "class"])
+
+    return written(near.select("word", "c", "class", "near").mapInArrow(choose, "word long, c long, class int"), "lm-classes")
+
+
+def count_class_pairs(training: DataFrame, classed: DataFrame, head: Head) -> np.ndarray:
+    """How often one class follows another in the training texts; words beyond the head are joined to their classes."""
+    shared = training.sparkSession.sparkContext.broadcast(head)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "class_a", "b", "class_b", "n"]
+        table = np.zeros(CLASSES * CLASSES, "i8")
+        for batch in chunks(batches):
+            t = read_tokens(lowered(batch.column(0)), shared.value)
+            rest = (t.place < 0) & ~t.is_end
+            a, b = t.before, np.arange(len(t.words))
+            known = ~(rest[a] | rest[b])
+            table += np.bincount(t.cls[a[known]] * CLASSES + t.cls[b[known]], minlength=len(table))
+            a, b = a[~known], b[~known]
+            if len(a):
+                columns = []
+                for side in (a, b):
+                    columns += [pa.array(_signed(t.words[side]), mask=~rest[side]), pa.array(t.cls[side].astype("i4"), mask=rest[side])]
+                yield pa.Table.from_arrays([*columns, pa.array(np.ones(len(a), "i8"))], names=names).group_by(names[:4]).aggregate([("n", "sum")]).rename_columns(names).combine_chunks().to_batches()[0]
+        at = np.flatnonzero(table)
+        nothing = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([nothing, pa.array((at // CLASSES).astype("i4")), nothing, pa.array((at % CLASSES).astype("i4")), pa.array(table[at])], names=names)
+
+    rows = training.select("text").mapInArrow(count, "a long, class_a int, b long, class_b int, n long")
+    rows = written(rows.groupBy("a", "class_a", "b", "class_b").agg(F.sum("n").alias("n")), "lm-pairs")
+    for side, others in (("a", ["b", "class_b"]), ("b", ["class_a"])):
+        named = classed.select(F.col("word").alias(side), F.col("class").alias(f"class_{side}"))
+        open_rows = rows.where(F.col(side).isNotNull()).drop(f"class_{side}").join(named, side)
+        columns = [f"class_{side}", *others]
+        rows = open_rows.select(*columns, "n").unionByName(rows.where(F.col(side).isNull()).select(*columns, "n")).groupBy(*columns).agg(F.sum("n").alias("n"))
+    pairs = np.zeros((CLASSES, CLASSES))
+    for r in rows.collect():
+        pairs[r["class_a"], r["class_b"]] = r["n"]
+    return pairs
+
+
 @dataclass(frozen=True)
 class ClassModel:
-    """All of bounded size; ``head_*`` are sorted by hash."""
+    """All of bounded size."""
 
-    items: Items
-    classes: np.ndarray  # of items
+    head: Head
     transition: np.ndarray  # log10 P(class | class before)
     total: np.ndarray  # tokens by class
     unknown: np.ndarray  # log10 of the discounted mass by class
     discount: float
     tokens: int
     types: int
-    head_words: np.ndarray
-    head_counts: np.ndarray
+    ends: int
 
-    def head_count(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.head_words):
-            return np.zeros(len(words), "i8")
-        at = np.minimum(np.searchsorted(self.head_words, words), len(self.head_words) - 1)
-        return np.where(self.head_words[at] == words, self.head_counts[at], 0)
+    def emission(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """log10 P(word | class) by the word's count, 0 for unknown words; a class without tokens has its unknown type alone."""
+        known = counts > 0
+        return np.where(known, np.log10(np.where(known, counts - self.discount, 1.0)), self.unknown[classes]) - np.log10(np.maximum(self.total, 1))[classes]
 
 
 def _smoothed(pairs: np.ndarray) -> np.ndarray:
@@ -206,97 +395,112 @@ def _smoothed(pairs: np.ndarray) -> np.ndarray:
     return np.log10(np.where(sums > 0, held, alone))
 
 
-def fit_class_model(training: DataFrame, words: DataFrame, head: int = HEAD) -> ClassModel:
-    """``words``: the result of ``count_words``."""
-    spark = training.sparkSession
+def fit_class_model(training: DataFrame, words: DataFrame, head: int = HEAD, sweeps: int = WORD_SWEEPS) -> tuple[ClassModel, DataFrame]:
+    """The model, and ``word, c, class`` of every training word. ``words``: the result of ``count_words``."""
     end = int(_signed(np.array([END]))[0])
-    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    top_words, top_counts = top["word"].to_numpy().view("u8"), top["c"].to_numpy()
-    frequent = np.array([w for w in top_words[: FREQUENT + 1] if w != END][:FREQUENT], "u8")
-    items = Items(frequent)
-    bigrams = count_bigrams(training, items)
-    classes = exchange_clusters(bigrams)
-    one_hot = np.eye(CLASSES)[classes]
-    # types by class: each frequent word is one, the others are counted by ending
-    whole = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    listed = spark.createDataFrame([(int(x),) for x in _signed(np.append(frequent, END))], "word long")
-    by_ending = words.join(F.broadcast(listed), "word", "left_anti").groupBy("ending").agg(F.count(F.lit(1)).alias("v")).collect()
-    types = np.zeros(items.number)
-    types[: len(frequent)] = 1
-    for r in by_ending:
-        types[len(frequent) + r["ending"]] = r["v"]
-    total, class_types = one_hot.T @ bigrams.sum(0), one_hot.T @ types
-    n1, n2 = whole["n1"], whole["n2"]
+    top = words.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    items = Items(top["word"].to_numpy().view("u8"))
+    classes = exchange_clusters(count_bigrams(training, items))
+    of_ending = classes[len(items.hashes) : -1]
+    classed = written(start_classes(words, items, classes), "lm-classes")
+    for _ in range(sweeps):
+        classed = sweep(training, classed, read_head(classed, CONTEXT, of_ending))
+    held = read_head(classed, head, of_ending)
+    pairs = count_class_pairs(training, classed, held)
+    total, types = np.zeros(CLASSES), np.zeros(CLASSES)
+    whole = classed.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
+    for r in whole:
+        total[r["class"]], types[r["class"]] = r["n"], r["v"]
+    types[CLASSES - 1] = 0  # the end has no unknown words
+    n1, n2 = (sum(r[name] for r in whole if r["class"] < CLASSES - 1) for name in ("n1", "n2"))
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    freed = discount * class_types
-    order = np.argsort(top_words, kind="stable")
-    return ClassModel(
-        items, classes, _smoothed(one_hot.T @ bigrams @ one_hot), total, np.log10(np.where(freed > 0, freed, 1.0)), discount,
-        whole["n"] or 0, whole["v"], top_words[order], top_counts[order].astype("i8"),
-    )
+    freed = discount * types
+    ends = int(total[CLASSES - 1])
+    model = ClassModel(held, _smoothed(pairs), total, np.log10(np.where(freed > 0, freed, 1.0)), discount, int(total.sum()), sum(r["v"] for r in whole), ends)
+    return model, classed
+
 
+# -- scores -----------------------------------------------------------------------------------
 
-def _emission_total(model: ClassModel) -> np.ndarray:
-    """log10 of what emissions of a class are divided by; a class without tokens has its unknown type alone."""
-    return np.log10(np.maximum(model.total, 1))
+PARTIAL = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,class:int>>, uses array<struct<of:int,before:int,after:int,n:int>>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:long,class:int,n:int>>"
+def _lists(rows: np.ndarray, number: int, **fields: np.ndarray) -> pa.ListArray:
+    """Lists of structs, of sorted ``rows`` out of ``number``."""
+    values = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(number + 1)).astype("i4")), values)
 
 
-def score_texts(docs: DataFrame, words: DataFrame, model: ClassModel, held_out: Column) -> DataFrame:
+def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out: Column) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each document.
 
-    One pass over the texts adds up transitions and frequent words; words outside the head are
-    looked up among all counted words by a join, and their sums added.
+    One pass over the texts adds up what the head knows. Words beyond it are listed once a text, with the classes next to
+    them, and joined to their counts and classes; then what they take part in is added.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     per_token = float(np.log10(model.tokens + PSEUDO * (model.types + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        divided = _emission_total(m)
         for batch in chunks(batches):
-            words, items, is_end, text = m.items.with_ends(lowered(batch.column(2)))
-            classes = m.classes[items]
-            before = np.concatenate([[m.classes[m.items.end]], classes[:-1]])
-            before[np.flatnonzero(is_end)[:-1] + 1] = m.classes[m.items.end]
-            c = m.head_count(words)
             n = batch.num_rows
-            add = lambda values: np.bincount(text, values, n)
-            found = c > 0
-            emission = np.where(found, np.log10(np.where(found, c - m.discount * ~is_end, 1.0)), 0.0) - divided[classes]
-            emission[is_end & found] = 0.0
-            base = np.where(found, np.log10(c + PSEUDO), 0.0) - per_token
-            rare_at = np.flatnonzero(~found)
-            rare = np.rec.fromarrays([text[rare_at], words[rare_at], classes[rare_at]], names="text,word,cls")
-            distinct, times = np.unique(rare, return_counts=True)
-            entries = pa.StructArray.from_arrays([pa.array(_signed(np.ascontiguousarray(distinct["word"]))), pa.array(distinct["cls"].astype("i4")), pa.array(times.astype("i4"))], names=["word", "class", "n"])
-            offsets = pa.array(np.searchsorted(distinct["text"], np.arange(n + 1)).astype("i4"))
-            tokens = np.bincount(text, minlength=n)
-            columns = [batch.column(0), batch.column(1), pa.array(tokens), pa.array(add(found).astype("i8")), pa.array(add(base)), pa.array(add(emission + m.transition[before, classes]))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, entries)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInArrow(score, SCORED)
+            t = read_tokens(lowered(batch.column(2)), m.head)
+            rest = (t.place < 0) & ~t.is_end
+            c = np.where(t.is_end, m.ends, 0)
+            if len(m.head.words):
+                c = np.where(t.place >= 0, m.head.counts[t.place], c)
+            emission = np.where(rest | t.is_end, 0.0, m.emission(c, t.cls))
+            moved = np.where(rest | rest[t.before], 0.0, m.transition[t.cls[t.before], t.cls])
+            base = np.where(rest, 0.0, np.log10(c + PSEUDO)) - per_token
+            add = lambda values: np.bincount(t.text, values, n)
+            # the words beyond the head, once a text
+            at = np.flatnonzero(rest)
+            order = at[np.lexsort((t.words[at], t.text[at]))]
+            new = np.r_[True, (t.words[order][1:] != t.words[order][:-1]) | (t.text[order][1:] != t.text[order][:-1])][: len(order)]
+            firsts = order[new]
+            text_of = t.text[firsts]
+            number = np.empty(len(t.words), "i8")
+            number[order] = np.cumsum(new) - 1 - np.searchsorted(text_of, t.text[order])
+            before = np.where(rest[t.before[at]], CLASSES + number[t.before[at]], t.cls[t.before[at]])
+            after = np.where(rest[t.after[at]], -1, t.cls[t.after[at]])
+            uses, times = np.unique(np.stack([t.text[at], number[at], before, after], 1), axis=0, return_counts=True) if len(at) else (np.empty((0, 4), "i8"), np.empty(0))
+            rare = _lists(text_of, n, word=_signed(t.words[firsts]), **{"class": t.cls[firsts].astype("i4")})
+            used = _lists(uses[:, 0], n, of=uses[:, 1].astype("i4"), before=uses[:, 2].astype("i4"), after=uses[:, 3].astype("i4"), n=times.astype("i4"))
+            sums = [pa.array(np.bincount(t.text, minlength=n)), pa.array(add(c > 0).astype("i8")), pa.array(add(base)), pa.array(add(emission + moved))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums, rare, used], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "uses"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in chunks(batches):
+            n, found, uses = batch.num_rows, batch.column(6).fill_null([]), batch.column(7)
+            first, held, use = np.append(0, np.cumsum(found.value_lengths().to_numpy())), found.flatten(), uses.flatten()
+            c, cls = held.field("c").to_numpy(), held.field("class").to_numpy()
+            text = np.repeat(np.arange(n), uses.value_lengths().to_numpy())
+            of, before, after, times = (use.field(name).to_numpy() for name in ("of", "before", "after", "n"))
+            own, is_rare = first[text] + of, before >= CLASSES
+            if len(own):
+                before = np.where(is_rare, cls[np.where(is_rare, first[text] + before - CLASSES, 0)], before)
+            score = m.emission(c[own], cls[own]) + m.transition[before, cls[own]] + np.where(after >= 0, m.transition[cls[own], after], 0.0)
+            plus = lambda column, values: pa.array(batch.column(column).to_numpy() + np.bincount(text, values * times, n))
+            known = batch.column(3).to_numpy() + np.bincount(text, (c[own] > 0) * times, n).astype("i8")
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(known), pa.array(np.full(n, m.tokens)), plus(4, np.log10(c[own] + PSEUDO)), plus(5, score)],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInArrow(score, PARTIAL)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = rows.select("row", F.inline("rare")).join(words.select("word", "c"), "word", "left")
-    unknown = F.element_at(F.lit([float(x) for x in model.unknown]).cast("array<double>"), F.col("class") + 1)
-    known = F.col("c").isNotNull()
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(known, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(PSEUDO))).alias("more_base"),
-        F.sum(F.col("n") * F.when(known, F.log10(F.col("c") - F.lit(model.discount))).otherwise(unknown)).alias("more_score"),
-    )
-    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0)))
-    return rows.join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"),
-    )
+    rare = rows.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", F.col("r.class").alias("by_ending"))
+    looked_up = rare.join(classed, "word", "left").select("row", F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", "by_ending").alias("class")).alias("found"))
+    found = looked_up.groupBy("row").agg(F.sort_array(F.collect_list("found")).alias("found"))  # as many as the text has words
+    joined = rows.drop("rare").join(found, "row", "left").select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "found", "uses")
+    return joined.mapInArrow(finish, SCORED)
 
 
 def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """Trains on the documents outside the held-out fold and scores all."""
     held_out = fold_number(F.col("doc_id")) == HELD_OUT
     training = docs.where(~held_out)
-    words = count_words(training)
-    return score_texts(docs, words, fit_class_model(training, words, head), held_out)
+    model, classed = fit_class_model(training, count_words(training), head)
+    return score_texts(docs, classed, model, held_out)

@@ -262,28 +262,113 @@ def test_language_model_counts(spark, head):
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in found)
 
 
-def test_language_model_is_a_distribution_and_does_better(spark):
+def two_languages(spark):
     rng = random.Random(8)
-    texts = [(i, prose(rng, 200, "de" if i % 3 == 0 else "en")) for i in range(150)]
+    return [(i, prose(rng, 200, "de" if i % 3 == 0 else "en")) for i in range(150)]
+
+
+def class_table(classed):
+    """Count and class of every training word, by its hash."""
+    return {r["word"]: (r["c"], r["class"]) for r in classed.collect()}
+
+
+def hash_of(word):
+    return int(class_lm.word_hashes([word])[0].view("i8")[0])
+
+
+def test_language_model_is_a_distribution_and_does_better(spark):
+    texts = two_languages(spark)
     docs = documents(spark, texts)
-    training = docs.where("true")
-    counted = class_lm.count_words(training)
-    model = class_lm.fit_class_model(training, counted, head=50)
+    model, classed = class_lm.fit_class_model(docs, class_lm.count_words(docs), head=50)
     np.testing.assert_allclose((10**model.transition).sum(1), 1, rtol=1e-9)
     # emissions of a class: its words, and the unknown as one type
-    held = class_lm.score_texts(documents(spark, [(k, w) for k, w in enumerate(sorted({w.decode() for _, t in texts for w in low(t)}))]), counted, model, F.lit(False))
-    first = model.classes[model.items.end]
+    words = sorted({w for _, t in texts for w in low(t)})
+    held = class_lm.score_texts(documents(spark, [(k, w.decode()) for k, w in enumerate(words)]), classed, model, F.lit(False))
+    table, end = class_table(classed), class_lm.CLASSES - 1
     mass = np.zeros(class_lm.CLASSES)
-    for r, word in zip(sorted(held.collect(), key=lambda r: r["doc_id"]), sorted({w for _, t in texts for w in low(t)}), strict=True):
-        text = [word]
-        cls = model.classes[model.items.of(class_lm.word_hashes(text)[0], class_lm.ending_groups(text))][0]
-        mass[cls] += 10 ** (r["score"] - model.transition[first, cls] - model.transition[cls, first])
-    mass += np.where(model.unknown < 0, 10**model.unknown, 10**model.unknown) / np.maximum(model.total, 1) * (mass > 0)
+    for r, word in zip(sorted(held.collect(), key=lambda r: r["doc_id"]), words, strict=True):
+        cls = table[hash_of(word)][1]
+        mass[cls] += 10 ** (r["score"] - model.transition[end, cls] - model.transition[cls, end])
+    mass += 10**model.unknown / np.maximum(model.total, 1) * (mass > 0)
     np.testing.assert_allclose(mass[mass > 0], 1, rtol=1e-6)
     scored = [r for r in class_lm.score_documents(docs).collect() if r["held_out"]]
     assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
 
 
+@pytest.mark.parametrize("head", [0, 7, 1 << 18])
+def test_language_model_against_brute_force(spark, head):
+    texts = two_languages(spark)
+    training = documents(spark, texts)
+    model, classed = class_lm.fit_class_model(training, class_lm.count_words(training), head=head)
+    table, end = class_table(classed), class_lm.CLASSES - 1
+    counts = Counter(w for _, t in texts for w in low(t))
+    # every word of the vocabulary has a class by its own count; the end is alone in its class
+    assert {h: c for h, (c, _) in table.items() if h != hash_of_end()} == {hash_of(w): c for w, c in counts.items()}
+    assert [h for h, (_, c) in table.items() if c == end] == [hash_of_end()] and table[hash_of_end()] == (len(texts), end)
+    pairs = np.zeros((class_lm.CLASSES, class_lm.CLASSES))
+    for _, t in texts:
+        path = [end, *(table[hash_of(w)][1] for w in low(t)), end]
+        np.add.at(pairs, (path[:-1], path[1:]), 1)
+    np.testing.assert_allclose(model.transition, class_lm._smoothed(pairs))
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    assert model.discount == (once / (once + 2 * twice) if once and twice else 0.5)
+    types, total = Counter(c for h, (_, c) in table.items()), Counter()
+    for c, cls in table.values():
+        total[cls] += c
+
+    def expected(text):
+        score, before = 0.0, end
+        for w in low(text):
+            if hash_of(w) in table:
+                c, cls = table[hash_of(w)]
+                emission = math.log10(c - model.discount)
+            else:
+                cls = int(model.head.of_ending[class_lm.ending_groups([w])[0]])
+                freed = model.discount * types[cls]
+                emission = math.log10(freed) if freed else 0.0
+            score += model.transition[before, cls] + emission - math.log10(max(total[cls], 1))
+            before = cls
+        return score + model.transition[before, end]
+
+    new = [(1000, "unseen words only"), (1001, None), (1002, ""), (1003, "unseen unseen unseen " * 3000), (1004, texts[0][1] + " unseenen xx " + texts[1][1])]
+    found = class_lm.score_texts(documents(spark, [*texts, *new]), classed, model, F.lit(False)).collect()
+    for r, (_, text) in zip(sorted(found, key=lambda r: r["doc_id"]), [*texts, *new], strict=True):
+        assert math.isclose(r["score"], expected(text), rel_tol=1e-9), r
+
+
+def hash_of_end():
+    return int(class_lm.END.reshape(1).view("i8")[0])
+
+
+def test_scores_do_not_depend_on_the_head(spark):
+    docs = documents(spark, [(i, f"{t} w{i} v{i % 7}") for i, t in two_languages(spark)])
+    by_head = [{r["doc_id"]: r["score"] for r in class_lm.score_documents(docs, head=h).collect()} for h in (1, 600, 1 << 18)]
+    for other in by_head[1:]:
+        assert other.keys() == by_head[0].keys()
+        assert all(math.isclose(other[k], v, rel_tol=1e-9) for k, v in by_head[0].items())
+
+
+def test_words_move_to_the_class_of_their_neighbours(spark):
+    """Words made up of chance letters start by their ending, then those of one language share classes."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    sides = [[word() for _ in range(900)], [word() for _ in range(900)]]
+    texts = [(i, " ".join(rng.choice(sides[i % 2]) for _ in range(120))) for i in range(300)]
+    training = documents(spark, texts)
+    counted = class_lm.count_words(training)
+
+    def mixed_share(sweeps):
+        table = class_table(class_lm.fit_class_model(training, counted, sweeps=sweeps)[1])
+        by_class = {}
+        for side, words in enumerate(sides):
+            for w in words:
+                c, cls = table[hash_of(w.encode())]
+                by_class.setdefault(cls, [0, 0])[side] += c
+        return sum(min(v) for v in by_class.values()) / sum(sum(v) for v in by_class.values())
+
+    assert mixed_share(class_lm.WORD_SWEEPS) < 0.5 * mixed_share(0)
+
+
 def test_language_model_without_training(spark):
     assert class_lm.score_documents(empty_documents(spark)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
