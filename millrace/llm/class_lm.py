@@ -250,18 +250,60 @@ def read_head(classed: DataFrame, size: int, of_ending: np.ndarray) -> Head:
     return Head(words[order], top["c"].to_numpy()[order], top["class"].to_numpy()[order].astype("i8"), of_ending)
 
 
+NEAR = "word long, keys binary, counts binary"  # of a word: classes as bytes, and how often each, as 64-bit numbers
+
+
+def _packed(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """``NEAR`` rows from sorted ``codes`` (place of the word and key) and their counts."""
+    place = codes // (2 * CLASSES)
+    edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True][: len(place) + 1] if len(place) else np.zeros(1, bool))
+    cut = lambda values, width: pa.Array.from_buffers(pa.binary(), max(len(edges) - 1, 0), [None, pa.py_buffer((edges * width).astype("i4").tobytes() or bytes(4)), pa.py_buffer(values.tobytes())])
+    columns = [pa.array(_signed(words[place[edges[:-1]]])), cut((codes % (2 * CLASSES)).astype("u1"), 1), cut(n.astype("i8"), 8)]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "keys", "counts"])
+
+
+def _bytes_of(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column without nulls, and how many each has."""
+    width = np.dtype(kind).itemsize
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, "i8")
+    _, offsets, values = column.cast(pa.binary()).buffers()
+    ends = np.frombuffer(offsets, "i4")[column.offset : column.offset + len(column) + 1].astype("i8")
+    return np.frombuffer(values or b"", "u1")[ends[0] : ends[-1]].copy().view(kind), np.diff(ends) // width
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One ``NEAR`` row a word, from rows sorted by word: no more than a batch is held, and the sums of the word that it ends in."""
+    width = 2 * CLASSES
+    last, open_sums = None, np.zeros(width, "i8")
+    for batch in chunks(batches, 4000):
+        words = batch.column(0).to_numpy()
+        keys, lengths = _bytes_of(batch.column(1), "u1")
+        n, _ = _bytes_of(batch.column(2), "i8")
+        starts = np.r_[True, words[1:] != words[:-1]]
+        distinct, place = words[starts], np.cumsum(starts) - 1
+        sums = np.bincount(np.repeat(place, lengths) * width + keys, n, len(distinct) * width).astype("i8").reshape(-1, width)  # exact below 2^53
+        if last is not None:
+            if distinct[0] == last:
+                sums[0] += open_sums
+            else:
+                distinct, sums = np.append(last, distinct), np.concatenate([open_sums[None], sums])
+        last, open_sums = distinct[-1], sums[-1].copy()
+        flat = sums[:-1].ravel()
+        codes = np.flatnonzero(flat)
+        yield _packed(distinct.view("u8"), codes, flat[codes])
+    if last is not None:
+        codes = np.flatnonzero(open_sums)
+        yield _packed(np.array([last]).view("u8"), codes, open_sums[codes])
+
+
 def count_neighbours(training: DataFrame, head: Head) -> DataFrame:
-    """``word`` and ``near``: how often which class stands before it (``key`` = class) and after it (``CLASSES`` + class)."""
+    """Of each word how often which class stands before it (key: class) and after it (``CLASSES`` + class), as ``NEAR``."""
     shared = training.sparkSession.sparkContext.broadcast(head)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, keys = shared.value, 2 * CLASSES
         table = np.zeros((len(h.words) + 1) * keys, "i4")  # of the head and the end: once a task
-        names = ["word", "key", "n"]
-
-        def rows(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_signed(words[codes // keys])), pa.array((codes % keys).astype("i4")), pa.array(n.astype("i8"))], names=names)
-
         for batch in chunks(batches):
             t = read_tokens(lowered(batch.column(0)), h)
             near = np.concatenate([t.cls[t.before], CLASSES + t.cls[t.after]])
@@ -273,16 +315,33 @@ def count_neighbours(training: DataFrame, head: Head) -> DataFrame:
             dense = np.searchsorted(codes, len(table))
             table[codes[:dense]] += n[:dense].astype("i4")
             if len(others):
-                yield rows(others, codes[dense:] - len(table), n[dense:])
-        full = np.flatnonzero(table)
+                yield _packed(others, codes[dense:] - len(table), n[dense:])
         words = np.append(h.words, END)
-        for first in range(0, len(full), 1 << 18):
-            part = full[first : first + (1 << 18)]
-            yield rows(words, part, table[part])
+        for first in range(0, len(words), 4096):
+            part = table[first * keys : (first + 4096) * keys]
+            full = np.flatnonzero(part)
+            yield _packed(words[first : first + 4096], full, part[full])
+
+    counted = training.select("text").mapInArrow(count, NEAR)
+    return counted.repartition("word").sortWithinPartitions("word").mapInArrow(_add_up, NEAR)
 
-    counted = training.select("text").mapInArrow(count, "word long, key int, n long").repartition("word")
-    summed = counted.groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near"))  # at most two entries a class
+
+def pairs_of_neighbours(near: DataFrame) -> np.ndarray:
+    """How often one class stands before another, from ``class, keys, counts`` of all words."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(2 * CLASSES * CLASSES)
+        for batch in chunks(batches, 4000):
+            keys, lengths = _bytes_of(batch.column(1), "u1")
+            own = np.repeat(batch.column(0).to_numpy(), lengths)
+            table += np.bincount(keys * np.int64(CLASSES) + own, _bytes_of(batch.column(2), "i8")[0], len(table))
+        at = np.flatnonzero(table[: CLASSES * CLASSES])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at].astype("i8"))], names=["pair", "n"])
+
+    summed = near.select("class", "keys", "counts").mapInArrow(add, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CLASSES * CLASSES)
+    table[summed["pair"].to_numpy()] = summed["n"].to_numpy()
+    return table.reshape(CLASSES, CLASSES)
 
 
 def best_classes(own: np.ndarray, place: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -314,19 +373,16 @@ def best_classes(own: np.ndarray, place: np.ndarray, key: np.ndarray, n: np.ndar
 def sweep(training: DataFrame, classed: DataFrame, head: Head) -> DataFrame:
     """``classed`` (word, c, class) after every word of the vocabulary has moved to its best class."""
     near = written(count_neighbours(training, head).join(classed, "word"), "lm-neighbours")
-    table = np.zeros((CLASSES, CLASSES))
-    for r in near.select("class", F.inline("near")).where(F.col("key") < CLASSES).groupBy("key", "class").agg(F.sum("n").alias("n")).collect():
-        table[r["key"], r["class"]] = r["n"]
+    table = pairs_of_neighbours(near)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 4000):
-            lists, own = batch.column(3), batch.column(2).to_numpy()
-            held = lists.flatten()
-            place = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            best = best_classes(own, place, held.field("key").to_numpy(), held.field("n").to_numpy(), table)
+            keys, lengths = _bytes_of(batch.column(3), "u1")
+            place = np.repeat(np.arange(batch.num_rows), lengths)
+            best = best_classes(batch.column(2).to_numpy(), place, keys.astype("i8"), _bytes_of(batch.column(4), "i8")[0], table)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype("i4"))], names=["word", "c", "class"])
 
-    return written(near.select("word", "c", "class", "near").mapInArrow(choose, "word long, c long, class int"), "lm-classes")
+    return written(near.select("word", "c", "class", "keys", "counts").mapInArrow(choose, "word long, c long, class int"), "lm-classes")
 
 
 def count_class_pairs(training: DataFrame, classed: DataFrame, head: Head) -> np.ndarray:
