@@ -15,7 +15,8 @@ a sweep, words beyond the ``CONTEXT`` most frequent stand in the class of their
 counts are as any word's. Words are kept as 64-bit hashes.
 
 Null and empty texts are one end token. A null id counts as empty text for the folds. Repeated rows score alike,
-an empty table gives an empty table, and other columns are ignored. Without a training text
+an empty table gives an empty table, and other columns are ignored. A very long text is read whole, in one task. Of words
+equally frequent the lesser hash comes first, of equally good classes the first. Without a training text
 everything is unknown, and every token is as likely as any.
 """
 
