@@ -190,9 +190,13 @@ def compact_sink(spark: SparkSession, sink: str, file_rows: int = 10_000_000) ->
         name = f"{_COMPACT}.{number:06d}"
         counts = spark.read.schema(_COUNTS).json([f"{home}/{_COMMITS}/{now.name(batch)}" for batch in closed])
         counts.coalesce(1).write.mode("overwrite").json(f"{home}/_counts/{name}")
-        kept = counts.agg(F.sum(F.col("enriched") + F.col("error"))).first()[0]
+        kept = counts.agg(F.sum("enriched").alias(ENRICHED_OUTCOME), F.sum("error").alias(ERROR)).first()
         rows = _load(spark, sink, [(owner, now.name(batch)) for batch in closed]).drop("owner", "attempt")
-        rows.repartition(max(1, -(-kept // file_rows))).write.mode("overwrite").partitionBy("outcome").parquet(f"{home}/attempt={name}")
+        for outcome in (ENRICHED_OUTCOME, ERROR):
+            # one folder a write and dealt by hash: a task that writes to several folders or deals in turn sorts all of its rows before
+            held = rows.where(F.col("outcome") == outcome).drop("outcome")
+            held = held.repartition(max(1, -(-kept[outcome] // file_rows)), F.xxhash64(*held.columns))
+            held.write.mode("overwrite").parquet(f"{home}/attempt={name}/outcome={outcome}")
         about = {"below": closed[-1] + 1, "attempts": [*now.compacted, name]}
         publish_text(spark, f"{home}/{_COMMITS}", name, json.dumps(about))
         merged += len(closed)

@@ -5,6 +5,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from millrace.operators.decode import decode
@@ -201,6 +202,21 @@ def test_compaction_merges_closed_batches(spark, home, sink):  # noqa: F811
     assert compact_sink(spark, sink) == 3 and len(ids(spark, sink)) == 32 and read_counts(spark, sink).count() == 33
 
 
+def test_compaction_writes_one_folder_at_a_time(spark, home, sink, monkeypatch):  # noqa: F811
+    """A task that writes to several folders would hold and sort all of its rows; ten million are a task's."""
+    for n in range(3):
+        rows = [change(6 * n + i, 1) if i % 3 else b"broken" for i in range(6)]
+        write_enriched(decode(topic(spark, rows, first=6 * n)), current_dimension(spark, f"{home}/users"), sink, n)
+    before = sorted(map(str, read_sink(spark, sink).drop("attempt").collect()))
+    dealt = []
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *names: dealt.append(names) or self)
+    assert compact_sink(spark, sink, file_rows=4) == 2
+    assert not dealt
+    assert sorted(map(str, read_sink(spark, sink).drop("attempt").collect())) == before
+    of_outcome = lambda x: [n for n in file_names(spark, f"{sink}/owner=stream/attempt=compact.000001/outcome={x}") if n.endswith(".parquet")]
+    assert len(of_outcome("ERROR")) == 1 and 1 <= len(of_outcome("ENRICHED")) <= 2
+
+
 def test_a_cut_compaction_changes_nothing(spark, home, sink, monkeypatch):  # noqa: F811
     users = current_dimension(spark, f"{home}/users")
     for i in range(4):
