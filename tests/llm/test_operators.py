@@ -596,6 +596,26 @@ def test_very_long_lines(spark):
     assert group[0] == group[1] != group[2]
 
 
+def test_long_lines_by_edit_distance(spark):
+    rng = random.Random(8)
+    base = prose(rng, 1200).replace(".\n", " ")
+    words = base.split()
+    assert len(base) > line_dedup.LONG
+    spread = " ".join(["new", *(w + "z" if i % 10 == 0 else w for i, w in enumerate(words))])  # few characters of many words
+    turned = " ".join(words[600:] + words[:600])  # the same words and, but for one, the same neighbours
+    chinese = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(4500))
+    typed = "".join(chr(0x3042) if i % 50 == 0 else x for i, x in enumerate(chinese))  # one word each
+    others = [spread, turned, " ".join(w + "zz" if i % 5 == 0 else w for i, w in enumerate(["new", *words]))]
+    pairs = [(1, base, x) for x in others] + [(1, chinese, typed), (1, chinese, chinese[2250:] + chinese[:2250])]
+    rows = spark.createDataFrame([(a, b, x, y) for b, (a, x, y) in enumerate(pairs)], "a long, b long, line_a string, line_b string")
+    whole = rows.withColumn("edits", F.levenshtein("line_a", "line_b")).withColumn("chars", F.greatest(F.length("line_a"), F.length("line_b")))
+    expected = {r["b"]: 100 * r["edits"] <= 5 * r["chars"] for r in whole.collect()}
+    assert expected[0] and expected[3] and not expected[1] and not expected[4]
+    assert {r["b"]: r["linked"] for r in line_dedup.similar_lines(rows).collect()} == expected
+    group = {r["doc_id"]: r["group_id"] for r in line_dedup.line_groups(documents(spark, [(0, base), (1, turned)])).collect()}
+    assert group[0] != group[1]
+
+
 def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     thai = "การเรียนรู้ของเครื่องเป็นสาขาหนึ่งของปัญญาประดิษฐ์ที่ศึกษาวิธีการ".replace("\u0e31", "")
     chinese = "我们今天在这里讨论如何从大量网页文本中删除重复的句子以便训练模型"
