@@ -583,6 +583,19 @@ def test_near_equal_lines_meet(spark, n_words, share):
     assert sum(group[2 * i] == group[2 * i + 1] for i in range(len(pairs))) >= share * len(pairs)
 
 
+def test_groups_are_the_same_for_every_key_length(spark, monkeypatch):
+    """Keys get longer where lines are many; what lies within the radius shares one all the same."""
+    rng = random.Random(12)
+    base = [prose(rng, n).replace(".\n", " ") for n in (12, 30, 60) * 8]
+    docs = documents(spark, list(enumerate(base + [near_line(rng, x, 1) for x in base * 2]))).cache()
+    groups = []
+    for agree in (2, 3, 4):
+        monkeypatch.setattr(line_dedup, "agreeing", lambda n, agree=agree: agree)
+        groups.append(sorted(map(tuple, line_dedup.line_groups(docs).collect())))
+    assert groups[0] == groups[1] == groups[2]
+    assert len({r[2] for r in groups[0]}) < len(groups[0]) - 20
+
+
 def test_very_long_lines(spark):
     rng = random.Random(3)
     line = prose(rng, 190_000).replace(".\n", " ")
