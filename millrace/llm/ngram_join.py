@@ -6,8 +6,9 @@ each set is indexed by its rarest tokens (prefix filter). An index list keeps it
 of equal size and position: a probe reads a block's header and skips all of it if size and
 position already rule a match out.
 
-Lists are worked off in rounds, from a few probe sets each, of different groups as far as there are. Sets that are linked already, by whatever path, need
-no comparison; and where a probe is similar to an earlier one, its answers are bounded by those
+Lists are worked off in rounds, from a few probe sets each, of different groups as far as there are; the first takes one probe a list. Sets that are linked already, by whatever path, need
+no comparison. In later rounds, parities of each set's tokens go along in a bitmap: two bitmaps differ in no more bits than the sets do in tokens, so
+most sets that are almost similar are told apart within the list, without a row for the pair. And where a probe is similar to an earlier one, its answers are bounded by those
 computed before: |x ∩ y| <= min(|x ∩ p|, |p ∩ y|) + min(|x - p|, |y - p|). So a group of near copies is
 found from a few of its sets and never paired off, and no link between groups is lost.
 
@@ -37,7 +38,8 @@ COARSE_PERCENT = 15  # of a set: tokens that the coarse index wants shared among
 BUCKET_TOKENS = 1_500_000  # of an index bucket, which one task sorts
 # By round: a list with at most so many sets outside its largest group is finished by them, a longer one gets so many
 # probes. The first round links most sets of a group, and linked ones are not paired, so later rounds may take more.
-ROUNDS = ((32, 8), (256, 64), (1024, 512))
+ROUNDS = ((2, 1), (32, 8), (32, 8), (1024, 512))
+PARITIES = 1024  # bits of a set's bitmap
 BLOCK = 1000  # sets in a block, about
 BROADCAST_IDS = 2_000_000  # 16 MB
 
@@ -195,18 +197,25 @@ def coarse_survivors(docs: DataFrame, sets: DataFrame, size: int = SHINGLE) -> D
     return written(shared.join(classes, "sid").where(F.col("shared") >= needed).select("sid", "n", "doc_id"), "join-survivors")
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap (64-bit numbers): by a token's remainder, whether the set has an odd number of such tokens."""
+    odd = np.bincount((tokens % np.uint64(PARITIES)).astype("i8"), minlength=PARITIES) & 1
+    return np.packbits(odd.astype("u1")).view("i8")
+
+
 def survivor_sets(docs: DataFrame, survivors: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``sid, n`` and the sorted shingles (64-bit numbers) of each surviving set."""
+    """``sid, n``, the sorted shingles (64-bit numbers) and the ``parities`` of each surviving set."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             found = {_set_id(s): s for s in shingle_sets(batch.column(0), size) if len(s)}
             columns = [pa.array(list(found), pa.int64()), pa.array([len(s) for s in found.values()], pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "tokens"])
+            bitmaps = pa.array([parities(s) for s in found.values()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, bitmaps], names=["sid", "n", "tokens", "parities"])
 
     ids = broadcast_if_small(survivors.select("doc_id"), BROADCAST_IDS)
     found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text")
-    rows = found.mapInArrow(read, "sid long, n long, tokens binary")
+    rows = found.mapInArrow(read, "sid long, n long, tokens binary, parities array<long>")
     # repeated rows and other texts of the same id bring further sets: one row for each that survived
     return written(rows.join(survivors.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "join-sets")
 
@@ -257,11 +266,17 @@ def _enough(overlap: Column, n_a: Column, n_b: Column) -> Column:
     return (100 + PERCENT) * overlap >= PERCENT * (n_a + n_b)
 
 
+def _may_be_similar(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Whether bitmaps allow it: they differ in at most as many bits as the sets do in tokens. Without bitmaps it may be."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return F.coalesce((100 + PERCENT) * (n_a + n_b - differ) >= 2 * PERCENT * (n_a + n_b), F.lit(True))
+
+
 def _blocks(entries: DataFrame, longest: int) -> DataFrame:
     """Lists in blocks of equal size and position, each of a bounded number of sets."""
     parts = -(-longest // BLOCK)
     grouped = entries.groupBy("token", "n", "at", F.pmod("sid", F.lit(parts)).alias("part"))
-    return grouped.agg(F.collect_list(F.struct("sid", "component")).alias("held"))
+    return grouped.agg(F.collect_list(F.struct("sid", "component", "parities")).alias("held"))
 
 
 def live_lists(entries: DataFrame, components: DataFrame) -> DataFrame:
@@ -279,18 +294,18 @@ def probes_of(live: DataFrame, limit: int, probes_each: int) -> DataFrame:
     smallest of each of a few slots. What is linked to none of its list's groups leaves the list then."""
     slot = F.when(F.col("outside") <= limit, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid"), F.lit(probes_each)))
     chosen = live.where("component <> largest").groupBy("token", slot.alias("slot"))
-    return chosen.agg(F.min(F.struct("n", "sid", "at", "component")).alias("p")).select("token", "p.*")
+    return chosen.agg(F.min(F.struct("n", "sid", "at", "component", "parities")).alias("p")).select("token", "p.*")
 
 
 def candidate_pairs(live: DataFrame, probes: DataFrame, longest: int) -> DataFrame:
     """Pairs (a, b, n_a, n_b) of unlinked sets to compare: each probe with the blocks of its list that may hold a match."""
     blocks = _blocks(live, longest).withColumnsRenamed({"n": "n_b", "at": "at_b"})
     met = probes.join(blocks, "token").where(_may_match(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b")))
-    unlinked = F.filter("held", lambda x: x["component"] != F.col("component"))
-    pairs = met.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), "n_b", F.explode(unlinked).alias("y"))
-    y, first = F.col("y.sid"), F.col("x") < F.col("y.sid")
+    unlinked = F.filter("held", lambda x: (x["component"] != F.col("component")) & _may_be_similar(x["parities"], F.col("parities"), F.col("n"), F.col("n_b")))
+    pairs = met.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), "n_b", F.explode(F.transform(unlinked, lambda x: x["sid"])).alias("y"))
+    first = F.col("x") < F.col("y")
     pairs = pairs.select(
-        F.least("x", y).alias("a"), F.greatest("x", y).alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_x")).alias("n_b")
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_b")).alias("n_a"), F.when(first, F.col("n_b")).otherwise(F.col("n_x")).alias("n_b")
     )
     return pairs.distinct()
 
@@ -335,7 +350,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sid`` and ``component`` (its smallest sid) of every linked set, and all answers (a, b, n_a, n_b, common)."""
     spark = sets.sparkSession
-    entries = index_entries(sets)
+    entries = index_entries(sets).withColumn("parities", F.lit(None).cast("array<long>"))  # most lists need no second round
     answers = spark.createDataFrame([], "a long, b long, n_a long, n_b long, common long")
     components = spark.createDataFrame([], "node long, component long")
     for number in count():
@@ -351,7 +366,7 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
             components = merge_links(components, compared.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))))
             answers = written(answers.unionByName(compared), "join-answers")
         left = live.where(F.col("outside") > limit).join(probes.select("token", "sid"), ["token", "sid"], "left_anti")
-        entries = written(left.select("token", "sid", "n", "at"), "join-left")
+        entries = written(left.select("token", "sid", "n", "at").join(sets.select("sid", "parities"), "sid"), "join-left")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -153,6 +153,27 @@ def test_jaccard_join(spark, seed, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
 
 
+def test_jaccard_join_pairs_no_sets_that_bitmaps_tell_apart(spark):
+    rng = np.random.default_rng(2)
+    shared = rng.integers(0, 1 << 63, 30, dtype="u8")
+    sets = [np.r_[shared, rng.integers(0, 1 << 63, 10, dtype="u8")] for _ in range(100)]  # 60 % alike
+    sets += [np.r_[s[:-2], rng.integers(0, 1 << 63, 2, dtype="u8")] for s in sets[:5]]  # 90 % like one of them
+    rows = [(1, i, 40, 0, i, ngram_join.parities(s).tolist()) for i, s in enumerate(sets)]
+    live = spark.createDataFrame(rows, "token long, sid long, n long, at long, component long, parities array<long>")
+    pairs = {(r["a"], r["b"]) for r in ngram_join.candidate_pairs(live, live, len(rows)).collect()}
+    assert {(i, 100 + i) for i in range(5)} <= pairs
+    assert len(pairs) < 100  # of 5,460
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(1)
+    for n, own in ((5, 1), (40, 9), (300, 80), (3000, 2500)):
+        tokens = rng.integers(0, 1 << 63, n + 2 * own, dtype="u8")
+        a, b = (ngram_join.parities(x) for x in (tokens[: n + own], np.r_[tokens[:n], tokens[n + own :]]))
+        assert len(a) == ngram_join.PARITIES // 64
+        assert np.bitwise_count((a ^ b).view("u8")).sum() <= 2 * own
+
+
 def test_jaccard_join_edges(spark):
     docs = edge_documents(spark)
     found = ngram_join.near_duplicates(docs)
