@@ -38,7 +38,7 @@ COARSE_PERCENT = 15  # of a set: tokens that the coarse index wants shared among
 BUCKET_TOKENS = 1_500_000  # of an index bucket, which one task sorts
 # By round: a list with at most so many sets outside its largest group is finished by them, a longer one gets so many
 # probes. The first round links most sets of a group, and linked ones are not paired, so later rounds may take more.
-ROUNDS = ((2, 1), (32, 8), (32, 8), (1024, 512))
+ROUNDS = ((2, 1), (32, 8), (1024, 512))
 PARITIES = 1024  # bits of a set's bitmap
 BLOCK = 1000  # sets in a block, about
 BROADCAST_IDS = 2_000_000  # 16 MB
