@@ -617,6 +617,23 @@ def test_groups_are_the_same_for_every_key_length(spark, monkeypatch):
     assert len({r[2] for r in groups[0]}) < len(groups[0]) - 20
 
 
+def test_groups_of_near_lines_are_not_paired_off(spark, monkeypatch):
+    """A group is found from some of its lines: the comparisons follow its lines, not their pairs."""
+    rng = random.Random(31)
+    base = prose(rng, 90).replace(".\n", " ").split()
+    lines = {" ".join([*base[:k], base[k] + rng.choice("bcdf"), *base[k + 1 :]]) for k in range(len(base))}
+    compared, similar = [], line_dedup.similar_lines
+
+    def counted(pairs):
+        compared.append(pairs.count())
+        return similar(pairs)
+
+    monkeypatch.setattr(line_dedup, "similar_lines", counted)
+    found = line_dedup.line_groups(documents(spark, list(enumerate(sorted(lines))))).collect()
+    assert len(lines) >= 80 and len({r["group_id"] for r in found}) == 1
+    assert sum(compared) <= 10 * len(lines)
+
+
 def test_very_long_lines(spark):
     rng = random.Random(3)
     line = prose(rng, 190_000).replace(".\n", " ")
