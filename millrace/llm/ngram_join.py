@@ -37,8 +37,9 @@ PERCENT = 75  # similarity: 100 * intersection >= PERCENT * union
 COARSE_PERCENT = 15  # of a set: tokens that the coarse index wants shared among the smallest hashes
 BUCKET_TOKENS = 1_500_000  # of an index bucket, which one task sorts
 # By round: a list with at most so many sets outside its largest group is finished by them, a longer one gets so many
-# probes. The first round links most sets of a group, and linked ones are not paired, so later rounds may take more.
-ROUNDS = ((2, 1), (32, 8), (1024, 512))
+# probes. Linked sets are not paired, and few probes leave few sets of a large group unlinked; so each round takes some eight
+# times the probes of the one before, and no list is finished by more probes than a round gives it.
+ROUNDS = ((2, 1), (16, 16), (128, 128), (1024, 1024))
 PARITIES = 1024  # bits of a set's bitmap
 BLOCK = 1000  # sets in a block, about
 BROADCAST_IDS = 2_000_000  # 16 MB
@@ -360,7 +361,8 @@ def linked_sets(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not longest:
             return components.withColumnRenamed("node", "sid"), answers
         probes = written(probes_of(live, limit, probes_each), "join-probes")
-        pairs = written(without_answered(candidate_pairs(live, probes, longest), answers), "join-pairs")
+        met = written(candidate_pairs(live, probes, longest), "join-met")  # each pair once from here on, of however many lists
+        pairs = written(without_answered(met, answers), "join-pairs")
         if pairs.limit(1).count():
             compared = written(compare(pairs, sets), "join-answers")
             components = merge_links(components, compared.where(_enough(F.col("common"), F.col("n_a"), F.col("n_b"))))

@@ -165,6 +165,24 @@ def test_jaccard_join_pairs_no_sets_that_bitmaps_tell_apart(spark):
     assert len(pairs) < 100  # of 5,460
 
 
+def test_jaccard_join_compares_few_pairs_of_a_group(spark, monkeypatch):
+    """A list of many groups is worked off from a few probes of each: the pairs follow its sets, not their pairs."""
+    rng = np.random.default_rng(3)
+    rare, groups = rng.integers(0, 1 << 63, 10, dtype="u8"), 20
+    rows = []
+    for _ in range(groups):
+        core = rng.integers(0, 1 << 63, 90, dtype="u8")
+        for k in range(30):
+            tokens = np.unique(np.r_[rare, core[:60], np.delete(core[60:], k)])
+            rows.append((ngram_join._set_id(tokens), len(tokens), bytearray(tokens.tobytes()), ngram_join.parities(tokens).tolist()))
+    entries = [(7, sid, n, 0) for sid, n, _, _ in rows]
+    sets = spark.createDataFrame(rows, "sid long, n long, tokens binary, parities array<long>")
+    monkeypatch.setattr(ngram_join, "index_entries", lambda _: spark.createDataFrame(entries, "token long, sid long, n long, at long"))
+    components, answers = ngram_join.linked_sets(sets)
+    assert {r["count"] for r in components.groupBy("component").count().collect()} == {30}
+    assert answers.count() <= 5 * len(rows)  # of 8,700 links
+
+
 def test_bitmaps_differ_in_no_more_bits_than_sets_in_tokens():
     rng = np.random.default_rng(1)
     for n, own in ((5, 1), (40, 9), (300, 80), (3000, 2500)):
