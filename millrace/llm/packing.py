@@ -87,14 +87,15 @@ class Chunks(dict):
         if len(self) + 2 * len(chunks) > CACHED_CHUNKS:
             self.clear()
             self[""] = b""
-        new = [chunk for chunk in chunks - self.keys() if len(chunk) <= CACHED_LENGTH]
+        # one look at a time: a set less the keys of a dict goes through all that is kept
+        new = [chunk for chunk in chunks if len(chunk) <= CACHED_LENGTH and chunk not in self]
         stems = [chunk.rstrip(MARKS) for chunk in new]
         plain = list(map(str.isalpha, stems))
         self.update((chunk, self.encode(chunk).tobytes()) for chunk in compress(new, map(not_, plain)))
         new, stems = list(compress(new, plain)), list(compress(stems, plain))
         words = [word.lower() if word.isascii() else word for word in stems]
         marks = [chunk[len(word) :] for chunk, word in zip(new, stems, strict=True)]
-        self._encode_words(list(set(words) - self.keys()))
+        self._encode_words([word for word in set(words) if word not in self])
         closing = {mark: self.encode(mark).tobytes() for mark in set(marks)}
         self.update(zip(new, map(add, map(self.__getitem__, words), map(closing.__getitem__, marks)), strict=True))
 

@@ -55,6 +55,20 @@ def test_packing_tokens_and_places(spark):
     assert packing.pack_documents(empty_documents(spark)).count() == 0
 
 
+def test_packing_looks_up_words_one_by_one():
+    class Watched(packing.Chunks):
+        def _whole(self):
+            raise AssertionError("went through all that is kept")
+
+        keys = __iter__ = items = values = _whole
+
+    watched, plain = Watched(packing.TOKENIZER), Tokenizer.from_file(packing.TOKENIZER)
+    for words in ({"some", "words", "again."}, {"some", "Words,", "more", "x1-y2", "again!"}):
+        watched.learn(words)
+        for word in words:
+            assert np.frombuffer(watched[word], "<u4").tolist() == plain.encode(word, add_special_tokens=False).ids, word
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_packing_plan(seed):
     rng = random.Random(seed)
