@@ -10,7 +10,8 @@ A word of no training text has the class of its ending. Absolute discounting smo
 parts; what it takes from the known words of a class goes to its unknown words, as one type.
 
 Everything is counted over all training texts. Counts and classes of the ``head`` most frequent words are sent to all
-tasks (a bounded table), and those of all others are joined: scores do not depend on ``head``. As neighbours in
+tasks (a bounded table), and those of all others are joined: scores do not depend on ``head``. Texts are read twice: once to count
+the words, once to number them, frequent words by their place in a list and others by hash; all else reads these numbers. As neighbours in
 a sweep, words beyond the ``CONTEXT`` most frequent stand in the class of their ending; their own moves and the final
 counts are as any word's. Words are kept as 64-bit hashes.
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_number, written
+from millrace.llm.common import Scratch, fold_number, written
 from millrace.llm.text import chunks, endings, lowered, mixed, word_hashes
 
 HELD_OUT = 1
@@ -40,6 +41,7 @@ FREQUENT = 500  # words that start as items of their own
 ENDINGS = 500  # groups in which all others start
 HEAD = 1 << 18  # most frequent words whose counts and classes are sent to all tasks: 5 MB
 CONTEXT = 1 << 18  # most frequent words that are neighbours by their own class in a sweep
+BLOCK = 256  # such words whose neighbours are kept and summed together: 64 KB
 SWEEPS = 12  # at most, over the items
 WORD_SWEEPS = 2  # over the whole vocabulary
 SMOOTHING = 100  # tokens spread over all classes that are added to the neighbours of a class
@@ -92,32 +94,92 @@ class Items:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, at, len(self.hashes) + groups).astype("i8")
 
-    def with_ends(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, items, whether a token is an end, and the text of each, with the end token after every text."""
-        words, lengths = word_hashes(texts)
-        ends = np.cumsum(lengths) + np.arange(len(lengths))
-        is_end = np.zeros(len(words) + len(lengths), bool)
-        is_end[ends] = True
-        all_words, items = np.full(len(is_end), END), np.full(len(is_end), self.end)
-        all_words[~is_end] = words
-        items[~is_end] = self.of(words, ending_groups(texts))
-        return all_words, items, is_end, np.repeat(np.arange(len(lengths)), lengths + 1)
 
+# -- numbered texts -----------------------------------------------------------------------------
 
-def count_bigrams(training: DataFrame, items: Items) -> np.ndarray:
+NUMBERED = "doc_id long, held_out boolean, codes binary, others binary"
+
+
+@dataclass(frozen=True)
+class Listing:
+    """The most frequent words, sorted by hash, and the ending group of each."""
+
+    words: np.ndarray
+    groups: np.ndarray
+
+
+def list_words(words: DataFrame, size: int) -> Listing:
+    """``words`` (word, ending, c); the end token is in no list."""
+    top = words.where(F.col("word") != int(_signed(np.array([END]))[0])).orderBy(F.desc("c"), "word").limit(size).toArrow()
+    held = top["word"].to_numpy().view("u8")
+    order = np.argsort(held, kind="stable")
+    return Listing(held[order], top["ending"].to_numpy()[order].astype("i8"))
+
+
+def _places(listed: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The place of each word among sorted ones, or -1."""
+    if not len(listed):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(listed, words), len(listed) - 1)
+    return np.where(listed[at] == words, at, -1)
+
+
+def number_words(docs: DataFrame, listing: Listing, held_out: Column) -> DataFrame:
+    """``doc_id, held_out`` and the words of each text: ``codes`` (32 bits) are places in the list, or -1 less the ending group
+    for words that it lacks, whose hashes are in ``others``, in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(listing)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            texts = lowered(batch.column(2))
+            words, lengths = word_hashes(texts)
+            at = _places(shared.value.words, words)
+            other = at < 0
+            codes = np.where(other, -1 - ending_groups(texts), at).astype("<i4").tobytes()
+            ends, rest = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(other))
+            hashes = words[other].astype("<u8").tobytes()
+            own = [codes[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
+            others = [hashes[8 * a : 8 * b] for a, b in zip(rest[ends], rest[ends[1:]])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(others, pa.binary())], names=["doc_id", "held_out", "codes", "others"])
+
+    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInArrow(number, NUMBERED)
+
+
+def _read_codes(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of some texts and the number of each text's."""
+    held = codes.to_pylist()
+    return np.frombuffer(b"".join(held), "<i4"), np.array([len(x) // 4 for x in held], "i8")
+
+
+def _ends(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the end tokens after texts of so many words, and whether a token is one."""
+    ends = np.cumsum(lengths) + np.arange(len(lengths))
+    is_end = np.zeros(int(lengths.sum()) + len(lengths), bool)
+    is_end[ends] = True
+    return ends, is_end
+
+
+def count_bigrams(numbered: DataFrame, listing: Listing, items: Items) -> np.ndarray:
     """How often one item follows another in the training texts: a table bounded by the number of items."""
     m = items.number
+    shared = numbered.sparkSession.sparkContext.broadcast(items.of(listing.words, listing.groups))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(m * m, "i8")
         for batch in chunks(batches):
-            own = items.with_ends(lowered(batch.column(0)))[1]
+            codes, lengths = _read_codes(batch.column(0))
+            is_end = _ends(lengths)[1]
+            own = np.full(len(is_end), items.end)
+            listed = codes >= 0
+            held = len(items.hashes) - 1 - codes.astype("i8")  # of an ending group
+            held[listed] = shared.value[codes[listed]]
+            own[~is_end] = held
             before = np.concatenate([[items.end], own[:-1]])
             table += np.bincount(before * m + own, minlength=m * m)
         pairs = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(table[pairs])], names=["pair", "n"])
 
-    summed = training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    summed = numbered.select("codes").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(m * m)
     table[summed["pair"].to_numpy()] = summed["n"].to_numpy()
     return table.reshape(m, m)
@@ -193,18 +255,17 @@ class Head:
     classes: np.ndarray
     of_ending: np.ndarray
 
-    def places(self, words: np.ndarray) -> np.ndarray:
-        """The place of each word, or -1."""
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at, -1)
+    def of_listing(self, listing: Listing) -> tuple[np.ndarray, np.ndarray]:
+        """Place and class of each listed word; the list holds the head. Words outside the head have place -1 and the class of their ending."""
+        place = _places(self.words, listing.words)
+        return place, np.where(place >= 0, self.classes[place], self.of_ending[listing.groups]) if len(self.words) else self.of_ending[listing.groups]
 
 
 @dataclass(frozen=True)
 class Tokens:
     """The tokens of some texts, an end after each: ``place`` in the head (-1: elsewhere), ``cls`` (by ending where the
-    head has none), the ``text`` of each, and the token ``before`` and ``after``, in a circle through the text's end."""
+    head has none), the ``text`` of each, and the token ``before`` and ``after``, in a circle through the text's end.
+    ``words`` are the hashes of those outside the head."""
 
     words: np.ndarray
     place: np.ndarray
@@ -215,20 +276,25 @@ class Tokens:
     after: np.ndarray
 
 
-def read_tokens(texts: list[bytes], head: Head) -> Tokens:
-    held, lengths = word_hashes(texts)
-    ends = np.cumsum(lengths) + np.arange(len(lengths))
-    starts = ends - lengths
-    is_end = np.zeros(len(held) + len(lengths), bool)
-    is_end[ends] = True
-    words, place, cls = np.full(len(is_end), END), np.full(len(is_end), -1), np.full(len(is_end), CLASSES - 1)
-    words[~is_end], place[~is_end] = held, head.places(held)
-    by_ending = head.of_ending[ending_groups(texts)]
-    known = place[~is_end]
-    cls[~is_end] = np.where(known >= 0, head.classes[known], by_ending) if len(head.words) else by_ending
-    before, after = np.arange(len(is_end)) - 1, np.arange(len(is_end)) + 1
-    before[starts], after[ends] = ends, starts
-    return Tokens(words, place, cls, is_end, np.repeat(np.arange(len(lengths)), lengths + 1), before, after)
+def read_tokens(batches: Iterator[pa.RecordBatch], listing: Listing, head: Head) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Rows that begin with ``codes`` and ``others`` in small batches, and their tokens."""
+    place_of, class_of = head.of_listing(listing)
+    for batch in chunks(batches):
+        codes, lengths = _read_codes(batch.column(0))
+        ends, is_end = _ends(lengths)
+        starts = ends - lengths
+        listed = codes >= 0
+        held, classes, hashes = np.full(len(codes), -1), np.empty(len(codes), "i8"), np.zeros(len(codes), "u8")
+        held[listed], classes[listed] = place_of[codes[listed]], class_of[codes[listed]]
+        classes[~listed] = head.of_ending[-1 - codes[~listed]]
+        hashes[~listed] = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")
+        rare = np.flatnonzero(listed & (held < 0))
+        hashes[rare] = listing.words[codes[rare]]
+        words, place, cls = np.full(len(is_end), END), np.full(len(is_end), -1), np.full(len(is_end), CLASSES - 1)
+        words[~is_end], place[~is_end], cls[~is_end] = hashes, held, classes
+        before, after = np.arange(len(is_end)) - 1, np.arange(len(is_end)) + 1
+        before[starts], after[ends] = ends, starts
+        yield batch, Tokens(words, place, cls, is_end, np.repeat(np.arange(len(lengths)), lengths + 1), before, after)
 
 
 def start_classes(words: DataFrame, items: Items, classes: np.ndarray) -> DataFrame:
@@ -251,39 +317,69 @@ def read_head(classed: DataFrame, size: int, of_ending: np.ndarray) -> Head:
     return Head(words[order], top["c"].to_numpy()[order], top["class"].to_numpy()[order].astype("i8"), of_ending)
 
 
-def count_neighbours(training: DataFrame, head: Head) -> DataFrame:
-    """``word`` and ``near``: how often which class stands before it (``key`` = class) and after it (``CLASSES`` + class)."""
-    shared = training.sparkSession.sparkContext.broadcast(head)
+NEAR = "block int, cells binary, counts binary, word long, near int"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, keys = shared.value, 2 * CLASSES
-        table = np.zeros((len(h.words) + 1) * keys, "i4")  # of the head and the end: once a task
-        names = ["word", "key", "n"]
 
-        def rows(words: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(_signed(words[codes // keys])), pa.array((codes % keys).astype("i4")), pa.array(n.astype("i8"))], names=names)
+def count_neighbours(numbered: DataFrame, listing: Listing, head: Head) -> DataFrame:
+    """How often which class stands before a word (key = class) and after it (``CLASSES`` + class).
 
-        for batch in chunks(batches):
-            t = read_tokens(lowered(batch.column(0)), h)
-            near = np.concatenate([t.cls[t.before], CLASSES + t.cls[t.after]])
+    Words of the head and the end, by blocks of ``BLOCK`` and once a task: ``cells`` (16 bits, place in the block and key) and their ``counts``
+    (64 bits). Every occurrence of another ``word`` is a row, with the classes before and after it in ``near``.
+    """
+    shared = numbered.sparkSession.sparkContext.broadcast((listing, head))
+    keys = 2 * CLASSES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, size = shared.value[1], BLOCK * keys
+        table = np.zeros(-(-(len(h.words) + 1) // BLOCK) * size, "i4")
+        names = ["block", "cells", "counts", "word", "near"]
+        for _, t in read_tokens(batches, *shared.value):
             own = np.where(t.is_end, len(h.words), t.place)
-            rest = np.flatnonzero(own < 0)
-            others, own[rest] = np.unique(t.words[rest], return_inverse=True)
-            own[rest] += len(h.words) + 1
-            codes, n = np.unique(np.concatenate([own, own]) * keys + near, return_counts=True)
-            dense = np.searchsorted(codes, len(table))
-            table[codes[:dense]] += n[:dense].astype("i4")
-            if len(others):
-                yield rows(others, codes[dense:] - len(table), n[dense:])
-        full = np.flatnonzero(table)
-        words = np.append(h.words, END)
-        for first in range(0, len(full), 1 << 18):
-            part = full[first : first + (1 << 18)]
-            yield rows(words, part, table[part])
-
-    counted = training.select("text").mapInArrow(count, "word long, key int, n long").repartition("word")
-    summed = counted.groupBy("word", "key").agg(F.sum("n").alias("n"))
-    return summed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("near"))  # at most two entries a class
+            known, rest = np.flatnonzero(own >= 0), np.flatnonzero(own < 0)
+            before, after = t.cls[t.before], t.cls[t.after]
+            codes, n = np.unique(np.concatenate([own[known] * keys + before[known], own[known] * keys + CLASSES + after[known]]), return_counts=True)
+            table[codes] += n.astype("i4")
+            nothing = [pa.nulls(len(rest), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(_signed(t.words[rest])), pa.array((before[rest] * CLASSES + after[rest]).astype("i4"))], names=names)
+        for first in range(0, len(table), 64 * size):
+            blocks = [(first // size + i, part) for i, part in enumerate(table[first : first + 64 * size].reshape(-1, size)) if part.any()]
+            at = [np.flatnonzero(part) for _, part in blocks]
+            cells = pa.array([x.astype("<u2").tobytes() for x in at], pa.binary())
+            counts = pa.array([part[x].astype("<i8").tobytes() for (_, part), x in zip(blocks, at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), cells, counts, pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int32())], names=names)
+
+    return numbered.select("codes", "others").mapInArrow(count, NEAR)
+
+
+def sum_blocks(blocks: DataFrame) -> DataFrame:
+    """``block, cells, counts``, one row a block."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = None, np.zeros(BLOCK * 2 * CLASSES, "i8")
+
+        def row() -> pa.RecordBatch:
+            at = np.flatnonzero(table)
+            columns = [pa.array([own], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([table[at].astype("<i8").tobytes()])]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "cells", "counts"])
+
+        for batch in batches:
+            for block, cells, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                if own is not None and block != own:
+                    yield row()
+                    table[:] = 0
+                own = block
+                table[np.frombuffer(cells, "<u2")] += np.frombuffer(counts, "<i8")
+        if own is not None:
+            yield row()
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, cells binary, counts binary")
+
+
+def _block_cells(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First place, and place in the block, key and count of each cell, of each row of ``sum_blocks``."""
+    for block, cells, counts in zip(*(column.to_pylist() for column in batch.columns)):
+        at = np.frombuffer(cells, "<u2").astype("i8")
+        yield block * BLOCK, at // (2 * CLASSES), at % (2 * CLASSES), np.frombuffer(counts, "<i8")
 
 
 def best_classes(own: np.ndarray, place: np.ndarray, key: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -312,33 +408,66 @@ def best_classes(own: np.ndarray, place: np.ndarray, key: np.ndarray, n: np.ndar
     return np.where((own < k - 1) & (gain[np.arange(size), best] > stay + LEAST_GAIN), best, own)
 
 
-def sweep(training: DataFrame, classed: DataFrame, head: Head) -> DataFrame:
+def sweep(numbered: DataFrame, listing: Listing, classed: DataFrame, head: Head) -> DataFrame:
     """``classed`` (word, c, class) after every word of the vocabulary has moved to its best class."""
-    near = written(count_neighbours(training, head).join(classed, "word"), "lm-neighbours")
-    table = np.zeros((CLASSES, CLASSES))
-    for r in near.select("class", F.inline("near")).where(F.col("key") < CLASSES).groupBy("key", "class").agg(F.sum("n").alias("n")).collect():
-        table[r["key"], r["class"]] = r["n"]
+    scratch, end = Scratch(), int(_signed(np.array([END]))[0])
+    shared = numbered.sparkSession.sparkContext.broadcast(head)
+    counted = scratch.write(count_neighbours(numbered, listing, head), "lm-near")
+    blocks = scratch.write(sum_blocks(counted.where("block IS NOT NULL").select("block", "cells", "counts")), "lm-blocks")
+    rest = counted.where("block IS NULL").select("word", "near").repartition("word").groupBy("word", "near").agg(F.count(F.lit(1)).alias("n"))
+    rest = rest.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("near", "n"))).alias("near"))  # at most one entry for each two classes
+    rest = scratch.write(rest.join(classed, "word").select("word", "c", "class", "near"), "lm-neighbours")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, sums = np.append(shared.value.classes, CLASSES - 1), np.zeros(CLASSES * CLASSES, "i8")
+        for batch in batches:
+            for first, place, key, n in _block_cells(batch):
+                before = key < CLASSES
+                np.add.at(sums, key[before] * CLASSES + classes[first + place[before]], n[before])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype="i4")), pa.array(sums)], names=["pair", "n"])
+
+    table = np.zeros(CLASSES * CLASSES)
+    of_rest = rest.select("class", F.inline("near")).select((F.floor(F.col("near") / CLASSES) * CLASSES + F.col("class")).cast("int").alias("pair"), "n")
+    for r in blocks.mapInArrow(pair, "pair int, n long").unionByName(of_rest).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        table[r["pair"]] += r["n"]
+    table = table.reshape(CLASSES, CLASSES)
+
+    def choose_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = shared.value
+        for batch in batches:
+            for first, place, key, n in _block_cells(batch):
+                own = h.classes[first : first + BLOCK]  # without the end
+                word = place < len(own)
+                best = best_classes(own, place[word], key[word], n[word], table)
+                columns = [_signed(h.words[first : first + BLOCK]), h.counts[first : first + BLOCK], best.astype("i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "c", "class"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, 4000):
             lists, own = batch.column(3), batch.column(2).to_numpy()
-            held = lists.flatten()
-            place = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            best = best_classes(own, place, held.field("key").to_numpy(), held.field("n").to_numpy(), table)
+            held, keys = lists.flatten(), 2 * CLASSES
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy()) * keys
+            near, n = held.field("near").to_numpy(), held.field("n").to_numpy()
+            sums = np.bincount(np.concatenate([row + near // CLASSES, row + CLASSES + near % CLASSES]), np.concatenate([n, n]), batch.num_rows * keys)
+            at = np.flatnonzero(sums)
+            best = best_classes(own, at // keys, at % keys, sums[at], table)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best.astype("i4"))], names=["word", "c", "class"])
 
-    return written(near.select("word", "c", "class", "near").mapInArrow(choose, "word long, c long, class int"), "lm-classes")
+    schema = "word long, c long, class int"
+    moved = blocks.mapInArrow(choose_head, schema).unionByName(rest.mapInArrow(choose, schema)).unionByName(classed.where(F.col("word") == end))
+    moved = written(moved, "lm-classes")
+    scratch.clear()
+    return moved
 
 
-def count_class_pairs(training: DataFrame, classed: DataFrame, head: Head) -> np.ndarray:
+def count_class_pairs(numbered: DataFrame, listing: Listing, classed: DataFrame, head: Head) -> np.ndarray:
     """How often one class follows another in the training texts; words beyond the head are joined to their classes."""
-    shared = training.sparkSession.sparkContext.broadcast(head)
+    shared = numbered.sparkSession.sparkContext.broadcast((listing, head))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "class_a", "b", "class_b", "n"]
         table = np.zeros(CLASSES * CLASSES, "i8")
-        for batch in chunks(batches):
-            t = read_tokens(lowered(batch.column(0)), shared.value)
+        for _, t in read_tokens(batches, *shared.value):
             rest = (t.place < 0) & ~t.is_end
             a, b = t.before, np.arange(len(t.words))
             known = ~(rest[a] | rest[b])
@@ -353,7 +482,7 @@ def count_class_pairs(training: DataFrame, classed: DataFrame, head: Head) -> np
         nothing = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, pa.array((at // CLASSES).astype("i4")), nothing, pa.array((at % CLASSES).astype("i4")), pa.array(table[at])], names=names)
 
-    rows = training.select("text").mapInArrow(count, "a long, class_a int, b long, class_b int, n long")
+    rows = numbered.select("codes", "others").mapInArrow(count, "a long, class_a int, b long, class_b int, n long")
     rows = written(rows.groupBy("a", "class_a", "b", "class_b").agg(F.sum("n").alias("n")), "lm-pairs")
     for side, others in (("a", ["b", "class_b"]), ("b", ["class_a"])):
         named = classed.select(F.col("word").alias(side), F.col("class").alias(f"class_{side}"))
@@ -370,6 +499,7 @@ def count_class_pairs(training: DataFrame, classed: DataFrame, head: Head) -> np
 class ClassModel:
     """All of bounded size."""
 
+    listing: Listing
     head: Head
     transition: np.ndarray  # log10 P(class | class before)
     total: np.ndarray  # tokens by class
@@ -396,18 +526,24 @@ def _smoothed(pairs: np.ndarray) -> np.ndarray:
     return np.log10(np.where(sums > 0, held, alone))
 
 
-def fit_class_model(training: DataFrame, words: DataFrame, head: int = HEAD, sweeps: int = WORD_SWEEPS) -> tuple[ClassModel, DataFrame]:
-    """The model, and ``word, c, class`` of every training word. ``words``: the result of ``count_words``."""
+def fit_class_model(
+    training: DataFrame, words: DataFrame, head: int = HEAD, sweeps: int = WORD_SWEEPS, listing: Listing | None = None, numbered: DataFrame | None = None
+) -> tuple[ClassModel, DataFrame]:
+    """The model, and ``word, c, class`` of every training word. ``words``: the result of ``count_words``; ``listing`` and
+    ``numbered``: of ``list_words`` and ``number_words``, where they are there already."""
     end = int(_signed(np.array([END]))[0])
+    if listing is None or numbered is None:
+        listing = list_words(words, max(head, CONTEXT))
+        numbered = written(number_words(training, listing, F.lit(False)), "lm-numbered")
     top = words.where(F.col("word") != end).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     items = Items(top["word"].to_numpy().view("u8"))
-    classes = exchange_clusters(count_bigrams(training, items))
+    classes = exchange_clusters(count_bigrams(numbered, listing, items))
     of_ending = classes[len(items.hashes) : -1]
     classed = written(start_classes(words, items, classes), "lm-classes")
     for _ in range(sweeps):
-        classed = sweep(training, classed, read_head(classed, CONTEXT, of_ending))
+        classed = sweep(numbered, listing, classed, read_head(classed, CONTEXT, of_ending))
     held = read_head(classed, head, of_ending)
-    pairs = count_class_pairs(training, classed, held)
+    pairs = count_class_pairs(numbered, listing, classed, held)
     total, types = np.zeros(CLASSES), np.zeros(CLASSES)
     whole = classed.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
     for r in whole:
@@ -417,7 +553,7 @@ def fit_class_model(training: DataFrame, words: DataFrame, head: int = HEAD, swe
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     freed = discount * types
     ends = int(total[CLASSES - 1])
-    model = ClassModel(held, _smoothed(pairs), total, np.log10(np.where(freed > 0, freed, 1.0)), discount, int(total.sum()), sum(r["v"] for r in whole), ends)
+    model = ClassModel(listing, held, _smoothed(pairs), total, np.log10(np.where(freed > 0, freed, 1.0)), discount, int(total.sum()), sum(r["v"] for r in whole), ends)
     return model, classed
 
 
@@ -433,10 +569,10 @@ def _lists(rows: np.ndarray, number: int, **fields: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(number + 1)).astype("i4")), values)
 
 
-def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out: Column) -> DataFrame:
+def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out: Column, numbered: DataFrame | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each document.
 
-    One pass over the texts adds up what the head knows. Words beyond it are listed once a text, with the classes next to
+    One pass over the numbered texts (``numbered``, where they are there already) adds up what the head knows. Words beyond it are listed once a text, with the classes next to
     them, and joined to their counts and classes; then what they take part in is added.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -444,9 +580,8 @@ def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in chunks(batches):
+        for batch, t in read_tokens(batches, m.listing, m.head):
             n = batch.num_rows
-            t = read_tokens(lowered(batch.column(2)), m.head)
             rest = (t.place < 0) & ~t.is_end
             c = np.where(t.is_end, m.ends, 0)
             if len(m.head.words):
@@ -469,7 +604,7 @@ def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out
             rare = _lists(text_of, n, word=_signed(t.words[firsts]), **{"class": t.cls[firsts].astype("i4")})
             used = _lists(uses[:, 0], n, of=uses[:, 1].astype("i4"), before=uses[:, 2].astype("i4"), after=uses[:, 3].astype("i4"), n=times.astype("i4"))
             sums = [pa.array(np.bincount(t.text, minlength=n)), pa.array(add(c > 0).astype("i8")), pa.array(add(base)), pa.array(add(emission + moved))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums, rare, used], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "uses"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), *sums, rare, used], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare", "uses"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -490,7 +625,8 @@ def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInArrow(score, PARTIAL)
+    numbered = number_words(docs, model.listing, held_out) if numbered is None else numbered
+    rows = numbered.select("codes", "others", "doc_id", "held_out").mapInArrow(score, PARTIAL)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = rows.select("row", F.posexplode("rare").alias("at", "r")).select("row", "at", "r.word", F.col("r.class").alias("by_ending"))
     looked_up = rare.join(classed, "word", "left").select("row", F.struct("at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", "by_ending").alias("class")).alias("found"))
@@ -502,6 +638,11 @@ def score_texts(docs: DataFrame, classed: DataFrame, model: ClassModel, held_out
 def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """Trains on the documents outside the held-out fold and scores all."""
     held_out = fold_number(F.col("doc_id")) == HELD_OUT
-    training = docs.where(~held_out)
-    model, classed = fit_class_model(training, count_words(training), head)
-    return score_texts(docs, classed, model, held_out)
+    training, scratch = docs.where(~held_out), Scratch()
+    words = count_words(training)
+    listing = list_words(words, max(head, CONTEXT))
+    numbered = scratch.write(number_words(docs, listing, held_out), "lm-numbered")
+    model, classed = fit_class_model(training, words, head, listing=listing, numbered=numbered.where(~F.col("held_out")))
+    scores = score_texts(docs, classed, model, held_out, numbered)
+    scratch.clear()
+    return scores

@@ -422,6 +422,38 @@ def test_words_move_to_the_class_of_their_neighbours(spark):
     assert mixed_share(class_lm.WORD_SWEEPS) < 0.5 * mixed_share(0)
 
 
+def test_sweep_against_brute_force(spark, monkeypatch):
+    """Every word moves by its own neighbours; the head's neighbours come in blocks, not in a row for each word and class."""
+    monkeypatch.setattr(class_lm, "CONTEXT", 300)
+    texts = [*two_languages(spark), (1000, None), (1001, "")]
+    training, k = documents(spark, texts).repartition(3), class_lm.CLASSES
+    words = class_lm.count_words(training)
+    listing = class_lm.list_words(words, 400)  # more than the head
+    numbered = class_lm.number_words(training, listing, F.lit(False)).cache()
+    classed = words.select("word", "c", F.when(F.col("word") == hash_of_end(), k - 1).otherwise(F.pmod(F.xxhash64("word"), F.lit(k - 1))).cast("int").alias("class"))
+    of_ending = np.arange(class_lm.ENDINGS) % (k - 1)
+    head = class_lm.read_head(classed, class_lm.CONTEXT, of_ending)
+    rows = class_lm.count_neighbours(numbered, listing, head).groupBy(F.spark_partition_id(), "block").count().where("block IS NOT NULL").collect()
+    assert {r["count"] for r in rows} == {1} and {r["block"] for r in rows} == {0, 1}
+    found = class_table(class_lm.sweep(numbered, listing, classed, head))
+    table, listed = class_table(classed), set(head.words.view("i8").tolist())
+    hashes = sorted(table)
+    place = {h: i for i, h in enumerate(hashes)}
+    near = np.zeros((len(hashes), 2 * k))
+    for _, text in texts:
+        path = [hash_of_end(), *map(hash_of, low(text))]
+        seen = [table[h][1] if h in listed or h == hash_of_end() else int(of_ending[class_lm.ending_groups([w])[0]]) for h, w in zip(path, [b"", *low(text)])]
+        for i, h in enumerate(path):
+            near[place[h], seen[i - 1]] += 1
+            near[place[h], k + seen[(i + 1) % len(path)]] += 1
+    own = np.array([table[h][1] for h in hashes])
+    pairs = np.zeros((k, k))
+    np.add.at(pairs.T, own, near[:, :k])
+    at, key = np.nonzero(near)
+    best = class_lm.best_classes(own, at, key, near[at, key], pairs)
+    assert found == {h: (table[h][0], int(c)) for h, c in zip(hashes, best)} and (best != own).any()
+
+
 def test_language_model_without_training(spark):
     assert class_lm.score_documents(empty_documents(spark)).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
