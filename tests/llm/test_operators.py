@@ -731,6 +731,19 @@ def test_long_lines_by_edit_distance(spark):
     assert group[0] != group[1]
 
 
+def test_longest_lines_by_edit_distance(spark):
+    """Edits in many words link lines of any length; the same words in another order don't."""
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(19_000)]
+    spread = ["new", *(w + "z" if i % 80 == 0 else w for i, w in enumerate(words))]
+    parts = [words[i : i + 100] for i in range(0, len(words), 100)]
+    turned = [w for part in reversed(parts) for w in part]  # the same words, and almost the same neighbours
+    lines = [" ".join(x) for x in (words, spread, turned)]
+    assert min(map(len, lines)) > 1 << 17
+    rows = spark.createDataFrame([(0, i, lines[0], lines[i]) for i in (1, 2)], "a long, b long, line_a string, line_b string")
+    assert {r["b"]: r["linked"] for r in line_dedup.similar_lines(rows.repartition(2, "b")).collect()} == {1: True, 2: False}
+
+
 def test_short_lines_and_scripts_without_spaces(spark, tmp_path):
     thai = "การเรียนรู้ของเครื่องเป็นสาขาหนึ่งของปัญญาประดิษฐ์ที่ศึกษาวิธีการ".replace("\u0e31", "")
     chinese = "我们今天在这里讨论如何从大量网页文本中删除重复的句子以便训练模型"
