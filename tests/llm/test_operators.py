@@ -698,6 +698,31 @@ def test_groups_of_near_lines_are_not_paired_off(spark, monkeypatch):
     assert sum(compared) <= 10 * len(lines)
 
 
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_only_near_lines_are_worked_off(spark, monkeypatch, hot):
+    """Lines that share keys but are near none by both fingerprints take no part in the rounds, however long their lists."""
+    rng = random.Random(40)
+    common = prose(rng, 60).replace(".\n", " ").split()
+    lines = [" ".join(rng.sample(common, 50) + prose(rng, 12).replace(".\n", " ").split()) for _ in range(150)]
+    lines += [near_line(rng, x, 1) for x in lines[:5]]
+    ids = [r["id"] for r in spark.createDataFrame(list(enumerate(lines)), "i int, line string").orderBy("i").select(F.xxhash64("line").alias("id")).collect()]
+    prints, near = line_prints(spark, lines), set()
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        differ = [int((x != y).sum()) for x, y in zip(prints[i], prints[j], strict=True)]
+        if differ[0] <= 6 and sum(differ) <= 18 and 100 * min(len(lines[i]), len(lines[j])) >= 95 * max(len(lines[i]), len(lines[j])):
+            near |= {ids[i], ids[j]}
+    worked, live = set(), line_dedup._live_lists
+
+    def seen(entries, components):
+        worked.update(r["line_id"] for r in entries.select("line_id").distinct().collect())
+        return live(entries, components)
+
+    monkeypatch.setattr(line_dedup, "_live_lists", seen)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    line_dedup.line_groups(documents(spark, list(enumerate(lines)))).count()
+    assert 10 <= len(near) < len(set(lines)) and worked == near
+
+
 def test_very_long_lines(spark):
     rng = random.Random(3)
     line = prose(rng, 190_000).replace(".\n", " ")
